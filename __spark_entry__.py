@@ -60,6 +60,29 @@ def q_imports(spark, sf_dir):
     return api.imports(_corpus(spark, sf_dir))
 
 
+FN_COLS = ["fn_id", "path", "language", "name", "line", "end_line", "is_method", "class_name", "is_exported",
+           "method_of_line", "decorators"]
+CLS_COLS = ["class_id", "path", "language", "kind", "name", "line", "end_line", "decorators"]
+
+
+def q_functions(spark, sf_dir):
+    return api.functions(_corpus(spark, sf_dir), with_params=False).select(*FN_COLS)
+
+
+def q_classes(spark, sf_dir):
+    return api.classes(_corpus(spark, sf_dir)).select(*CLS_COLS)
+
+
+def q_call_nodes(spark, sf_dir):
+    nodes, _, _ = api.call_graph(_corpus(spark, sf_dir))
+    return nodes
+
+
+def q_call_edges(spark, sf_dir):
+    _, _, named = api.call_graph(_corpus(spark, sf_dir))
+    return named.select("from_id", "from_name", "to_id", "to_name", "path", "language", "line", "call_ord")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_lines": q_corpus_lines,
     "scan_findings": q_scan_findings,
@@ -67,6 +90,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "severity_summary": q_severity_summary,
     "calls": q_calls,
     "imports": q_imports,
+    "functions": q_functions,
+    "classes": q_classes,
+    "call_nodes": q_call_nodes,
+    "call_edges": q_call_edges,
 }
 
 

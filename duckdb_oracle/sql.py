@@ -354,3 +354,126 @@ FINDING_COLS = ("id, rule_id, name, description, severity, severity_rank, path,
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip().rstrip(",") for c in ctes)
+
+
+# ----------------------------------------------------------------- facts ---
+def facts_cte() -> str:
+    """fn_rows, class_rows, end lines, class context, decorators -> functions_f, classes_f."""
+    t = "trimmed"
+    g = lambda p, i: f"regexp_extract({t}, {q(p)}, {i})"
+    is_fn = ("((language = 'python' AND kind = 'function') OR (language IN ('javascript','typescript') AND kind IN ('function','arrow'))"
+             " OR (language = 'go' AND kind = 'function') OR (language = 'java' AND kind = 'method') OR (language = 'php' AND kind = 'function'))")
+    is_cls = ("(language IN ('python','javascript','typescript','go','java','php') AND (kind = 'class' OR (language = 'go' AND kind IN ('struct','interface'))"
+              " OR (language = 'java' AND kind = 'interface')))")
+    return f"""
+fn_rows AS (
+  SELECT path, language, line, indent, kind, trimmed,
+    CASE WHEN language = 'python' THEN {g(C.PY_FUNCTION, 1)}
+         WHEN language IN ('javascript','typescript') AND kind = 'function' THEN {g(C.JS_FUNCTION, 1)}
+         WHEN language IN ('javascript','typescript') THEN {g(C.JS_ARROW, 1)}
+         WHEN language = 'go' THEN {g(C.GO_FUNCTION, 3)}
+         WHEN language = 'java' THEN {g(C.JAVA_METHOD, 2)}
+         ELSE {g(C.PHP_FUNCTION, 1)} END AS name
+  FROM annotated WHERE {is_fn}),
+class_rows AS (
+  SELECT path, language, line, indent, kind,
+    CASE WHEN kind IN ('struct','interface') THEN kind ELSE 'class' END AS class_kind,
+    CASE WHEN language = 'python' THEN {g(C.PY_CLASS, 1)}
+         WHEN language IN ('javascript','typescript') THEN {g(C.JS_CLASS, 1)}
+         WHEN language = 'go' AND kind = 'struct' THEN {g(C.GO_STRUCT, 1)}
+         WHEN language = 'go' THEN {g(C.GO_INTERFACE, 1)}
+         WHEN language = 'java' AND kind = 'class' THEN {g(C.JAVA_CLASS, 1)}
+         WHEN language = 'java' THEN {g(C.JAVA_INTERFACE, 1)}
+         ELSE {g(C.PHP_CLASS, 1)} END AS name
+  FROM annotated WHERE {is_cls}),
+heads AS (SELECT path, language, line, indent FROM fn_rows UNION SELECT path, language, line, indent FROM class_rows),
+n_lines AS (SELECT path, max(line) AS n FROM annotated GROUP BY path),
+py_cand AS (
+  SELECT path, line, indent FROM annotated
+  WHERE language = 'python' AND trimmed <> '' AND NOT starts_with(trimmed, '#')
+    AND (starts_with(trimmed, 'def ') OR starts_with(trimmed, 'async def ') OR starts_with(trimmed, 'class '))),
+py_end AS (
+  SELECT h.path, h.line, (SELECT min(c.line) FROM py_cand c WHERE c.path = h.path AND c.line > h.line AND c.indent <= h.indent) - 1 AS end_line
+  FROM heads h WHERE h.language = 'python'),
+brace_ev AS (
+  SELECT path, line, i, CASE WHEN ch = '{{' THEN 1 ELSE -1 END AS delta FROM (
+    SELECT path, line, unnest(regexp_extract_all(text, '[{{}}]')) AS ch,
+           unnest(range(len(regexp_extract_all(text, '[{{}}]')))) AS i
+    FROM annotated WHERE language IN ('javascript','typescript','go','java','php'))),
+brace_depth AS (
+  SELECT *, sum(delta) OVER (PARTITION BY path ORDER BY line, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth
+  FROM brace_ev),
+brace_heads AS (
+  SELECT h.path, h.line,
+         coalesce((SELECT sum(delta) FROM brace_ev e WHERE e.path = h.path AND e.line < h.line), 0) AS d0
+  FROM heads h WHERE h.language <> 'python'),
+brace_end AS (
+  SELECT b.path, b.line,
+         (SELECT min(d.line) FROM brace_depth d WHERE d.path = b.path AND d.line >= b.line AND d.delta = -1 AND d.depth = b.d0) AS end_line
+  FROM brace_heads b),
+end_lines AS (SELECT * FROM py_end UNION ALL SELECT * FROM brace_end),
+cls_heads AS (
+  SELECT path, line AS cline,
+         CASE WHEN language = 'python' THEN {g(C.PY_CLASS, 1)} WHEN language = 'java' THEN {g(C.JAVA_CLASS, 1)}
+              ELSE {g(C.PHP_CLASS, 1)} END AS cname
+  FROM annotated WHERE language IN ('python','java','php') AND kind = 'class'),
+dec_rows AS (
+  SELECT path, line, CASE WHEN language = 'python' THEN {g(C.PY_DECORATOR, 1)} ELSE {g(C.JAVA_ANNOTATION, 1)} END AS dname
+  FROM annotated
+  WHERE (language = 'python' AND kind = 'decorator' AND {rx(t, C.PY_DECORATOR)}) OR (language = 'java' AND kind = 'annotation')),
+consumers AS (
+  SELECT path, line AS cl FROM annotated
+  WHERE (language = 'python' AND kind IN ('class','function')) OR (language = 'java' AND kind IN ('class','method'))),
+dec_att AS (SELECT d.path, d.line, d.dname, c.cl FROM dec_rows d ASOF JOIN consumers c ON d.path = c.path AND d.line < c.cl),
+decs AS (SELECT path, cl AS line, list(dname ORDER BY line) AS decorators FROM dec_att GROUP BY path, cl),
+functions_f AS (
+  SELECT substr(sha256('func:' || f.path || ':' || CAST(f.line AS VARCHAR)), 1, 16) AS fn_id,
+         f.path, f.language, f.name, f.line, coalesce(e.end_line, n.n) AS end_line,
+         CASE WHEN f.language IN ('python','php') THEN ch.cname IS NOT NULL
+              WHEN f.language = 'go' THEN {g(C.GO_FUNCTION, 2).replace('trimmed', 'f.trimmed')} <> ''
+              WHEN f.language = 'java' THEN TRUE ELSE FALSE END AS is_method,
+         CASE WHEN f.language IN ('python','php','java') THEN ch.cname
+              WHEN f.language = 'go' THEN nullif({g(C.GO_FUNCTION, 2).replace('trimmed', 'f.trimmed')}, '') END AS class_name,
+         CASE WHEN f.language = 'python' THEN coalesce(list_contains(dd.decorators, 'export'), FALSE) OR starts_with(f.name, 'test_')
+              WHEN f.language IN ('javascript','typescript') AND f.kind = 'function' THEN starts_with(f.trimmed, 'export')
+              WHEN f.language = 'go' THEN substr(f.name, 1, 1) = upper(substr(f.name, 1, 1))
+              WHEN f.language = 'java' THEN contains(f.trimmed, 'public')
+              WHEN f.language = 'php' THEN starts_with(f.name, '__') OR contains(f.trimmed, 'public') END AS is_exported,
+         CASE WHEN f.language = 'python' AND f.indent > 0 THEN ch.cline WHEN f.language IN ('java','php') THEN ch.cline END AS method_of_line,
+         CASE WHEN f.language = 'python' THEN dd.decorators END AS decorators
+  FROM fn_rows f
+  LEFT JOIN end_lines e ON e.path = f.path AND e.line = f.line
+  LEFT JOIN n_lines n ON n.path = f.path
+  ASOF LEFT JOIN cls_heads ch ON ch.path = f.path AND ch.cline < f.line
+  LEFT JOIN decs dd ON dd.path = f.path AND dd.line = f.line),
+classes_f AS (
+  SELECT substr(sha256('class:' || c.class_kind || ':' || c.path || ':' || CAST(c.line AS VARCHAR)), 1, 16) AS class_id,
+         c.path, c.language, c.class_kind AS kind, c.name, c.line, coalesce(e.end_line, n.n) AS end_line, dd.decorators
+  FROM class_rows c
+  LEFT JOIN end_lines e ON e.path = c.path AND e.line = c.line
+  LEFT JOIN n_lines n ON n.path = c.path
+  LEFT JOIN decs dd ON dd.path = c.path AND dd.line = c.line
+  UNION ALL
+  SELECT substr(sha256('class:interface:' || path || ':' || CAST(line AS VARCHAR)), 1, 16), path, language, 'interface',
+         {g(C.TS_INTERFACE, 1)}, line, line, CAST(NULL AS VARCHAR[])
+  FROM annotated WHERE language = 'typescript' AND {rx(t, C.TS_INTERFACE)})"""
+
+
+def graph_cte() -> str:
+    return """
+call_pts AS (SELECT DISTINCT path, line FROM calls),
+callers AS (
+  SELECT p.path, p.line, arg_min(f.fn_id, f.line) AS caller_id
+  FROM call_pts p JOIN functions_f f ON f.path = p.path AND f.line <= p.line AND p.line <= f.end_line
+  GROUP BY p.path, p.line),
+last_def AS (SELECT language, name, path, arg_max(fn_id, line) AS callee_id FROM functions_f GROUP BY language, name, path),
+call_keys AS (SELECT DISTINCT language, name, path FROM calls),
+callee AS (
+  SELECT k.language, k.name, k.path, arg_max(d.callee_id, d.path) AS to_id
+  FROM call_keys k JOIN last_def d ON d.language = k.language AND d.name = k.name AND d.path <= k.path
+  GROUP BY k.language, k.name, k.path),
+calls_n AS (SELECT *, CAST(row_number() OVER (PARTITION BY path, line ORDER BY ord) - 1 AS INTEGER) AS call_ord FROM calls),
+edges AS (
+  SELECT cr.caller_id AS from_id, ce.to_id, c.path, c.language, c.line, c.call_ord
+  FROM calls_n c JOIN callers cr ON cr.path = c.path AND cr.line = c.line
+  JOIN callee ce ON ce.language = c.language AND ce.name = c.name AND ce.path = c.path)"""

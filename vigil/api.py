@@ -37,6 +37,19 @@ def annotate(src: DataFrame) -> DataFrame:
     return _lines.annotate(as_lines(src))
 
 
+def annotate_shared(src: DataFrame, with_calls: bool = False) -> DataFrame:
+    """Annotated lines for plans that read them in many branches (facts, call graph).
+
+    The result is checkpointed to the session's checkpoint folder: the many
+    as-of branches downstream then start from a short lineage (a lost
+    executor re-reads the checkpoint instead of re-running the regex pass),
+    and every later DataFrame step analyses a small plan.
+    """
+    a = _lines.annotate(as_lines(src))
+    cols = ["path", "language", "line", "text", "trimmed", "kind", "indent"] + (["calls"] if with_calls else [])
+    return a.select(*cols).checkpoint(eager=True)
+
+
 def scan(src: DataFrame, mode: str = "standard", rules: set[str] | None = None,
          fallback: str = "auto", min_severity: str | None = None) -> DataFrame:
     """Findings of the built-in detectors, one per (rule, path, line) (fallback rows excepted).
@@ -64,3 +77,29 @@ def calls(src: DataFrame) -> DataFrame:
 
 def imports(src: DataFrame) -> DataFrame:
     return _lines.imports_table(annotate(src))
+
+
+def functions(src: DataFrame, with_params: bool = True) -> DataFrame:
+    from vigil.operators.facts import functions_table
+    return functions_table(annotate_shared(src), with_params)
+
+
+def classes(src: DataFrame) -> DataFrame:
+    from vigil.operators.facts import classes_table
+    return classes_table(annotate_shared(src))
+
+
+def variables(src: DataFrame) -> DataFrame:
+    from vigil.operators.facts import enums
+    return enums(annotate(src))
+
+
+def call_graph(src: DataFrame, language: str | None = None, strict_order: bool = True):
+    """(nodes, edges, named_edges) of the parsed files (optionally one language)."""
+    from vigil.operators import facts, graph
+    a = annotate_shared(src.filter(F.col("language") == language) if language else src, with_calls=True)
+    fns = facts.functions_table(a, with_params=False)
+    cl = _lines.calls_table(a)
+    nodes = graph.call_nodes(fns)
+    edges = graph.call_edges(fns, cl, strict_order=strict_order)
+    return nodes, edges, graph.named_edges(edges, nodes)

@@ -14,12 +14,17 @@ TRIM_BOTH = rf"^{WS_CLASS}+|{WS_CLASS}+$"
 TRIM_START = rf"^{WS_CLASS}+"
 
 
+# the same set as characters, for Spark's (non-regex) character-set trim
+WS_CHARS = ("\t\n\x0b\x0c\r \xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000\ufeff")
+
+
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, TRIM_BOTH, "")
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def js_trim_start(c: Column) -> Column:
-    return F.regexp_replace(c, TRIM_START, "")
+    return F.ltrim(c, F.lit(WS_CHARS))
 
 
 def leading_ws(c: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vigil import catalog as C
 from vigil.functions.ids import fallback_id, finding_id
+from vigil.functions.memo import per_session
 from vigil.functions.severity import danger_level, severity_rank
 
 
@@ -61,6 +62,7 @@ def cwe_label(cwe: str | None) -> Column:
     return F.lit(f"{cwe}: {C.CWE_NAMES.get(cwe, '')}")
 
 
+@per_session
 def user_input() -> Column:
     def build(pats):
         if not pats:
@@ -111,6 +113,11 @@ def _fix_deser() -> Column:
 
 def line_findings(rules: set[str] | None = None) -> Column:
     """array<finding struct> of a line of a parsed language (built-in detectors D1-D15)."""
+    return _line_findings(None if rules is None else frozenset(rules))
+
+
+@per_session
+def _line_findings(rules) -> Column:
     want = (lambda r: True) if rules is None else (lambda r: r in rules)
     ui = F.col("_user_input")
     parts = []
@@ -186,6 +193,7 @@ _FINDINGS_T = ("array<struct<rule_id:string,name:string,description:string,sever
                "owasp:string,fix_suggestion:string,confidence:double,detector_ord:int,match_ord:int>>")
 
 
+@per_session
 def fallback_findings() -> Column:
     """array<finding struct> of the fallback detector: every matching pattern of the line."""
     out = []

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil import catalog as C
+from vigil.functions.memo import per_session
 from vigil.functions.text import js_trim, leading_ws
 
 
@@ -56,6 +57,7 @@ def _nz(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+@per_session
 def line_kind() -> Column:
     """Kind of a line under its language's fact rules."""
     blank = T() == ""
@@ -101,6 +103,7 @@ def line_kind() -> Column:
             .otherwise("unparsed"))
 
 
+@per_session
 def _calls() -> Column:
     """array<struct<name, arguments, ord>> of the calls on an 'other' line."""
     def extract(pat):
@@ -148,6 +151,7 @@ def _named_list(s: Column, frm: Column, keep_empty: bool) -> Column:
         js_trim(F.get(F.split(x, r"\s+as\s+", -1), 1))))
 
 
+@per_session
 def _imports() -> Column:
     """array of import structs found on an import line."""
     empty = F.array().cast(_IMPORT_T)
