@@ -83,6 +83,62 @@ def q_call_edges(spark, sf_dir):
     return named.select("from_id", "from_name", "to_id", "to_name", "path", "language", "line", "call_ord")
 
 
+# ------------------------------------------------------ text tables -------
+USER_TOKEN_RULE = {"id": "USER_TOKEN", "name": "token literal", "description": "user rule: token assigned a literal",
+                   "category": "secrets", "severity": "HIGH", "languages": ["*"], "cwe": "CWE-798",
+                   "owasp": "A07:2021", "enabled": True, "tags": ["secrets"],
+                   "patterns": [{"pattern": r"""(?i)token\s*[=:]\s*["'][^"']+["']"""}]}
+RULE_COLS = ["id", "rule_id", "name", "description", "severity", "severity_rank", "path", "language", "line",
+             "cwe", "owasp", "match_ord"]
+
+
+def _documents(spark, sf_dir, language):
+    return api.table_as_source(_t(spark, sf_dir, "documents"), "doc_id", "text", "doc", language, "txt")
+
+
+def q_rule_scan_documents(spark, sf_dir):
+    pack = api.load_rules(extra_rules=[USER_TOKEN_RULE], spark=spark)
+    return api.rule_scan(_documents(spark, sf_dir, "python"), pack).select(*RULE_COLS)
+
+
+def q_fallback_documents(spark, sf_dir):
+    return api.scan(_documents(spark, sf_dir, "text")).select(*api.FINDING_COLUMNS)
+
+
+def q_scan_pages(spark, sf_dir):
+    pages = api.table_as_source(_t(spark, sf_dir, "pages"), "page_id", "html", "page", "javascript", "html")
+    return api.scan(pages).select(*api.FINDING_COLUMNS)
+
+
+def q_scan_conversations(spark, sf_dir):
+    conv = _t(spark, sf_dir, "conversations")
+    from pyspark.sql import functions as F
+    src = api.table_as_source(conv, F.concat_ws("_", "conv_id", "turn"), "text", "conv", "python", "py")
+    return api.scan(src).select(*api.FINDING_COLUMNS)
+
+
+def q_taint_points(spark, sf_dir):
+    return api.taint_points(_corpus(spark, sf_dir))
+
+
+def q_call_sinks(spark, sf_dir):
+    return api.call_sinks(_corpus(spark, sf_dir))
+
+
+def q_finding_snippets(spark, sf_dir):
+    lines = _corpus(spark, sf_dir)
+    return api.snippets(api.scan(lines), lines)
+
+
+def q_sarif_results(spark, sf_dir):
+    _, res = api.sarif(api.scan(_corpus(spark, sf_dir)))
+    return res.drop("snippet")
+
+
+def q_file_profile(spark, sf_dir):
+    return api.file_profile(_corpus(spark, sf_dir))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_lines": q_corpus_lines,
     "scan_findings": q_scan_findings,
@@ -94,6 +150,15 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classes": q_classes,
     "call_nodes": q_call_nodes,
     "call_edges": q_call_edges,
+    "rule_scan_documents": q_rule_scan_documents,
+    "fallback_documents": q_fallback_documents,
+    "scan_pages": q_scan_pages,
+    "scan_conversations": q_scan_conversations,
+    "taint_points": q_taint_points,
+    "call_sinks": q_call_sinks,
+    "finding_snippets": q_finding_snippets,
+    "sarif_results": q_sarif_results,
+    "file_profile": q_file_profile,
 }
 
 

@@ -103,3 +103,47 @@ def call_graph(src: DataFrame, language: str | None = None, strict_order: bool =
     nodes = graph.call_nodes(fns)
     edges = graph.call_edges(fns, cl, strict_order=strict_order)
     return nodes, edges, graph.named_edges(edges, nodes)
+
+
+def taint_points(src: DataFrame) -> DataFrame:
+    from vigil.operators.taint import taint_points as _tp
+    return _tp(as_lines(src))
+
+
+def call_sinks(src: DataFrame) -> DataFrame:
+    from vigil.operators.taint import call_sinks as _cs
+    return _cs(calls(src))
+
+
+def load_rules(path: str | None = None, extra_rules: list | None = None, spark=None):
+    from vigil.sources.rulepack import load_rule_pack, validate_patterns
+    pack = load_rule_pack(path, extra_rules)
+    return validate_patterns(spark, pack) if spark is not None else pack
+
+
+def rule_scan(files: DataFrame, pack=None) -> DataFrame:
+    """Rule-pack findings over source_files(path, language, content); needs whole contents."""
+    from vigil.operators.rulescan import rule_scan as _rs
+    return _rs(files, pack if pack is not None else load_rules(spark=files.sparkSession))
+
+
+def snippets(findings: DataFrame, src: DataFrame, context: int = 3) -> DataFrame:
+    from vigil.operators.finalize import snippets as _sn
+    return _sn(findings, as_lines(src), context)
+
+
+def sarif(findings: DataFrame):
+    """(rules, results) SARIF row tables."""
+    from vigil.operators import sarif as _s
+    rules = _s.sarif_rules(findings)
+    return rules, _s.sarif_results(findings, rules)
+
+
+def file_profile(src: DataFrame) -> DataFrame:
+    from vigil.operators import facts
+    from vigil.operators.profile import file_profile as _fp
+    lines = as_lines(src)
+    a = annotate_shared(lines, with_calls=True)
+    full = _lines.annotate(lines)
+    return _fp(lines, facts.functions_table(a, with_params=False), facts.classes_table(a),
+               _lines.imports_table(full), _lines.calls_table(a), _detect.detect(full))

@@ -32,3 +32,20 @@ def sort_findings(findings: DataFrame) -> DataFrame:
 def top_findings(findings: DataFrame, k: int = 100) -> DataFrame:
     """The first k findings of the sorted list (TakeOrderedAndProject, no full sort)."""
     return findings.orderBy(*SORT_KEYS).limit(k)
+
+
+def snippets(findings: DataFrame, lines: DataFrame, context: int = 3) -> DataFrame:
+    """Code lines [max(1, l-k), min(n, l+k)] joined by '\\n', per finding id.
+
+    Built after dedup: each finding fans out to 2k+1 (path, line) keys, an
+    equi-join on the line table (keys are unique, so no hot group), then a
+    per-finding regroup of at most 2k+1 rows.
+    """
+    offs = F.explode(F.sequence(F.lit(-context), F.lit(context))).alias("off")
+    want = findings.select("id", "path", F.col("line").alias("at"), offs) \
+        .select("id", "path", "at", (F.col("at") + F.col("off")).alias("line")).filter(F.col("line") >= 1)
+    got = want.join(lines.select("path", "line", "text"), ["path", "line"])
+    return got.groupBy("id", "path", "at").agg(
+        F.min("line").alias("start_line"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n")
+        .alias("code")).withColumnRenamed("at", "line")
