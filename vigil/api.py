@@ -98,7 +98,8 @@ def call_graph(src: DataFrame, language: str | None = None, strict_order: bool =
     """(nodes, edges, named_edges) of the parsed files (optionally one language)."""
     from vigil.operators import facts, graph
     a = annotate_shared(src.filter(F.col("language") == language) if language else src, with_calls=True)
-    fns = facts.functions_table(a, with_params=False)
+    # the function table feeds nodes, edges and both endpoint joins: materialise it once
+    fns = facts.functions_table(a, with_params=False).checkpoint(eager=True)
     cl = _lines.calls_table(a)
     nodes = graph.call_nodes(fns)
     edges = graph.call_edges(fns, cl, strict_order=strict_order)
@@ -145,5 +146,5 @@ def file_profile(src: DataFrame) -> DataFrame:
     lines = as_lines(src)
     a = annotate_shared(lines, with_calls=True)
     full = _lines.annotate(lines)
-    return _fp(lines, facts.functions_table(a, with_params=False), facts.classes_table(a),
+    return _fp(lines, facts.functions_table(a, with_params=False).checkpoint(eager=True), facts.classes_table(a),
                _lines.imports_table(full), _lines.calls_table(a), _detect.detect(full))

@@ -207,7 +207,8 @@ def fallback_findings() -> Column:
     return F.flatten(F.array(*out))
 
 
-def detect(annotated: DataFrame, rules: set[str] | None = None, fallback: str = "auto") -> DataFrame:
+def detect(annotated: DataFrame, rules: set[str] | None = None, fallback: str = "auto",
+           keep: tuple = ()) -> DataFrame:
     """annotated lines -> findings (one row per finding, duplicates already removed).
 
     fallback='auto': fallback detector on languages without fact rules only;
@@ -221,8 +222,9 @@ def detect(annotated: DataFrame, rules: set[str] | None = None, fallback: str =
         arr = F.when(parsed, line_findings(rules)).otherwise(F.array().cast(_FINDINGS_T))
     else:
         arr = F.when(parsed, line_findings(rules)).otherwise(fallback_findings())
-    x = d.select("path", "language", "line", F.explode(arr).alias("f"))
-    return finalize_columns(x.select("path", "language", "line", *[F.col("f." + c).alias(c) for c in FINDING_FIELDS]))
+    x = d.select("path", "language", "line", *keep, F.explode(arr).alias("f"))
+    return finalize_columns(x.select("path", "language", "line", *keep,
+                                     *[F.col("f." + c).alias(c) for c in FINDING_FIELDS]))
 
 
 def finalize_columns(f: DataFrame) -> DataFrame:
