@@ -139,6 +139,11 @@ def q_file_profile(spark, sf_dir):
     return api.file_profile(_corpus(spark, sf_dir))
 
 
+def q_owasp_rollup(spark, sf_dir):
+    from vigil.operators.summary import owasp_rollup
+    return owasp_rollup(api.scan(_corpus(spark, sf_dir)))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "corpus_lines": q_corpus_lines,
     "scan_findings": q_scan_findings,
@@ -159,6 +164,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "finding_snippets": q_finding_snippets,
     "sarif_results": q_sarif_results,
     "file_profile": q_file_profile,
+    "owasp_rollup": q_owasp_rollup,
 }
 
 

@@ -25,3 +25,19 @@ def severity_summary(findings: DataFrame, lines: DataFrame | None = None) -> Dat
                       *[F.lit(0).cast("long").alias(c) for c in SUMMARY_COLUMNS[1:]])
     both = counts.unionByName(files)
     return both.agg(*[F.sum(c).cast("long").alias(c) for c in SUMMARY_COLUMNS])
+
+
+def owasp_rollup(findings: DataFrame) -> DataFrame:
+    """A6 / X5 (extension): findings per OWASP category x severity with subtotals (ROLLUP), category name joined
+    from the 10-row literal map."""
+    names = F.create_map(*[F.lit(x) for k, (n, _) in C.OWASP_TOP_10_2021.items() for x in (k, n)])
+    r = findings.rollup("owasp", "severity").agg(F.count(F.lit(1)).alias("n_findings"),
+                                                 F.grouping_id().alias("gid"))
+    return r.select("owasp", F.element_at(names, F.col("owasp")).alias("owasp_name"), "severity", "n_findings", "gid")
+
+
+def scan_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """X3 (extension): findings added / fixed between two scans, by finding id (anti joins)."""
+    added = new.join(old.select("id"), "id", "left_anti").withColumn("change", F.lit("added"))
+    fixed = old.join(new.select("id"), "id", "left_anti").withColumn("change", F.lit("fixed"))
+    return added.unionByName(fixed)
