@@ -6,7 +6,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import chat, packing, token_count
+from vigil.llm import chat, decontam, embed_dup, near_dup, packing, pii, quality, substring_dedup, token_count, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")).drop("ids")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("matches")
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "\\### Assistant: </turn> ok"
@@ -39,8 +47,36 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_records(warc.write_archives(_table(spark, sf_dir, "pages")), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
+def op9_embed_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents")).drop("intervals")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
+    "op3_decontamination": op3_decontamination,
     "op4_chat": op4_chat,
     "op5_tokens": op5_tokens,
+    "op6_warc": op6_warc,
+    "op7_near_dup": op7_near_dup,
+    "op8_pii": op8_pii,
+    "op9_embed_dup": op9_embed_dup,
+    "op10_substring_dedup": op10_substring_dedup,
 }

@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one Python step holds as words at a time.
 BLOCK_BYTES = 4 << 20
@@ -53,18 +54,50 @@ def texts(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
 
 def blocks(batches: Iterable, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """(other columns as row tuples, texts) in runs of at most max_bytes of text, or one longer text alone."""
+    import pyarrow.compute as pc
     for batch in batches:
         names = [n for n in batch.schema.names if n != "text"]
-        col = batch.column("text")
-        sizes = np.diff(np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]) if len(col) else []
-        start, total = 0, 0
-        for i, size in enumerate([*sizes, None]):
-            if size is None or (total + size > max_bytes and i > start):
-                if i > start:
-                    cut = batch.slice(start, i - start)
-                    yield list(zip(*(cut.column(n).to_pylist() for n in names))), cut.column("text").to_pylist()
-                start, total = i, 0
-            total += size or 0
+        for a, b in runs_of(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), max_bytes):
+            cut = batch.slice(a, b - a)
+            yield list(zip(*(cut.column(n).to_pylist() for n in names))), cut.column("text").to_pylist()
+
+
+def append(df: DataFrame, start, fields: list[tuple[str, str]], text: str = "text") -> DataFrame:
+    """df with further columns computed from its texts in Python, every other column passed on as it is.
+
+    start() is called once in a task and returns run(texts as bytes, rows as
+    a record batch) -> Arrow arrays for fields, (name, type) each.  run gets at
+    most BLOCK_BYTES of text at once, or one longer text.
+    """
+    added = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in fields))
+    schema = StructType(df.schema.fields + added.fields)
+    names = schema.fieldNames()
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        compute = start()
+        for batch in batches:
+            column = batch.column(text)
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            for a, b in runs_of(sizes):
+                part = batch.slice(a, b - a)
+                data = [t or b"" for t in part.column(text).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, *compute(data, part)], names)
+
+    return df.mapInArrow(run, schema)
+
+
+def runs_of(sizes: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of at most ``most`` in sum, or of one longer entry."""
+    first, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and total + size > most:
+            yield first, i
+            first, total = i, 0
+        total += size
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 class WordHashes(dict):
