@@ -27,8 +27,12 @@ except ModuleNotFoundError as e:
         raise
     LLM_QUERIES, LLM_SQL = {}, {}
 else:
-    from vigil.llm.queries import QUERIES as LLM_QUERIES  # noqa: E402
-    from vigil.llm.sql import ORACLE_SQL as LLM_SQL  # noqa: E402
+    import corpus_pipeline
+    from vigil.llm.queries import QUERIES as LLM_QUERIES
+    from vigil.llm.sql import ORACLE_SQL as LLM_SQL
+    LLM_QUERIES = {**LLM_QUERIES, "pipeline": corpus_pipeline.run}
+    if corpus_pipeline.ORACLE_SQL:
+        LLM_SQL = {**LLM_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
