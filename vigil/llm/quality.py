@@ -1,8 +1,10 @@
 """Quality classifier (2): supervised subword embeddings.
 
 A document is the average of learned vectors, one for each of its words and of
-their character n-grams, hashed into BUCKETS rows; a linear layer and a softmax
-over the two labels follow.  Vectors and layer are trained together by
+their character n-grams, hashed into BUCKETS rows, and one more for each word
+that repeats the word before it; a linear layer and a softmax over the two labels
+follow.  The layer's bias is the log share of the labels, so a text that shows
+nothing known gets that share.  Vectors and layer are trained together by
 stochastic gradient descent in numpy, on a sample of at most ``max_rows``
 labelled documents (those with the smallest hash of their id), whole texts.
 
@@ -20,7 +22,9 @@ gives no rows; extra columns are ignored or, in the filter, kept.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,6 +34,8 @@ from vigil.llm.shared import CACHE_WORDS, append
 
 #: Rows of the hashed table, components of a vector, lengths of character n-grams.
 BUCKETS, DIMS, GRAMS = 1 << 16, 16, (3, 4)
+#: Row of a word that repeats the one before it, behind the hashed rows.
+AGAIN = BUCKETS
 #: Words of more bytes than this stand for themselves only, without n-grams.
 LONG_WORD = 64
 
@@ -44,13 +50,19 @@ def features_of(word: bytes) -> list[int]:
     return rows
 
 
+def repeats(words: list[bytes]) -> int:
+    """Words equal to the word before them."""
+    return sum(map(eq, words, words[1:]))
+
+
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(rows, weights) of a text; the weights sum to 1."""
-    from collections import Counter
-    counts: Counter = Counter()
-    for word, n in Counter(text.split()).items():
+    words, counts = text.split(), Counter()
+    for word, n in Counter(words).items():
         for row in features_of(word):
             counts[row] += n
+    counts[AGAIN] += repeats(words)
+    counts += Counter()  # drops a zero
     rows = np.fromiter(counts.keys(), np.int64, len(counts))
     weights = np.fromiter(counts.values(), np.float64, len(counts))
     return rows, weights / weights.sum() if len(counts) else weights
@@ -63,14 +75,15 @@ class Model:
     bias: float
 
 
-def train(examples: list[tuple[bytes, int]], epochs: int = 8, rate: float = 0.5, seed: int = 11) -> Model:
+def train(examples: list[tuple[bytes, int]], epochs: int = 6, rate: float = 0.5, seed: int = 11) -> Model:
     """Stochastic gradient descent over (text, label), one document a step, with a falling rate."""
     if not examples:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+        return Model(np.zeros(BUCKETS + 1, np.float32), 0.0)
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS, DIMS))
-    layer, bias = rng.uniform(-1 / DIMS, 1 / DIMS, (2, DIMS)), np.zeros(2)
+    vectors = rng.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS + 1, DIMS))
+    layer = rng.uniform(-1 / DIMS, 1 / DIMS, (2, DIMS))
     bags, labels = [bag(t) for t, _ in examples], [y for _, y in examples]
+    bias = np.log((np.bincount(labels, minlength=2) + 1) / (len(labels) + 2))
     steps, done = epochs * len(bags), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -84,7 +97,6 @@ def train(examples: list[tuple[bytes, int]], epochs: int = 8, rate: float = 0.5,
             error[labels[i]] -= 1
             back = layer.T @ error
             layer -= step * np.outer(error, mean)
-            bias -= step * error
             if len(rows):
                 # a row's gradient is its weight; divided by the largest weight so that long texts teach as much as short ones
                 vectors[rows] -= np.outer(step * weights / weights.max(), back)
@@ -107,6 +119,13 @@ class WordShares(dict):
         return share
 
 
+def margin(words: list[bytes], shares, model: Model) -> float:
+    """Difference of the two outputs for a text's words."""
+    again = repeats(words)
+    total = sum(map(shares, words), complex(float(model.rows[AGAIN]) * again, again))
+    return (total.real / total.imag if total.imag else 0.0) + model.bias
+
+
 def held_out(doc_id):
     """Rows never learned from: crc32(doc_id as text) mod 5 = 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
@@ -136,8 +155,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         def run(data, part):
             out = np.zeros(len(data))
             for i, text in enumerate(data):
-                total = sum(map(shares, text.split()), 0j)
-                out[i] = (total.real / total.imag if total.imag else 0.0) + model.bias
+                out[i] = margin(text.split(), shares, model)
             return [pa.array(1 / (1 + np.exp(-np.clip(out, -50, 50))))]
         return run
 
