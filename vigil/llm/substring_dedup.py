@@ -108,8 +108,8 @@ def _candidates(docs: DataFrame, window: int) -> DataFrame:
     return append(docs, start, [("starts", "array<int>"), ("hashes", "array<bigint>")]).drop("shared")
 
 
-def _kept(docs: DataFrame, window: int) -> DataFrame:
-    """docs (with starts of removed windows) plus what is left of them."""
+def _kept(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
+    """docs (with starts of removed windows): what is left of them, as a digest and, if asked for, as text."""
 
     def start():
         import pyarrow as pa
@@ -125,7 +125,7 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
                 left = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                 turns = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
                 removed.append(int(gone.sum()))
-                kept.append(left.decode("utf-8", "replace"))
+                kept.append(left.decode("utf-8", "replace") if with_text else None)
                 digests.append(hashlib.sha256(left).hexdigest())
                 spans.append([{"start": int(a), "end": int(b)} for a, b in turns.reshape(-1, 2)])
             return [pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string()),
@@ -134,7 +134,7 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
 
     fields = [("n_removed", "bigint"), ("kept_sha256", "string"), ("kept", "string"),
               ("intervals", "array<struct<start:int,end:int>>")]
-    return append(docs, start, fields).drop("text", "removed")
+    return append(docs, start, fields).drop("text", "removed", *([] if with_text else ["kept"]))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -156,7 +156,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, with_text: bool = Fa
                     .filter("first < last").select("hash", "first"))
     gone = (found.join(first, "hash").filter("doc_id > first").select(*key, "start").distinct()
             .groupBy(*key).agg(F.collect_list("start").alias("removed")))
-    changed = written(_kept(some.select(*key, "text").distinct().join(gone, key), window))
+    # rows that repeat a document repeat its result: they are made one after the text is gone
+    changed = written(_kept(some.select(*key, "text").join(gone, key), window, with_text).dropDuplicates(key))
     out = survey.join(changed, key, "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("kept_sha256", "digest").alias("kept_sha256"),
