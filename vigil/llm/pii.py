@@ -39,6 +39,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+INNER = LOCAL | {"@"}
 #: Chunks that hold a digit or an @, with single spaces between them.
 ZONE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*+")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
@@ -122,12 +123,16 @@ class Zone:
         self.n = len(self.edges) - 1
         before = text[max(0, start - 24):start].split()
         self.segments = []  # (first token, end token, feature slots)
+        # a segment neither begins nor ends inside a name, number or address
+        ends = [self._free(text, b) for b in self.edges]
         for i in range(self.n):
-            if text[self.edges[i]] == " ":
+            if text[self.edges[i]] == " " or self.edges[i] > 0 and text[self.edges[i] - 1] in INNER:
                 continue
             word = (text[max(start, self.edges[i] - 24):self.edges[i]].split() or before or [""])[-1].strip(":(#").lower()
             left = _class(text[self.edges[i] - 1]) if self.edges[i] > 0 else "^"
             for j in range(i + 1, min(self.n, i + MAX_TOKENS) + 1):
+                if not ends[j]:
+                    continue
                 a, b = self.edges[i], self.edges[j]
                 piece = text[a:b]
                 if piece[-1] == " " or b - a > 80 or not ("@" in piece or sum("0" <= c <= "9" for c in piece) >= 4):
@@ -140,6 +145,12 @@ class Zone:
                 key = (*cache[piece], f"word:{word[:12]}", f"left:{left}", f"right:{right}", "bias")
                 self.segments.append((i, j, key))
 
+    @staticmethod
+    def _free(text: str, at: int) -> bool:
+        if at < len(text) and text[at] == ".":
+            at += 1  # a full stop may follow
+        return at >= len(text) or text[at] not in INNER
+
     def slots(self, cache: dict) -> list[np.ndarray]:
         out = []
         for _, _, names in self.segments:
