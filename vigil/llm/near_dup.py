@@ -10,14 +10,18 @@
    other blocks in every order.  Neighbours are candidates.
 3. Candidates whose signatures agree enough are compared on their full sets;
    confirmed links are joined into components.
-4. The rest, whole: in every region that still holds several components, each
-   class outside the region's largest component is compared with all classes
-   of other components there.  A pair within one component needs no test, as
-   another link changes nothing.
+4. The rest, whole: in every region that still holds several components, the
+   signatures of all classes of different components are compared, block by
+   block.  Classes that agree enough, directly or through others, form a
+   family; a family's full sets are compared by shingle postings, again only
+   across components, as another link within one changes nothing.  Blocks yield
+   forests of the pairs found, never the pairs.
 
 So a pair is tested unless it shares no region at all: at the threshold that
-has a chance of (1 - threshold^DEPTH)^ORDERS, about 5e-6 for 0.75.  The estimate
-from HASHES positions rejects pairs more than 5 standard deviations below it.
+has a chance of (1 - threshold^DEPTH)^ORDERS, about 5e-6 for 0.75.  "Agree enough"
+rejects pairs more than 5 standard deviations below the threshold.  The work of
+step 4 grows with (classes outside the largest component) x (classes) of a
+region or family, in numpy; its rows grow with the classes and the blocks.
 
 Words: A-Z lower-cased, then ``[^\\x20\\x09-\\x0D]+``.  With fewer words than a
 shingle the whole sequence is the one shingle; null or wordless texts have an
@@ -36,6 +40,8 @@ from vigil.llm.shared import append, mixed, runs_of, word_hashes, written
 
 SHINGLE, HASHES, ORDERS, DEPTH = 5, 128, 32, 4
 REGION_ROWS = 512
+#: Classes of a block in the comparisons across components.
+BLOCK_ROWS = 512
 #: Bits of each position that travel with a class through a sort; two positions to a byte.
 SKETCH_BITS = 4
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -203,26 +209,9 @@ def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (((z >> SKETCH_BITS) == 0).sum(axis=1) + ((z & ((1 << SKETCH_BITS) - 1)) == 0).sum(axis=1)) / HASHES
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose signatures agree enough."""
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"))
-    least = threshold - 5 * (threshold * (1 - threshold) / HASHES) ** 0.5
-
-    def run(batches):
-        import pyarrow as pa
-        for batch in batches:
-            if len(batch):
-                share = (_sig_rows(batch.column("sig_a")) == _sig_rows(batch.column("sig_b"))).mean(axis=1)
-                yield batch.select(["a", "b"]).filter(pa.array(share >= least))
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs whose full sets reach the threshold (a fraction of integers)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    side = lambda x: some.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
     upper, lower = threshold
 
     def run(batches):
@@ -242,6 +231,122 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) ->
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _across(rows: DataFrame, group: str, value: str, links_of) -> DataFrame:
+    """Forest edges (a, b) between members of a group in different components.
+
+    rows: (group, id, component, value).  Members outside the group's largest
+    component are dealt into blocks, and so are the others; every block of the
+    former meets every block of both, so no task holds more than two blocks
+    and members of the largest component never meet each other.
+    links_of(values of the left, values of the right) -> (i, j) index arrays
+    of the pairs that count.
+    """
+    parts = rows.groupBy(group, "component").agg(F.count("*").alias("n"))
+    top = written(parts.groupBy(group).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("n_main"),
+                                           F.max_by("component", F.struct("n", "component")).alias("main"))
+                  .filter("k > 1").select(group, "main", F.ceil((F.col("n") - F.col("n_main")) / BLOCK_ROWS).cast("int").alias("n_rest"),
+                                          F.ceil(F.col("n_main") / BLOCK_ROWS).cast("int").alias("n_main")))
+    d = written(rows.select(group, "id", "component")).join(top, group)
+    is_main = F.col("component") == F.col("main")
+    block = F.pmod(F.xxhash64("id", group), F.when(is_main, F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    meet = lambda lo, hi, main, side: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(main).alias("with_main"), side.alias("side"))
+    rest = F.transform(each(F.col("n_rest")), lambda o: meet(F.least(block, o), F.greatest(block, o), False, (block > o).cast("int")))
+    rest = F.concat(rest, F.transform(each(F.col("n_main")), lambda o: meet(block, o, True, F.lit(0))))
+    main = F.transform(each(F.col("n_rest")), lambda o: meet(o, block, True, F.lit(1)))
+    d = d.select(group, "id", "component", F.explode(F.when(is_main, main).otherwise(rest)).alias("m"))
+    d = d.select(group, "m.lo", "m.hi", "m.with_main", "m.side", "id", "component")
+    d = d.join(rows.select(group, "id", value), [group, "id"])
+    keys = [group, "with_main", "lo", "hi"]
+    d = d.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "side", "id") \
+        .select(*keys, "side", "id", "component", value)
+
+    def forest(side, ids, components, values):
+        import pyarrow as pa
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(left):
+            return None
+        within = not len(right)
+        right = left if within else right
+        i, j = links_of([values[k] for k in left], None if within else [values[k] for k in right])
+        i, j = left[i], right[j]
+        apart = components[i] != components[j]
+        parent: dict[int, int] = {}
+        out = []
+        for x, y in zip(i[apart].tolist(), j[apart].tolist()):
+            a, b = x, y
+            while parent.get(a, a) != a:
+                a = parent[a]
+            while parent.get(b, b) != b:
+                b = parent[b]
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[x]), int(ids[y])))
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"]) if out else None
+
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:4] != now:
+                    if len(held) > 1 and (got := forest(*_columns(held))) is not None:
+                        yield got
+                    held, now = [], row[:4]
+                held.append(row[4:])
+        if len(held) > 1 and (got := forest(*_columns(held))) is not None:
+            yield got
+
+    def _columns(held):
+        return (*(np.array([r[k] for r in held]) for k in range(3)), [r[3] for r in held])
+
+    return d.mapInArrow(run, "a long, b long")
+
+
+def _alike(threshold: float):
+    """Pairs whose sketches agree enough."""
+    least = _floor(threshold)
+
+    def links_of(left, right):
+        x = np.frombuffer(b"".join(left), np.uint8).reshape(len(left), -1)
+        y = x if right is None else np.frombuffer(b"".join(right), np.uint8).reshape(len(right), -1)
+        i, j = [], []
+        for k in range(len(x)):
+            z = x[k] ^ (y[k + 1:] if right is None else y)
+            at = np.flatnonzero((((z >> SKETCH_BITS) == 0).sum(axis=1) + ((z & ((1 << SKETCH_BITS) - 1)) == 0).sum(axis=1)) >= least * HASHES)
+            i.append(np.full(len(at), k))
+            j.append(at + k + 1 if right is None else at)
+        return np.concatenate(i), np.concatenate(j)
+
+    return links_of
+
+
+def _overlapping(threshold: tuple[int, int]):
+    """Pairs whose full sets reach the threshold, by postings: one lookup counts a set's overlap with a whole block."""
+    upper, lower = threshold
+
+    def links_of(left, right):
+        sets = shingle_sets([t.encode() for t in left])
+        others = sets if right is None else shingle_sets([t.encode() for t in right])
+        sizes = np.array([len(s) for s in others])
+        shingles, owner = np.concatenate(others), np.repeat(np.arange(len(others)), sizes)
+        order = np.argsort(shingles, kind="stable")
+        shingles, owner = shingles[order], owner[order]
+        i, j = [], []
+        for k, own in enumerate(sets):
+            first, last = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
+            n = last - first
+            places = np.repeat(first - np.concatenate([[0], np.cumsum(n[:-1])]), n) + np.arange(n.sum())
+            common = np.bincount(owner[places], minlength=len(others))
+            at = np.flatnonzero((common > 0) & (lower * common >= upper * (len(own) + sizes - common)))
+            if right is None:
+                at = at[at > k]
+            i.append(np.full(len(at), k))
+            j.append(at)
+        return np.concatenate(i), np.concatenate(j)
+
+    return links_of
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; links have 100 * |A and B| >= percent * |A or B|."""
     threshold, fraction = percent / 100, (percent, 100)
@@ -253,24 +358,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = written(regions.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1"))
     members = written(regions.join(shared, "region").select(
         "region", "id", "ord", F.pmod(F.xxhash64("id", "region"), F.ceil(F.col("size") / REGION_ROWS)).cast("int").alias("block")))
-    rows = _tails(members.join(classes.select("id", "n", "sig"), "id"))
-    rows = rows.repartition(F.col("region"), F.col("block")).sortWithinPartitions("region", "block", "tail", "id")
+    tails = written(_tails(members.join(classes.select("id", "n", "sig"), "id")))
+    rows = tails.repartition(F.col("region"), F.col("block")).sortWithinPartitions("region", "block", "tail", "id")
     first = written(_neighbours(rows, threshold).distinct())
-    links = written(_confirmed(first, docs, fraction))
-    component = written(connected_components(links))
-
-    # what the neighbours left open: members of one region in different components
-    placed = written(members.select("region", "id").join(component, "id", "left")
-                     .select("region", "id", F.coalesce("component", "id").alias("component")))
-    parts = placed.groupBy("region", "component").agg(F.count("*").alias("size"))
-    mixed_regions = written(parts.groupBy("region").agg(F.count("*").alias("n"), F.max_by("component", F.struct("size", "component"))
-                                                       .alias("main")).filter("n > 1").select("region", "main"))
-    inside = written(placed.join(mixed_regions, "region"))
-    x = inside.filter("component <> main").select("region", F.col("id").alias("x"), F.col("component").alias("cx"))
-    pairs = x.join(inside, "region").filter("cx <> component AND (component = main OR x < id)")
-    pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    rest = written(_alike(pairs.join(first, ["a", "b"], "left_anti"), classes, threshold))
-    links = links.unionByName(_confirmed(rest, docs, fraction))
+    # only texts of classes that share a region are needed again
+    near = members.select(F.col("id").alias("doc_id")).distinct()
+    texts = written(docs.join(near, "doc_id", "left_semi").withColumnRenamed("doc_id", "id"))
+    links = written(_confirmed(first, texts, fraction))
+    component = connected_components(links)
+
+    # what the neighbours left open: classes of one region in different components
+    placed = written(tails.select("region", "id", "tail").join(component, "id", "left")
+                     .withColumn("component", F.coalesce("component", "id")))
+    alike = _across(placed, "region", "tail", _alike(threshold)).distinct()
+    family = connected_components(written(alike))
+    family = written(family.unionByName(family.select(F.col("component").alias("id"), "component").distinct())
+                     .select("id", F.col("component").alias("family")))
+    inside = (texts.join(family, "id").join(component, "id", "left")
+              .select("family", "id", F.coalesce("component", "id").alias("component"), "text"))
+    links = links.unionByName(_across(written(inside), "family", "text", _overlapping(fraction)))
     component = written(connected_components(links))
 
     per_class = written(classes.join(component, "id", "left").select("h1", "h2", F.col("n").alias("n_shingles"),
