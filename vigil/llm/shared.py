@@ -14,8 +14,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of text that one Python step holds as words at a time.
 BLOCK_BYTES = 4 << 20
-#: Entries that a worker's word cache may hold before it is emptied.
-CACHE_WORDS = 800_000
+#: Entries that a worker's cache may hold before it is emptied: token ids or counts, word hashes.
+CACHE_WORDS, CACHE_HASHES = 500_000, 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -101,11 +101,11 @@ def runs_of(sizes: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, i
 
 
 class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, computed once per worker and word; emptied when it holds CACHE_WORDS."""
+    """word (bytes) -> 64-bit hash, computed once per worker and word; emptied when it holds CACHE_HASHES."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_HASHES:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
