@@ -44,6 +44,25 @@ code_lines AS (
   FROM ev JOIN tpl ON user_id % 6 = k AND (rn - 1) % 10 = slot)"""
 
 
+def file_cte() -> str:
+    """files(path, language, content): templates by doc_id, then the document's text."""
+    from vigil.sources.corpus import FILE_TEMPLATES
+    n = len(FILE_TEMPLATES)
+    pick = lambda f: f"CASE doc_id % {n} " + " ".join(f"WHEN {t[0]} THEN {q(f(t))}" for t in FILE_TEMPLATES) + " END"
+    head = pick(lambda t: "\n".join(t[3]) + "\n")
+    return f"""
+files AS (SELECT 'doc/d' || CAST(doc_id AS VARCHAR) || '.' || {pick(lambda t: t[2])} AS path, {pick(lambda t: t[1])} AS language,
+                 replace({head}, '{{id}}', CAST(doc_id AS VARCHAR)) || coalesce(text, '') AS content FROM documents)"""
+
+
+def file_lines_cte() -> str:
+    return file_cte() + """,
+code_lines AS (
+  SELECT path, language, CAST(u.i AS INTEGER) AS line, u.piece AS text
+  FROM files, LATERAL (SELECT unnest(string_split(content, chr(10))) AS piece,
+                              unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i) u)"""
+
+
 def table_lines_cte(name: str, table: str, key: str, text: str, prefix: str, language: str, ext: str) -> str:
     """code_lines of a text table (path = prefix/key.ext), split on newline, 1-based."""
     return f"""
@@ -251,8 +270,8 @@ def findings_cte(rules=None, fallback="auto") -> str:
                     if v else "FALSE")
     crit = " OR ".join(f"contains(entry, {q(c)})" for c in C.DANGER_CRITICAL)
     high = " OR ".join(f"contains(entry, {q(c)})" for c in C.DANGER_HIGH)
-    fix_sql = _map_case(C.FIX_SQL, "使用参数化查询，避免字符串拼接SQL")
-    fix_deser = _map_case(C.FIX_DESER, "避免反序列化不受信任的数据")
+    fix_sql = _map_case(C.FIX_SQL, C.FIX_SQL_DEFAULT)
+    fix_deser = _map_case(C.FIX_DESER, C.FIX_DESER_DEFAULT)
     cte = f"""
 L AS (SELECT *, {user_input_expr()} AS ui, {sql_line} AS sql_line FROM annotated WHERE {parsed}),
 call_flags AS (
@@ -333,9 +352,10 @@ raw_findings AS ("""
         parts = []
     for k, (pat, name, sev, desc) in enumerate(C.FALLBACK_PATTERNS):
         parts.append(
-            f"SELECT path, language, line, 'PATTERN_MATCH', {q(name)}, {q(desc)}, {q(sev)}, CAST(NULL AS VARCHAR), "
-            f"CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(0.7 AS DOUBLE), {C.DETECTOR_ORDER['PATTERN_MATCH']}, "
-            f"{k} FROM annotated WHERE {fb_where} AND {rx('text', pat)}")
+            f"SELECT path, language, line, 'PATTERN_MATCH' AS rule_id, {q(name)} AS name, {q(desc)} AS description, {q(sev)} AS severity, "
+            f"CAST(NULL AS VARCHAR) AS cwe, CAST(NULL AS VARCHAR) AS owasp, CAST(NULL AS VARCHAR) AS fix_suggestion, "
+            f"CAST(0.7 AS DOUBLE) AS confidence, {C.DETECTOR_ORDER['PATTERN_MATCH']} AS detector_ord, "
+            f"{k} AS match_ord FROM annotated WHERE {fb_where} AND {rx('text', pat)}")
     cte += "\n  UNION ALL\n  ".join(parts) + "),"
     sev_rank = "CASE severity " + " ".join(f"WHEN {q(k)} THEN {v}" for k, v in C.SEVERITY_RANK.items()) + " ELSE 0 END"
     cte += f"""
@@ -357,6 +377,42 @@ def with_ctes(*ctes: str) -> str:
 
 
 # ----------------------------------------------------------------- facts ---
+def _params_sql(col: str, lang: str, kind: str) -> str:
+    """Parameter list as text (name|type|default|optional|variadic; '-' for none), per language."""
+    trim = lambda x: f"regexp_replace({x}, {q(TRIM_BOTH)}, '', 'g')"
+    parts = lambda c: f"list_transform(string_split({c}, ','), lambda x: {trim('x')})"
+    g = lambda p, i: f"regexp_extract(x, {q(p)}, {i})"
+    opt = lambda p, i: f"coalesce({trim(f'nullif({g(p, i)}, {q('')})')}, '-')"
+
+    def each(src, keep, *fields):
+        kept = f"list_filter({src}, lambda x: {keep})"
+        return f"array_to_string(list_transform({kept}, lambda x: {' || chr(124) || '.join(fields)}), ';')"
+    yes = lambda c: f"CASE WHEN {c} THEN 'true' ELSE 'false' END"
+    none = "'-'"
+    py = each(parts(col), f"x <> '' AND x NOT IN ('self', 'cls') AND {rx('x', C.PY_PARAM)}", g(C.PY_PARAM, 1), opt(C.PY_PARAM, 2),
+              opt(C.PY_PARAM, 3), yes(f"{g(C.PY_PARAM, 3)} <> ''"), yes("starts_with(x, '*')"))
+    js = each(parts(col), "TRUE", trim("string_split(x, '=')[1]"), none, f"coalesce({trim('string_split(x, chr(61))[2]')}, '-')",
+              yes("coalesce(string_split(x, '=')[2] <> '', FALSE)"), none)
+    # commas inside one level of angle brackets are set aside while splitting
+    aside = f"regexp_replace({col}, '<([^<>,]*),([^<>]*)>', '<' || chr(92) || '1' || chr(1) || chr(92) || '2>', 'g')"
+    ts_parts = f"list_transform(string_split({aside}, ','), lambda x: replace({trim('x')}, chr(1), ','))"
+    ts = each(ts_parts, f"x <> '' AND {rx('x', C.TS_PARAM)}", g(C.TS_PARAM, 2), opt(C.TS_PARAM, 4), opt(C.TS_PARAM, 5),
+              yes(f"{g(C.TS_PARAM, 3)} <> '' OR {g(C.TS_PARAM, 5)} <> ''"), yes(f"{g(C.TS_PARAM, 1)} <> ''"))
+    go = each(parts(col), f"x <> '' AND {rx('x', C.GO_PARAM)}", g(C.GO_PARAM, 1), opt(C.GO_PARAM, 2), none, none, none)
+    java = each(parts(col), f"x <> '' AND {rx('x', C.JAVA_PARAM)}", g(C.JAVA_PARAM, 2), f"replace({g(C.JAVA_PARAM, 1)}, '...', '[]')",
+                none, none, yes(f"contains({g(C.JAVA_PARAM, 1)}, '...')"))
+    php = each(parts(col), f"x <> '' AND {rx('x', C.PHP_PARAM)}", g(C.PHP_PARAM, 2), f"coalesce(nullif({g(C.PHP_PARAM, 1)}, ''), '-')",
+               opt(C.PHP_PARAM, 3), yes(f"{g(C.PHP_PARAM, 3)} <> ''"), none)
+    return f"""coalesce(CASE WHEN {trim(col)} = '' THEN '' WHEN {lang} = 'python' THEN {py} WHEN {lang} = 'javascript' THEN {js}
+      WHEN {lang} = 'typescript' THEN {ts} WHEN {lang} = 'go' THEN {go} WHEN {lang} = 'java' THEN {java} ELSE {php} END, '')"""
+
+
+def _names_sql(expr: str, drop_empty: bool) -> str:
+    """'A, B' -> list of trimmed names."""
+    parts = f"list_transform(string_split({expr}, ','), lambda x: regexp_replace(x, {q(TRIM_BOTH)}, '', 'g'))"
+    return f"list_filter({parts}, lambda x: x <> '')" if drop_empty else parts
+
+
 def facts_cte() -> str:
     """fn_rows, class_rows, end lines, class context, decorators -> functions_f, classes_f."""
     t = "trimmed"
@@ -373,7 +429,17 @@ fn_rows AS (
          WHEN language IN ('javascript','typescript') THEN {g(C.JS_ARROW, 1)}
          WHEN language = 'go' THEN {g(C.GO_FUNCTION, 3)}
          WHEN language = 'java' THEN {g(C.JAVA_METHOD, 2)}
-         ELSE {g(C.PHP_FUNCTION, 1)} END AS name
+         ELSE {g(C.PHP_FUNCTION, 1)} END AS name,
+    CASE WHEN language = 'python' THEN {g(C.PY_FUNCTION, 2)}
+         WHEN language IN ('javascript','typescript') AND kind = 'function' THEN {g(C.JS_FUNCTION, 2)}
+         WHEN language IN ('javascript','typescript') THEN ''
+         WHEN language = 'go' THEN {g(C.GO_FUNCTION, 4)}
+         WHEN language = 'java' THEN {g(C.JAVA_METHOD, 3)}
+         ELSE {g(C.PHP_FUNCTION, 2)} END AS params,
+    CASE WHEN language = 'python' THEN nullif({g(C.PY_FUNCTION, 3)}, '') WHEN language = 'go' THEN nullif({g(C.GO_FUNCTION, 5)}, '')
+         WHEN language = 'java' THEN {g(C.JAVA_METHOD, 1)} END AS return_type,
+    CASE WHEN language = 'python' THEN contains({g(C.PY_FUNCTION, 0)}, 'async ')
+         WHEN language IN ('javascript','typescript') THEN contains(trimmed, 'async ') END AS is_async
   FROM annotated WHERE {is_fn}),
 class_rows AS (
   SELECT path, language, line, indent, kind,
@@ -384,7 +450,15 @@ class_rows AS (
          WHEN language = 'go' THEN {g(C.GO_INTERFACE, 1)}
          WHEN language = 'java' AND kind = 'class' THEN {g(C.JAVA_CLASS, 1)}
          WHEN language = 'java' THEN {g(C.JAVA_INTERFACE, 1)}
-         ELSE {g(C.PHP_CLASS, 1)} END AS name
+         ELSE {g(C.PHP_CLASS, 1)} END AS name,
+    CASE WHEN language = 'python' THEN {_names_sql(g(C.PY_CLASS, 2), True)}[1]
+         WHEN language IN ('javascript','typescript') THEN nullif({g(C.JS_CLASS, 2)}, '')
+         WHEN language = 'java' AND kind = 'class' THEN nullif({g(C.JAVA_CLASS, 2)}, '')
+         WHEN language = 'php' THEN nullif({g(C.PHP_CLASS, 2)}, '') END AS parent_class,
+    CASE WHEN language = 'python' THEN coalesce(array_to_string({_names_sql(g(C.PY_CLASS, 2), True)}[2:], ','), '')
+         WHEN language = 'java' AND kind = 'class' THEN array_to_string({_names_sql(f"nullif({g(C.JAVA_CLASS, 3)}, '')", False)}, ',')
+         WHEN language = 'java' THEN array_to_string({_names_sql(f"nullif({g(C.JAVA_INTERFACE, 2)}, '')", False)}, ',')
+         WHEN language = 'php' THEN array_to_string({_names_sql(f"nullif({g(C.PHP_CLASS, 3)}, '')", False)}, ',') END AS interfaces
   FROM annotated WHERE {is_cls}),
 heads AS (SELECT path, language, line, indent FROM fn_rows UNION SELECT path, language, line, indent FROM class_rows),
 n_lines AS (SELECT path, max(line) AS n FROM annotated GROUP BY path),
@@ -428,7 +502,8 @@ dec_att AS (SELECT d.path, d.line, d.dname, c.cl FROM dec_rows d ASOF JOIN consu
 decs AS (SELECT path, cl AS line, list(dname ORDER BY line) AS decorators FROM dec_att GROUP BY path, cl),
 functions_f AS (
   SELECT substr(sha256('func:' || f.path || ':' || CAST(f.line AS VARCHAR)), 1, 16) AS fn_id,
-         f.path, f.language, f.name, f.line, coalesce(e.end_line, n.n) AS end_line,
+         f.path, f.language, f.name, f.line, coalesce(e.end_line, n.n) AS end_line, f.return_type, f.is_async,
+         {_params_sql('f.params', 'f.language', 'f.kind')} AS parameters,
          CASE WHEN f.language IN ('python','php') THEN ch.cname IS NOT NULL
               WHEN f.language = 'go' THEN {g(C.GO_FUNCTION, 2).replace('trimmed', 'f.trimmed')} <> ''
               WHEN f.language = 'java' THEN TRUE ELSE FALSE END AS is_method,
@@ -448,14 +523,15 @@ functions_f AS (
   LEFT JOIN decs dd ON dd.path = f.path AND dd.line = f.line),
 classes_f AS (
   SELECT substr(sha256('class:' || c.class_kind || ':' || c.path || ':' || CAST(c.line AS VARCHAR)), 1, 16) AS class_id,
-         c.path, c.language, c.class_kind AS kind, c.name, c.line, coalesce(e.end_line, n.n) AS end_line, dd.decorators
+         c.path, c.language, c.class_kind AS kind, c.name, c.line, coalesce(e.end_line, n.n) AS end_line,
+         c.parent_class, c.interfaces, dd.decorators
   FROM class_rows c
   LEFT JOIN end_lines e ON e.path = c.path AND e.line = c.line
   LEFT JOIN n_lines n ON n.path = c.path
   LEFT JOIN decs dd ON dd.path = c.path AND dd.line = c.line
   UNION ALL
   SELECT substr(sha256('class:interface:' || path || ':' || CAST(line AS VARCHAR)), 1, 16), path, language, 'interface',
-         {g(C.TS_INTERFACE, 1)}, line, line, CAST(NULL AS VARCHAR[])
+         {g(C.TS_INTERFACE, 1)}, line, line, nullif({g(C.TS_INTERFACE, 2)}, ''), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR[])
   FROM annotated WHERE language = 'typescript' AND {rx(t, C.TS_INTERFACE)})"""
 
 

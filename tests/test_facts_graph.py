@@ -46,16 +46,71 @@ def test_python_facts(lines_of):
 
 
 def test_call_graph(lines_of):
-    nodes, edges, named = api.call_graph(lines_of({"m.py": PY}))
-    pairs = {(r.from_name, r.to_name) for r in named.collect()}
-    assert pairs == {("top", "helper"), ("top", "top")} or pairs == {("top", "helper"), ("m", "top")}
+    nodes, edges = api.call_graph(lines_of({"m.py": PY}))
+    assert {(r.from_name, r.to_name) for r in edges.collect()} == {("top", "helper"), ("m", "top")}
     ids = {r.node_id for r in nodes.collect()}
     assert all(r.from_id in ids and r.to_id in ids for r in edges.collect())
 
 
 def test_asof_name_resolution_uses_file_order(lines_of):
     files = {"a.py": "def f():\n    g()\n", "b.py": "def g():\n    pass\n", "c.py": "def h():\n    g()\n"}
-    _, _, named = api.call_graph(lines_of(files))
-    got = {(r.path, r.to_name) for r in named.collect()}
+    _, edges = api.call_graph(lines_of(files))
     # a.py is read before g is defined in b.py: no edge; c.py resolves to b.py's g
-    assert got == {("c.py", "g")}
+    assert {(r.path, r.to_name) for r in edges.collect()} == {("c.py", "g")}
+    _, anywhere = api.call_graph(lines_of(files), strict_order=False)
+    assert {(r.path, r.to_name) for r in anywhere.collect()} == {("a.py", "g"), ("c.py", "g")}
+
+
+def test_many_unclosed_functions_in_one_file(lines_of):
+    """Every function runs to the file's end; each call belongs to the first of them, at a cost linear in the lines."""
+    n = 5000
+    text = "".join(f"function f{i}() {{\n  f0(x);\n" for i in range(n))
+    nodes, edges = api.call_graph(lines_of({"big.js": text}))
+    assert nodes.count() == n
+    rows = edges.groupBy("from_name", "to_name").count().collect()
+    assert [(r.from_name, r.to_name, r["count"]) for r in rows] == [("f0", "f0", n)]
+
+
+def test_python_end_lines_with_many_indents(lines_of):
+    import random
+    rng = random.Random(1)
+    indents = [rng.choice([0, 1, 2, 3, 4, 7, 8, 12, 40, 3000]) for _ in range(120)]
+    text = "".join(" " * k + f"def f{i}(a):\n" for i, k in enumerate(indents))
+    got = {r.name: r.end_line for r in api.functions(lines_of({"x.py": text}), with_params=False).collect()}
+    for i, k in enumerate(indents):
+        nxt = next((j for j in range(i + 1, len(indents)) if indents[j] <= k), None)
+        # the text ends in a line feed, so the file has one more, empty line
+        assert got[f"f{i}"] == (nxt if nxt is not None else len(indents) + 1)
+
+
+def test_typescript_parameters_split_outside_brackets(lines_of):
+    src = ("function a(x: Map<string, Array<[number, string]>>, ...rest: string[], y?: string = 'q') {\n}\n"
+           "function b(cb: (u) => void, z) {\n}\nfunction c() {\n}\n")
+    fns = {r.name: r.parameters for r in api.functions(lines_of({"p.ts": src})).collect()}
+    assert [(p.name, p.type, p.is_optional, p.is_variadic) for p in fns["a"]] == [
+        ("x", "Map<string, Array<[number, string]>>", False, False), ("rest", "string[]", False, True), ("y", "string", True, False)]
+    assert fns["c"] == []
+
+
+def test_enums_and_first_functions(lines_of):
+    from vigil.operators.profile import first_functions
+    src = "export enum Color { R }\n" + "".join(f"function g{i}() {{}}\n" for i in range(30))
+    assert [(r.name, r.line, r.is_exported) for r in api.variables(lines_of({"e.ts": src})).collect()] == [("Color", 1, True)]
+    top = first_functions(api.functions(lines_of({"e.ts": src}), with_params=False), 20).collect()
+    assert sorted(r.line for r in top) == list(range(2, 22))
+
+
+def test_reachability_from_given_starts(spark):
+    from vigil.operators.graph import counts, reachable
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y")], "from_id string, to_id string")
+    starts = spark.createDataFrame([("a",)], "src string")
+    got = {(r.src, r.dst): r.depth for r in reachable(e, starts).collect()}
+    assert got == {("a", "b"): 1, ("a", "c"): 2, ("a", "a"): 3, ("a", "d"): 3}
+    assert {r.dst for r in reachable(e, starts, max_depth=2).collect()} == {"b", "c"}
+    assert {r.name: r.n for r in counts(edges=e, starts=starts).collect()} == {"edges": 5, "starts": 1}
+
+
+def test_taint_candidates_stay_in_their_function(lines_of):
+    src = "def f():\n    x = input('q')\n    y = 1\n    eval(x)\ndef g():\n    eval(y)\n"
+    rows = api.taint_candidates(lines_of({"t.py": src})).collect()
+    assert [(r.function, r.source_line, r.sink_line) for r in rows] == [("f", 2, 4)]

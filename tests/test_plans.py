@@ -3,7 +3,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from vigil.plans.intervals import enclosing
+from vigil.plans.intervals import first_enclosing
+from vigil.plans.ordinals import ordinals
 from vigil.plans.prefix import asof, running
 
 
@@ -32,8 +33,26 @@ def test_asof_backward_and_forward(spark):
     assert {(r.k, r.p): r.o for r in f.collect()} == {(1, 5): "b", (1, 10): None, (2, 3): "c"}
 
 
-def test_enclosing_first_interval(spark):
-    pts = spark.createDataFrame([("a", 3), ("a", 50), ("a", 700)], "path string, line int")
-    iv = spark.createDataFrame([("a", 1, 600, "outer"), ("a", 2, 10, "inner")], "path string, s int, e int, id string")
-    got = enclosing(pts, iv, ["path"], "line", "s", "e", ["id"], width=8, pick_by="s")
-    assert {r.line: r.id for r in got.collect()} == {3: "outer", 50: "outer", 700: None}
+def test_running_max_matches_bruteforce(spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.randint(0, 500)) for i in range(200)]
+    df = spark.createDataFrame(rows, "o int, v int").withColumn("k", F.lit(1))
+    out = running(df, ["k"], ["o"], F.floor(F.col("o") / 16), F.col("v"), "m", how="max", inclusive=False).collect()
+    assert {r.o: r.m for r in out} == {i: max((v for j, v in rows if j < i), default=None) for i, _ in rows}
+
+
+def test_first_enclosing_matches_bruteforce(spark):
+    rnd = random.Random(3)
+    ivs = {s: (s, min(400, s + rnd.choice([0, 3, 40, 399]))) for s in rnd.sample(range(400), 60)}
+    iv = spark.createDataFrame([("a", s, e, f"i{s}") for s, e in ivs.values()], "path string, s int, e int, id string")
+    pts = spark.createDataFrame([("a", p) for p in range(420)] + [("b", 1)], "path string, line int")
+    got = first_enclosing(pts, iv, ["path"], "line", "s", "e", ["id"], "hit", lambda c: F.floor(c / 8))
+    for r in got.collect():
+        want = min((s for s, e in ivs.values() if s <= r.line <= e), default=None) if r.path == "a" else None
+        assert (r.hit.id if r.hit else None) == (f"i{want}" if want is not None else None)
+
+
+def test_ordinals_follow_the_order(spark):
+    words = [f"p{i * 37 % 101:03d}" for i in range(101)] * 2
+    rows = ordinals(spark.createDataFrame([(w,) for w in words], "path string"), "path", "o").collect()
+    assert len(rows) == 101 and [r.path for r in sorted(rows, key=lambda r: r.o)] == sorted(set(words))

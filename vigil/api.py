@@ -5,10 +5,13 @@ Entry points of the rebuilt tool:
   severity_summary(findings)  one-row summary
   calls / imports / functions / classes      structural fact tables
   call_graph(lines)           (nodes, edges)
-  taint_points(lines)         sources and sinks
-  file_profile(lines)         per-file structure counts and top findings
+  taint_points(lines)         sources and sinks; taint_candidates joins them inside functions
+  file_profile(lines)         per-file structure counts
+  check_dependencies(listing) dependency manifests per project root
   rule_scan(files, rules)     rule-pack scan over whole file contents
+  with_remediation(findings)  guide lookup: impact, mitigation, references
   sarif(findings)             SARIF result / rule rows and log documents
+  write_result(findings, out) JSON output
 """
 from __future__ import annotations
 
@@ -17,48 +20,63 @@ from pyspark.sql import functions as F
 
 from vigil.operators import detect as _detect
 from vigil.operators import lines as _lines
-from vigil.sources.corpus import corpus_lines  # noqa: F401
+from vigil.operators.finalize import findings_by_file, sort_findings, top_findings, top_findings_by_file  # noqa: F401
+from vigil.operators.remediation import with_remediation  # noqa: F401
+from vigil.operators.results import result_document, write_result  # noqa: F401
+from vigil.session import materialized
+from vigil.sources.corpus import corpus_files, corpus_lines  # noqa: F401
+from vigil.sources.files import dependency_manifests as check_dependencies  # noqa: F401
 from vigil.sources.tables import table_as_source  # noqa: F401
 
 FINDING_COLUMNS = ["id", "rule_id", "name", "description", "severity", "severity_rank", "path", "language",
                    "line", "cwe", "owasp", "fix_suggestion", "confidence", "detector_ord", "match_ord"]
 
 QUICK_SEVERITIES = ["critical", "high"]
+#: Rules that are medium or low whatever the line says: a quick scan need not try them.
+ALWAYS_LOWER = {"SQL_INJECTION_RISK", "SSRF_RISK", "PATH_TRAVERSAL_RISK", "HARDCODED_SECRET", "WEAK_CRYPTO",
+                "INSECURE_DEPENDENCY", "OPEN_REDIRECT"}
 
 
-def as_lines(src: DataFrame) -> DataFrame:
-    """Accept code_lines(path, language, line, text) or source_files(path, language, content)."""
+def as_lines(src: DataFrame, context: int | None = None) -> DataFrame:
+    """Accept code_lines(path, language, line, text) or source_files(path, language, content).
+
+    With ``context`` the lines carry their snippets.
+    """
+    from vigil.operators.finalize import line_context
     if "content" in src.columns and "text" not in src.columns:
-        return _lines.explode_lines(src)
-    return src
+        return _lines.explode_lines(src, context)
+    return src if context is None else line_context(src, context)
 
 
 def annotate(src: DataFrame) -> DataFrame:
     return _lines.annotate(as_lines(src))
 
 
-def annotate_shared(src: DataFrame, with_calls: bool = False) -> DataFrame:
-    """Annotated lines for plans that read them in many branches (facts, call graph).
+def fact_lines(src: DataFrame, with_calls: bool = False) -> DataFrame:
+    """The lines that structure tables are made of, written once to the checkpoint folder.
 
-    The result is checkpointed to the session's checkpoint folder: the many
-    as-of branches downstream then start from a short lineage (a lost
-    executor re-reads the checkpoint instead of re-running the regex pass),
-    and every later DataFrame step analyses a small plan.
+    Many as-of branches read them; a lost executor re-reads the checkpoint
+    instead of running the regex pass again.  Only headers, decorators,
+    braces, calls and file ends are kept, no text of other lines.
     """
-    a = _lines.annotate(as_lines(src))
-    cols = ["path", "language", "line", "text", "trimmed", "kind", "indent"] + (["calls"] if with_calls else [])
-    return a.select(*cols).checkpoint(eager=True)
+    from vigil.operators.facts import fact_lines as _fl
+    return materialized(_fl(annotate(src), with_calls))
 
 
 def scan(src: DataFrame, mode: str = "standard", rules: set[str] | None = None,
-         fallback: str = "auto", min_severity: str | None = None) -> DataFrame:
+         fallback: str = "auto", min_severity: str | None = None, context: int | None = None) -> DataFrame:
     """Findings of the built-in detectors, one per (rule, path, line) (fallback rows excepted).
 
-    mode='quick' keeps critical and high only; min_severity keeps rank >= that level.
-    The scan is narrow end to end: no shuffle until a sort or aggregate downstream.
+    mode='quick' keeps critical and high only, and tries no rule that is
+    always lower; min_severity keeps rank >= that level; context=k adds the
+    snippet of k lines around.  The scan is narrow end to end: no shuffle
+    until a sort or aggregate downstream (a line table's snippets excepted).
     """
     from vigil.operators.finalize import filter_min_severity
-    f = _detect.detect(annotate(src), rules, fallback)
+    if mode == "quick":
+        rules = (set(_detect.C.RULE_TEXT) if rules is None else set(rules)) - ALWAYS_LOWER
+    lines = _lines.annotate(as_lines(src, context))
+    f = _detect.detect(lines, rules, fallback, keep=("snippet",) if context is not None else ())
     if mode == "quick":
         f = f.filter(F.col("severity").isin(*QUICK_SEVERITIES))
     if min_severity:
@@ -81,12 +99,12 @@ def imports(src: DataFrame) -> DataFrame:
 
 def functions(src: DataFrame, with_params: bool = True) -> DataFrame:
     from vigil.operators.facts import functions_table
-    return functions_table(annotate_shared(src), with_params)
+    return functions_table(fact_lines(src), with_params)
 
 
 def classes(src: DataFrame) -> DataFrame:
     from vigil.operators.facts import classes_table
-    return classes_table(annotate_shared(src))
+    return classes_table(fact_lines(src))
 
 
 def variables(src: DataFrame) -> DataFrame:
@@ -94,16 +112,19 @@ def variables(src: DataFrame) -> DataFrame:
     return enums(annotate(src))
 
 
+def call_nodes(src: DataFrame) -> DataFrame:
+    from vigil.operators import graph
+    return graph.call_nodes(functions(src, with_params=False))
+
+
 def call_graph(src: DataFrame, language: str | None = None, strict_order: bool = True):
-    """(nodes, edges, named_edges) of the parsed files (optionally one language)."""
+    """(nodes, edges) of the parsed files (optionally one language); edges carry both names."""
     from vigil.operators import facts, graph
-    a = annotate_shared(src.filter(F.col("language") == language) if language else src, with_calls=True)
-    # the function table feeds nodes, edges and both endpoint joins: materialise it once
-    fns = facts.functions_table(a, with_params=False).checkpoint(eager=True)
-    cl = _lines.calls_table(a)
-    nodes = graph.call_nodes(fns)
-    edges = graph.call_edges(fns, cl, strict_order=strict_order)
-    return nodes, edges, graph.named_edges(edges, nodes)
+    a = fact_lines(src.filter(F.col("language") == language) if language else src, with_calls=True)
+    # the function table feeds nodes, caller ranges and definitions: written once
+    fns = materialized(facts.functions_table(a, with_params=False))
+    edges = graph.call_edges(fns, _lines.calls_table(a.filter(F.size("calls") > 0)), strict_order=strict_order)
+    return graph.call_nodes(fns), edges
 
 
 def taint_points(src: DataFrame) -> DataFrame:
@@ -111,6 +132,12 @@ def taint_points(src: DataFrame) -> DataFrame:
     return _tp(as_lines(src))
 
 
+def taint_candidates(src: DataFrame) -> DataFrame:
+    """Sinks with the nearest source above them in the same function."""
+    from vigil.operators.taint import taint_candidates as _tc
+    return _tc(taint_points(src), functions(src, with_params=False))
+
+
 def call_sinks(src: DataFrame) -> DataFrame:
     from vigil.operators.taint import call_sinks as _cs
     return _cs(calls(src))
@@ -129,22 +156,19 @@ def rule_scan(files: DataFrame, pack=None) -> DataFrame:
 
 
 def snippets(findings: DataFrame, src: DataFrame, context: int = 3) -> DataFrame:
+    """Findings of any origin with their snippets; ``scan(context=k)`` gives the scan's own without a join."""
     from vigil.operators.finalize import snippets as _sn
     return _sn(findings, as_lines(src), context)
 
 
 def sarif(findings: DataFrame):
-    """(rules, results) SARIF row tables."""
+    """(rules, results) SARIF row tables.  The findings are written once, as both read them."""
     from vigil.operators import sarif as _s
-    rules = _s.sarif_rules(findings)
-    return rules, _s.sarif_results(findings, rules)
+    f = materialized(findings)
+    rules = _s.sarif_rules(f)
+    return rules, _s.sarif_results(f, rules)
 
 
 def file_profile(src: DataFrame) -> DataFrame:
-    from vigil.operators import facts
     from vigil.operators.profile import file_profile as _fp
-    lines = as_lines(src)
-    a = annotate_shared(lines, with_calls=True)
-    full = _lines.annotate(lines)
-    return _fp(lines, facts.functions_table(a, with_params=False).checkpoint(eager=True), facts.classes_table(a),
-               _lines.imports_table(full), _lines.calls_table(a), _detect.detect(full))
+    return _fp(annotate(src))

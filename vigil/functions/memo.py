@@ -17,7 +17,7 @@ def per_session(fn):
     @functools.wraps(fn)
     def wrapper(*args):
         sc = SparkContext._active_spark_context
-        key = (id(sc), args)
+        key = (sc.applicationId, args)
         if key not in cache:
             cache[key] = fn(*args)
         return cache[key]

@@ -81,7 +81,7 @@ def normalize_path(path: Column) -> Column:
 
 def relative_path(path: Column, base: str) -> Column:
     b = base.rstrip("/") + "/"
-    return F.when(path.startswith(b), F.substring(path, len(b) + 1, 1 << 30)).otherwise(path)
+    return F.when(path.startswith(b), F.substr(path, F.lit(len(b) + 1))).otherwise(path)
 
 
 def valid_target(path: Column) -> Column:

@@ -9,6 +9,7 @@ rules) may report several findings per line, as it never deduplicates.
 """
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,8 +39,18 @@ def _or(cs):
     return reduce(lambda a, b: a | b, cs) if cs else F.lit(False)
 
 
+def alternation(patterns) -> str:
+    """One regex for a list; a flag such as (?i) holds inside its own group only."""
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
 def any_rlike(c: Column, patterns) -> Column:
-    return _or(c.rlike(p) for p in patterns)
+    return c.rlike(alternation(patterns)) if patterns else F.lit(False)
+
+
+def any_name_contains(needles) -> Column:
+    """Cheap test of a line: does any of its call names contain a needle?  The names are read as one text."""
+    return F.col("_names").rlike("|".join(re.escape(n) for n in needles)) if needles else F.lit(False)
 
 
 def any_contains(c: Column, needles) -> Column:
@@ -71,6 +82,12 @@ def user_input() -> Column:
     return by_language(C.USER_INPUT_SOURCES, build, F.lit(False))
 
 
+def _described(rule_id: str, **values: Column) -> Column:
+    """The rule's description with its {placeholders} filled from columns."""
+    pieces = re.split(r"\{(\w+)\}", C.RULE_TEXT[rule_id][1])
+    return F.concat(*[values[x] if k % 2 else F.lit(x) for k, x in enumerate(pieces)])
+
+
 def _finding(rule_id, severity: Column | str, fix: Column | str, description: Column | None = None,
              confidence: float = 0.8, match_ord: Column | int = 0) -> Column:
     name, desc, cwe, owasp = C.RULE_TEXT[rule_id]
@@ -92,23 +109,26 @@ def _opt(cond: Column, finding: Column) -> Column:
     return F.when(cond, F.array(finding))
 
 
-def _first_call(pred_by_lang: dict | None, pred=None) -> Column:
-    """First call struct on the line satisfying a (language-specific) predicate, or null."""
-    calls = F.col("calls")
-    if pred is not None:
-        return F.get(F.filter(calls, pred), 0)
-    return by_language(pred_by_lang, lambda vals: F.get(F.filter(calls, lambda c: any_contains(c["name"], vals)), 0)
-                       if vals else F.lit(None))
+def _first_call(needles: list) -> Column:
+    """First call struct on the line whose name contains a needle, or null."""
+    found = F.get(F.filter(F.col("calls"), lambda c: any_contains(c["name"], needles)), 0)
+    return F.when(any_name_contains(needles), found) if needles else F.lit(None)
+
+
+def _first_lower_call(needles: list) -> Column:
+    """First call struct on the line whose lower-cased name contains a needle, or null."""
+    found = F.get(F.filter(F.col("calls"), lambda c: any_contains(F.lower(c["name"]), needles)), 0)
+    return F.when(F.lower("_names").rlike("|".join(re.escape(n) for n in needles)), found)
 
 
 def _fix_sql() -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in C.FIX_SQL.items() for x in kv]), LANG()),
-                      F.lit("使用参数化查询，避免字符串拼接SQL"))
+                      F.lit(C.FIX_SQL_DEFAULT))
 
 
 def _fix_deser() -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in C.FIX_DESER.items() for x in kv]), LANG()),
-                      F.lit("避免反序列化不受信任的数据"))
+                      F.lit(C.FIX_DESER_DEFAULT))
 
 
 def line_findings(rules: set[str] | None = None) -> Column:
@@ -121,40 +141,40 @@ def _line_findings(rules) -> Column:
     want = (lambda r: True) if rules is None else (lambda r: r in rules)
     ui = F.col("_user_input")
     parts = []
-    sql_line = any_rlike(TEXT(), C.SQL_INJECTION_PATTERNS)
+    sql_line = F.col("_hit") & any_rlike(TEXT(), C.SQL_INJECTION_PATTERNS)
     if want("SQL_INJECTION"):
         parts.append(_opt(sql_line, _finding("SQL_INJECTION", "high", _fix_sql())))
     if want("SQL_INJECTION_RISK"):
-        c = _first_call(None, lambda c: any_contains(F.lower(c["name"]), C.SQL_CALL_NAMES))
-        cond = ~sql_line & c.isNotNull() & any_contains(TEXT(), C.SQL_RISK_LINE_MARKERS)
+        c = _first_lower_call(C.SQL_CALL_NAMES)
+        cond = ~sql_line & any_contains(TEXT(), C.SQL_RISK_LINE_MARKERS) & c.isNotNull()
         parts.append(_opt(cond, _finding("SQL_INJECTION_RISK", "medium", _fix_sql(), match_ord=c["ord"])))
     if want("COMMAND_INJECTION"):
-        c = _first_call(C.DANGEROUS_FUNCTIONS)
-        desc = F.concat(F.lit('检测到潜在的系统命令执行函数 "'), c["name"], F.lit('"。'),
-                        F.when(ui, C.COMMAND_INPUT_TEXT[0]).otherwise(C.COMMAND_INPUT_TEXT[1]))
+        c = by_language(C.DANGEROUS_FUNCTIONS, _first_call)
+        desc = _described("COMMAND_INJECTION", name=c["name"],
+                          input=F.when(ui, C.COMMAND_INPUT_TEXT[0]).otherwise(C.COMMAND_INPUT_TEXT[1]))
         parts.append(_opt(c.isNotNull(), _finding("COMMAND_INJECTION", F.when(ui, "critical").otherwise("high"),
                                                    C.FIX_COMMAND, desc, match_ord=c["ord"])))
     if want("XSS"):
-        parts.append(_opt(any_rlike(TEXT(), C.XSS_PATTERNS), _finding("XSS", "high", C.FIX_XSS)))
+        parts.append(_opt(F.col("_hit") & any_rlike(TEXT(), C.XSS_PATTERNS), _finding("XSS", "high", C.FIX_XSS)))
     if want("SSRF"):
-        parts.append(_opt(any_rlike(TEXT(), C.SSRF_PATTERNS), _finding("SSRF", "high", C.FIX_SSRF)))
+        parts.append(_opt(F.col("_hit") & any_rlike(TEXT(), C.SSRF_PATTERNS), _finding("SSRF", "high", C.FIX_SSRF)))
     if want("SSRF_RISK"):
-        c = _first_call(None, lambda c: any_contains(c["name"], C.URL_CALL_NAMES))
+        c = _first_call(C.URL_CALL_NAMES)
         parts.append(_opt(c.isNotNull() & ui, _finding("SSRF_RISK", "medium", C.FIX_SSRF, match_ord=c["ord"])))
     if want("PATH_TRAVERSAL"):
-        parts.append(_opt(any_rlike(TEXT(), C.PATH_TRAVERSAL_PATTERNS), _finding("PATH_TRAVERSAL", "high", C.FIX_PATH)))
+        parts.append(_opt(F.col("_hit") & any_rlike(TEXT(), C.PATH_TRAVERSAL_PATTERNS), _finding("PATH_TRAVERSAL", "high", C.FIX_PATH)))
     if want("PATH_TRAVERSAL_RISK"):
-        c = _first_call(None, lambda c: any_contains(F.lower(c["name"]), C.FILE_CALL_NAMES))
+        c = _first_lower_call(C.FILE_CALL_NAMES)
         parts.append(_opt(c.isNotNull() & ui, _finding("PATH_TRAVERSAL_RISK", "medium", C.FIX_PATH,
                                                        match_ord=c["ord"])))
     if want("HARDCODED_SECRET"):
-        parts.append(_opt(any_rlike(TEXT(), C.SENSITIVE_DATA_PATTERNS),
+        parts.append(_opt(F.col("_hit") & any_rlike(TEXT(), C.SENSITIVE_DATA_PATTERNS),
                           _finding("HARDCODED_SECRET", "medium", C.FIX_SECRET)))
     if want("WEAK_CRYPTO"):
-        parts.append(_opt(any_rlike(TEXT(), C.WEAK_CRYPTO_PATTERNS), _finding("WEAK_CRYPTO", "medium", C.FIX_CRYPTO)))
+        parts.append(_opt(F.col("_hit") & any_rlike(TEXT(), C.WEAK_CRYPTO_PATTERNS), _finding("WEAK_CRYPTO", "medium", C.FIX_CRYPTO)))
     if want("DESERIALIZATION"):
-        c = _first_call(C.DESERIALIZATION_FUNCTIONS)
-        desc = F.concat(F.lit('检测到不安全的反序列化函数 "'), c["name"], F.lit('"。可能导致远程代码执行。'))
+        c = by_language(C.DESERIALIZATION_FUNCTIONS, _first_call)
+        desc = _described("DESERIALIZATION", name=c["name"])
         parts.append(_opt(c.isNotNull(), _finding("DESERIALIZATION", "critical", _fix_deser(), desc,
                                                   match_ord=c["ord"])))
     if want("DANGEROUS_FUNCTION"):
@@ -165,9 +185,9 @@ def _line_findings(rules) -> Column:
             with_entry = F.transform(F.col("calls"), lambda c: F.struct(
                 c["name"].alias("name"), c["ord"].alias("ord"),
                 F.get(F.filter(lst, lambda d: c["name"].contains(d)), 0).alias("entry")))
-            return F.get(F.filter(with_entry, lambda p: p["entry"].isNotNull()), 0)
+            return F.when(any_name_contains(vals), F.get(F.filter(with_entry, lambda p: p["entry"].isNotNull()), 0))
         p = by_language(C.DANGEROUS_FUNCTIONS, first_pair)
-        desc = F.concat(F.lit('检测到危险函数 "'), p["name"], F.lit('" 的调用。请确保输入经过严格验证和清理。'))
+        desc = _described("DANGEROUS_FUNCTION", name=p["name"])
         parts.append(_opt(p.isNotNull(), _finding("DANGEROUS_FUNCTION", danger_level(p["entry"]),
                                                   C.FIX_DANGEROUS, desc, match_ord=p["ord"])))
     if want("INSECURE_DEPENDENCY"):
@@ -177,13 +197,13 @@ def _line_findings(rules) -> Column:
             return F.get(F.filter(F.col("imports"), lambda i: _or(i["from"].contains(v) | (i["name"] == v)
                                                                   for v in vals)), 0)
         i = by_language(C.INSECURE_PACKAGES, first_imp)
-        desc = F.concat(F.lit('检测到引入可能存在安全风险的依赖 "'), i["from"], F.lit('"。'))
+        desc = _described("INSECURE_DEPENDENCY", **{"from": i["from"]})
         f = _finding("INSECURE_DEPENDENCY", "low", C.FIX_DEPENDENCY, desc, confidence=0.6)
         parts.append(_opt(i.isNotNull(), f))
     if want("XXE"):
-        parts.append(_opt(any_rlike(TEXT(), C.XXE_PATTERNS), _finding("XXE", "high", C.FIX_XXE)))
+        parts.append(_opt(F.col("_hit") & any_rlike(TEXT(), C.XXE_PATTERNS), _finding("XXE", "high", C.FIX_XXE)))
     if want("OPEN_REDIRECT"):
-        parts.append(_opt(any_rlike(TEXT(), C.OPEN_REDIRECT_PATTERNS),
+        parts.append(_opt(F.col("_hit") & any_rlike(TEXT(), C.OPEN_REDIRECT_PATTERNS),
                           _finding("OPEN_REDIRECT", "medium", C.FIX_REDIRECT)))
     empty = F.array().cast(_FINDINGS_T)
     return F.flatten(F.array(*[F.coalesce(p, empty) for p in parts])) if parts else empty
@@ -207,6 +227,26 @@ def fallback_findings() -> Column:
     return F.flatten(F.array(*out))
 
 
+LINE_PATTERNS = [p for ps in (C.SQL_INJECTION_PATTERNS, C.XSS_PATTERNS, C.SSRF_PATTERNS, C.PATH_TRAVERSAL_PATTERNS,
+                              C.SENSITIVE_DATA_PATTERNS, C.WEAK_CRYPTO_PATTERNS, C.XXE_PATTERNS, C.OPEN_REDIRECT_PATTERNS)
+                 for p in ps]
+
+
+def prepared(annotated: DataFrame) -> DataFrame:
+    """What several detectors ask of a line, asked once: user input, any line pattern at all, names of its calls."""
+    return annotated.withColumns({"_user_input": user_input(), "_hit": any_rlike(TEXT(), LINE_PATTERNS),
+                                  "_names": F.array_join(F.col("calls")["name"], "\n")})
+
+
+def findings_array(rules: set[str] | None = None, fallback: str = "auto") -> Column:
+    """array<finding struct> of a prepared line under the given fallback mode."""
+    none = F.array().cast(_FINDINGS_T)
+    if fallback == "only":
+        return fallback_findings()
+    return F.when(LANG().isin(*C.PARSED_LANGUAGES), line_findings(rules)).otherwise(
+        fallback_findings() if fallback == "auto" else none)
+
+
 def detect(annotated: DataFrame, rules: set[str] | None = None, fallback: str = "auto",
            keep: tuple = ()) -> DataFrame:
     """annotated lines -> findings (one row per finding, duplicates already removed).
@@ -214,15 +254,7 @@ def detect(annotated: DataFrame, rules: set[str] | None = None, fallback: str =
     fallback='auto': fallback detector on languages without fact rules only;
     'only': fallback detector on every line; 'off': never.
     """
-    parsed = LANG().isin(*C.PARSED_LANGUAGES)
-    d = annotated.withColumn("_user_input", user_input())
-    if fallback == "only":
-        arr = fallback_findings()
-    elif fallback == "off":
-        arr = F.when(parsed, line_findings(rules)).otherwise(F.array().cast(_FINDINGS_T))
-    else:
-        arr = F.when(parsed, line_findings(rules)).otherwise(fallback_findings())
-    x = d.select("path", "language", "line", *keep, F.explode(arr).alias("f"))
+    x = prepared(annotated).select("path", "language", "line", *keep, F.explode(findings_array(rules, fallback)).alias("f"))
     return finalize_columns(x.select("path", "language", "line", *keep,
                                      *[F.col("f." + c).alias(c) for c in FINDING_FIELDS]))
 

@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 from vigil import catalog as C
 from vigil.functions.ids import stable_id
 from vigil.functions.text import js_trim
+from vigil.operators.lines import is_async_call
 from vigil.plans.prefix import asof, running
 
 LINE_SHIFT = 1 << 31          # position = line * 2^31 + index of the brace on the line
 LINE_BLOCK = 1024             # lines per block of the blocked scans
+INDENT_BITS = 11              # indents count up to 2^11 - 2; deeper ones as that
+BRACE_LANGUAGES = ("javascript", "typescript", "go", "java", "php")
+EOF = "eof"                   # kind of the row that carries a file's number of lines
 
 
 def _pos_block(pos: Column) -> Column:
@@ -97,18 +101,80 @@ def parse_params(params: Column, language: Column) -> Column:
 
 
 def ts_split_params(params: Column) -> Column:
-    """Split at commas of bracket depth 0; needs a left-to-right character scan (pandas UDF)."""
-    from vigil.functions.udfs import split_params_depth0
-    return split_params_depth0(params)
+    """Pieces between commas, joined again until their brackets balance ('<([{' open, '>)]}' close)."""
+    pieces = F.transform(F.split(params, ",", -1), lambda p: F.struct(
+        p.alias("text"), (F.length(F.regexp_replace(p, r"[^<(\[{]", "")) - F.length(F.regexp_replace(p, r"[^>)\]}]", "")))
+        .alias("balance")))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"),
+                     F.lit(0).alias("balance"))
+
+    def join(acc, p):
+        text = F.concat_ws(",", acc["open"], p["text"])
+        balance = acc["balance"] + p["balance"]
+        closed = balance == 0
+        return F.struct(F.when(closed, F.concat(acc["done"], F.array(text))).otherwise(acc["done"]).alias("done"),
+                        F.when(~closed, text).alias("open"), balance.alias("balance"))
+
+    return F.aggregate(pieces, start, join, lambda acc: F.when(acc["open"].isNull(), acc["done"])
+                       .otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+
+
+# ------------------------------------------------------------ fact lines --
+def is_function_line() -> Column:
+    L, k = F.col("language"), F.col("kind")
+    return ((L.isin("python", "go", "php") & (k == "function")) | (L.isin("javascript", "typescript") & k.isin("function", "arrow"))
+            | ((L == "java") & (k == "method")))
+
+
+def _is_header_class() -> Column:
+    L, k = F.col("language"), F.col("kind")
+    return L.isin(*C.PARSED_LANGUAGES) & ((k == "class") | ((L == "go") & k.isin("struct", "interface"))
+                                          | ((L == "java") & (k == "interface")))
+
+
+def _is_ts_interface() -> Column:
+    return (F.col("language") == "typescript") & F.col("trimmed").rlike(C.TS_INTERFACE)
+
+
+def is_class_line() -> Column:
+    """Rows that a line adds to the class table (a TypeScript line may add two)."""
+    return _is_header_class().cast("int") + _is_ts_interface().cast("int")
+
+
+def _is_python_header() -> Column:
+    t = F.col("trimmed")
+    return (F.col("language") == "python") & (t.startswith("def ") | t.startswith("async def ") | t.startswith("class "))
+
+
+def fact_lines(annotated: DataFrame, with_calls: bool = False) -> DataFrame:
+    """The lines that structure tables are made of, without the text of any other.
+
+    Headers, decorators and annotations with their trimmed text, lines with
+    braces as the braces alone, calls if asked for, and one row per file of
+    kind EOF at its last line.
+    """
+    a = annotated.withColumn("braces", F.when(F.col("language").isin(*BRACE_LANGUAGES),
+                                              F.regexp_replace("text", r"[^{}]", "")).otherwise(""))
+    head = (is_function_line() | _is_header_class() | _is_ts_interface() | _is_python_header()
+            | F.col("kind").isin("decorator", "annotation"))
+    keep = head | (F.col("braces") != "")
+    fields = [F.col("kind"), F.col("indent"), F.when(head, F.col("trimmed")).otherwise("").alias("trimmed"), F.col("braces")]
+    if with_calls:
+        keep = keep | (F.size("calls") > 0)
+        # a call's language flag needs no more of its line than whether it is asynchronous
+        fields += [F.col("calls"), is_async_call().alias("async_call")]
+    # kept rows are generated, not filtered: a filter would be pushed down with a copy of the line-kind
+    # chain for every mention of kind
+    lines = a.select("path", "language", "line", F.inline(F.when(keep, F.array(F.struct(*fields)))))
+    ends = annotated.groupBy("path", "language").agg(F.max("line").alias("line")).withColumn("kind", F.lit(EOF))
+    return lines.unionByName(ends, allowMissingColumns=True)
 
 
 # ----------------------------------------------------------- header rows --
 def _function_rows(a: DataFrame) -> DataFrame:
     L = F.col("language")
     k = F.col("kind")
-    is_fn = (((L == "python") & (k == "function")) | (L.isin("javascript", "typescript") & k.isin("function", "arrow"))
-             | ((L == "go") & (k == "function")) | ((L == "java") & (k == "method")) | ((L == "php") & (k == "function")))
-    f = a.filter(is_fn)
+    f = a.filter(is_function_line())
     name = (F.when(L == "python", _g(C.PY_FUNCTION, 1))
             .when(L.isin("javascript", "typescript") & (k == "function"), _g(C.JS_FUNCTION, 1))
             .when(L.isin("javascript", "typescript"), _g(C.JS_ARROW, 1))
@@ -134,8 +200,7 @@ def _class_rows(a: DataFrame) -> DataFrame:
     """Class-like headers: classes, Go structs/interfaces, Java interfaces (brace end lines apply)."""
     L = F.col("language")
     k = F.col("kind")
-    is_cls = (k == "class") | ((L == "go") & k.isin("struct", "interface")) | ((L == "java") & (k == "interface"))
-    c = a.filter(is_cls & L.isin(*C.PARSED_LANGUAGES))
+    c = a.filter(_is_header_class())
     name = (F.when(L == "python", _g(C.PY_CLASS, 1))
             .when(L.isin("javascript", "typescript"), _g(C.JS_CLASS, 1))
             .when((L == "go") & (k == "struct"), _g(C.GO_STRUCT, 1))
@@ -148,7 +213,7 @@ def _class_rows(a: DataFrame) -> DataFrame:
               .when(L.isin("javascript", "typescript"), _nz(_g(C.JS_CLASS, 2)))
               .when((L == "java") & (k == "class"), _nz(_g(C.JAVA_CLASS, 2)))
               .when(L == "php", _nz(_g(C.PHP_CLASS, 2))))
-    interfaces = (F.when(L == "python", F.slice(py_parents, 2, 1 << 20))
+    interfaces = (F.when(L == "python", F.slice(py_parents, F.lit(2), F.greatest(F.size(py_parents), F.lit(1))))
                   .when((L == "java") & (k == "class"), _split_java(_nz(_g(C.JAVA_CLASS, 3))))
                   .when(L == "java", _split_java(_nz(_g(C.JAVA_INTERFACE, 2))))
                   .when(L == "php", _split_java(_nz(_g(C.PHP_CLASS, 3)))))
@@ -164,7 +229,7 @@ def _split_java(s: Column) -> Column:
 
 def _ts_interfaces(a: DataFrame) -> DataFrame:
     """TypeScript interfaces: any line (comments included) -> class-like rows without end-line search."""
-    d = a.filter((F.col("language") == "typescript") & F.col("trimmed").rlike(C.TS_INTERFACE))
+    d = a.filter(_is_ts_interface())
     return d.select("path", "language", "line", "indent", F.lit("interface").alias("kind"),
                     F.lit("interface").alias("class_kind"), _g(C.TS_INTERFACE, 1).alias("name"),
                     _nz(_g(C.TS_INTERFACE, 2)).alias("parent_class"),
@@ -212,15 +277,14 @@ def _pending(a: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- end lines ---
 def _n_lines(a: DataFrame) -> DataFrame:
-    return a.groupBy("path").agg(F.max("line").alias("n_lines"))
+    return a.filter(F.col("kind") == EOF).select("path", F.col("line").alias("n_lines"))
 
 
 def brace_end_lines(a: DataFrame, heads: DataFrame) -> DataFrame:
     """end line = line of the first '}' after the header start that brings depth back to the
     depth before the header line; file end when none.  heads: (path, line) unique."""
-    brace_lang = F.col("language").isin("javascript", "typescript", "go", "java", "php")
-    ev = (a.filter(brace_lang & F.col("text").rlike(r"[{}]"))
-          .select("path", "line", F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(r"[{}]"), 0)).alias("i", "ch"))
+    ev = (a.filter(F.col("braces") != "").select("path", "line", F.posexplode(F.split("braces", "")).alias("i", "ch"))
+          .filter("ch <> ''")
           .select("path", (F.col("line").cast("long") * LINE_SHIFT + F.col("i")).alias("pos"),
                   F.when(F.col("ch") == "{", 1).otherwise(-1).alias("delta")))
     ev = running(ev, ["path"], ["pos"], _pos_block(F.col("pos")), F.col("delta"), "depth", how="sum")
@@ -238,22 +302,22 @@ def python_end_lines(a: DataFrame, heads: DataFrame) -> DataFrame:
     """end line = (next header line below with indent <= own) - 1; file end when none.
 
     Header candidates are non-blank, non-comment lines starting with 'def ',
-    'async def ' or 'class '.  Each candidate is replicated to every indent
-    level of the file's headers that is >= its own indent, so the lookup is an
-    as-of on (path, level) with no pairing of headers.
+    'async def ' or 'class '.  "Indent <= own" is a range of indents: a
+    candidate enters the INDENT_BITS + 1 dyadic ranges around its indent, a
+    header asks the few that make up [0, own].  Each is an as-of lookup on
+    (path, range), so headers are never paired, however many indents a file has.
     """
-    cand = a.filter((F.col("language") == "python") & (F.col("trimmed") != "") & ~F.col("trimmed").startswith("#")
-                    & (F.col("trimmed").startswith("def ") | F.col("trimmed").startswith("async def ")
-                       | F.col("trimmed").startswith("class ")))
-    cand = cand.select("path", "line", "indent")
-    h = heads.select("path", "line", "indent")
-    levels = h.select("path", F.col("indent").alias("level")).distinct()
-    rep = cand.join(levels, (cand["path"] == levels["path"]) & (levels["level"] >= cand["indent"])) \
-              .select(cand["path"], cand["line"].alias("cline"), levels["level"])
-    q = h.withColumn("level", F.col("indent"))
-    r = asof(q, rep, ["path", "level"], F.col("line").cast("long"), F.col("cline").cast("long"),
-             F.col("cline"), "next_line", _line_block, direction="forward", strict=True)
-    return r.select("path", "line", (F.col("next_line") - 1).alias("end_line"))
+    most = (1 << INDENT_BITS) - 2
+    clipped = F.least(F.col("indent"), F.lit(most))
+    cand = a.filter(_is_python_header()).select("path", F.col("line").cast("long").alias("cline"), clipped.alias("_i"))
+    cand = cand.withColumn("level", F.explode(F.array(*[F.lit(k) for k in range(INDENT_BITS + 1)])))
+    cand = cand.select("path", "cline", "level", F.expr("shiftright(_i, level)").alias("node"))
+    bits = F.filter(F.array(*[F.lit(k) for k in range(INDENT_BITS + 1)]), lambda k: F.getbit(F.col("_i") + 1, k) == 1)
+    q = heads.select("path", "line", clipped.alias("_i")).withColumn("level", F.explode(bits))
+    q = q.select("path", "line", "level", (F.expr("shiftright(_i + 1, level)") - 1).alias("node"))
+    r = asof(q, cand, ["path", "level", "node"], F.col("line").cast("long"), F.col("cline"), F.col("cline"), "next_line",
+             _line_block, direction="forward", strict=True)
+    return r.groupBy("path", "line").agg((F.min("next_line") - 1).cast("int").alias("end_line"))
 
 
 def _with_end_lines(rows: DataFrame, a: DataFrame) -> DataFrame:
@@ -270,7 +334,7 @@ def _with_end_lines(rows: DataFrame, a: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- tables ------
 def functions_table(a: DataFrame, with_params: bool = True) -> DataFrame:
-    """functions(fn_id, path, language, name, line, end_line, return_type, is_async, is_exported,
+    """Of fact_lines: functions(fn_id, path, language, name, line, end_line, return_type, is_async, is_exported,
     is_method, class_name, class_line, decorators, parameters)."""
     f = _function_rows(a)
     f = _attach_class(f, a)
@@ -306,7 +370,7 @@ def functions_table(a: DataFrame, with_params: bool = True) -> DataFrame:
 
 
 def classes_table(a: DataFrame) -> DataFrame:
-    """classes(class_id, path, language, kind, name, line, end_line, parent_class, interfaces, decorators)."""
+    """Of fact_lines: classes(class_id, path, language, kind, name, line, end_line, parent_class, interfaces, decorators)."""
     c = _class_rows(a)
     dec = _pending(a)
     c = c.join(dec.withColumnRenamed("consumer", "line"), ["path", "line"], "left")

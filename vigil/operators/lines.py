@@ -25,15 +25,26 @@ def T():
     return F.col("trimmed")
 
 
-def explode_lines(files: DataFrame) -> DataFrame:
+def explode_lines(files: DataFrame, context: int | None = None) -> DataFrame:
     """source_files(path, language, content) -> code_lines(path, language, line, text).
 
     Split on '\\n' only (a CR stays in the line); trailing empty pieces are kept.
+    With ``context``, every line also carries its snippet, cut from the file's
+    own row, so snippets need no shuffle.
     """
-    return files.select(
-        "path", "language",
-        F.posexplode(F.split(F.col("content"), "\n", -1)).alias("_pos", "text"),
-    ).select("path", "language", (F.col("_pos") + 1).cast("int").alias("line"), "text")
+    pieces = F.split(F.col("content"), "\n", -1)
+    if context is None:
+        return files.select("path", "language", F.posexplode(pieces).alias("_pos", "text")) \
+            .select("path", "language", (F.col("_pos") + 1).cast("int").alias("line"), "text")
+    from vigil.operators.finalize import snippet_struct
+    x = files.select("path", "language", pieces.alias("_p"))
+    first = lambda i: F.greatest(i - F.lit(context), F.lit(0))
+    around = F.transform("_p", lambda t, i: F.struct(t.alias("text"), first(i).alias("first"), F.array_join(
+        F.slice("_p", first(i) + 1, i + F.lit(context) + 1 - first(i)), "\n").alias("code")))
+    x = x.select("path", "language", F.posexplode(around).alias("_pos", "l"))
+    line = (F.col("_pos") + 1).cast("int")
+    return x.select("path", "language", line.alias("line"), F.col("l.text").alias("text"),
+                    snippet_struct(F.col("l.code"), F.col("language"), F.col("l.first") + 1, line).alias("snippet"))
 
 
 def _starts_any(c: Column, prefixes) -> Column:
@@ -192,13 +203,17 @@ def annotate(lines: DataFrame) -> DataFrame:
              .withColumn("imports", _imports()))
 
 
+def is_async_call() -> Column:
+    return (F.col("language") == "go") & (F.col("trimmed").contains("go ") | F.col("trimmed").contains("defer "))
+
+
 def calls_table(annotated: DataFrame) -> DataFrame:
-    """calls(path, language, line, call_ord, name, callee, arguments, is_async)."""
-    x = annotated.select("path", "language", "line", "trimmed", F.posexplode("calls").alias("call_ord", "c"))
-    is_async = (F.col("language") == "go") & (F.col("trimmed").contains("go ") | F.col("trimmed").contains("defer "))
+    """calls(path, language, line, call_ord, name, callee, arguments, is_async) of annotated or fact lines."""
+    flag = F.col("async_call") if "async_call" in annotated.columns else is_async_call()
+    x = annotated.select("path", "language", "line", flag.alias("is_async"), F.posexplode("calls").alias("call_ord", "c"))
     return x.select("path", "language", "line", F.col("call_ord").cast("int").alias("call_ord"),
                     F.col("c.name").alias("name"), F.col("c.name").alias("callee"),
-                    F.col("c.arguments").alias("arguments"), is_async.alias("is_async"))
+                    F.col("c.arguments").alias("arguments"), "is_async")
 
 
 def imports_table(annotated: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 Per (file, rule): the first pattern in list order that matches anywhere in
 the content ('m' semantics: '\\s' and '[^)]' may span lines) decides the
 finding; its line is the line of the leftmost match.  At most one finding per
-(file, rule).  Each rule becomes a literal expression, so the scan is one
-narrow pass over the file rows with no join and no shuffle.
+(file, rule).  Patterns are literals; every one is searched at most once per
+file, and one number per rule (pattern, offset) is kept until rows are made,
+so the scan is one narrow pass over the file rows with no join and no shuffle.
 """
 from __future__ import annotations
 
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 
 from vigil import catalog as C
 from vigil.functions.ids import finding_id
-from vigil.functions.severity import normalize_severity, severity_rank
-from vigil.sources.rulepack import RulePack
+from vigil.functions.paths import excluded
+from vigil.functions.severity import severity_rank
+from vigil.sources.rulepack import RulePack, rule_patterns
 
-RULE_FIELDS = "rule_id string, name string, description string, severity string, cwe string, owasp string, " \
-              "fix_suggestion string, tags array<string>, pattern_ord int, pos int"
+#: A hit is pattern number * HIT_SHIFT + offset of the match.
+HIT_SHIFT = 1 << 32
 
 
 def rules_for_language(pack: RulePack, language: str) -> list:
@@ -31,50 +33,63 @@ def rules_by(pack: RulePack, category: str | None = None, severity: str | None =
             and (severity is None or r.get("severity") == severity) and (rule_id is None or r["id"] == rule_id)]
 
 
-def _rule_hit(rule: dict, content: Column) -> Column:
-    """struct of the first matching pattern (ord, 1-based char position) or null."""
-    pats = rule.get("_patterns", [p["pattern"] if isinstance(p, dict) else p for p in rule.get("patterns", [])])
-    hit = None
-    for k, p in enumerate(pats):
-        pm = "(?m)" + p
-        pos = F.instr(content, F.regexp_extract(content, pm, 0))
-        e = F.when(content.rlike(pm), F.struct(F.lit(k).alias("pattern_ord"), pos.alias("pos")))
-        hit = e if hit is None else F.coalesce(hit, e)
-    return hit if hit is not None else F.lit(None)
+def _rule_hit(rule: dict) -> Column:
+    """Number of the first matching pattern and the offset of its leftmost match, or null."""
+    offsets = [F.nullif(F.regexp_instr(F.col("content"), F.lit("(?m)" + p)), F.lit(0)).cast("long") + F.lit(k * HIT_SHIFT)
+               for k, p in enumerate(rule_patterns(rule))]
+    hit = F.coalesce(*offsets) if offsets else F.lit(None).cast("long")
+    langs = list(rule.get("languages") or [])
+    return hit if "*" in langs else F.when(F.col("language").isin(*langs), hit) if langs else F.lit(None).cast("long")
 
 
-def _lit_arr(vals) -> Column:
+def _texts(vals) -> Column:
     return F.array(*[F.lit(v) for v in vals]) if vals else F.array().cast("array<string>")
 
 
+def _severity(rule: dict) -> str:
+    level = (rule.get("severity") or "").lower()
+    return level if level in C.SEVERITY_RANK else "medium"
+
+
+def _rule_struct(rule: dict) -> Column:
+    cwe, owasp = rule.get("cwe") or "", rule.get("owasp") or ""
+    text = lambda v: F.lit(v).cast("string")
+    return F.struct(text(rule["id"]).alias("rule_id"), text(rule.get("name")).alias("name"),
+                    text(rule.get("description")).alias("description"), text(_severity(rule)).alias("severity"),
+                    text(rule.get("cwe")).alias("cwe"), text(rule.get("owasp")).alias("owasp"),
+                    text(rule.get("fixSuggestion") or "").alias("fix_suggestion"),
+                    _texts(list(rule.get("tags") or [])).alias("tags"),
+                    _texts([f"https://cwe.mitre.org/data/definitions/{cwe.replace('CWE-', '', 1)}.html",
+                            f"https://owasp.org/Top10/{owasp}/"]).alias("references"))
+
+
+def line_of(content: Column, offset: Column) -> Column:
+    """Line of a 1-based offset in UTF-16 units, as Java's matcher counts."""
+    units = F.regexp_replace(content, r"[\x{10000}-\x{10FFFF}]", "xx")
+    before = F.substr(units, F.lit(1), offset - 1)
+    return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")
+
+
 def rule_scan(files: DataFrame, pack: RulePack) -> DataFrame:
-    """source_files(path, language, content) -> rule findings (one row per matched (file, rule))."""
-    content = F.col("content")
-    lang = F.col("language")
-    parts = []
-    for r in pack.rules:
-        langs = list(r.get("languages") or [])
-        applies = F.lit(True) if "*" in langs else lang.isin(*langs) if langs else F.lit(False)
-        hit = _rule_hit(r, content)
-        cwe, owasp = r.get("cwe") or "", r.get("owasp") or ""
-        f = F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r.get("name")).alias("name"),
-                     F.lit(r.get("description")).alias("description"),
-                     normalize_severity(F.lit(r.get("severity") or "")).alias("severity"),
-                     F.lit(r.get("cwe")).cast("string").alias("cwe"), F.lit(r.get("owasp")).cast("string").alias("owasp"),
-                     F.lit(r.get("fixSuggestion") or "").alias("fix_suggestion"),
-                     _lit_arr(list(r.get("tags") or [])).alias("tags"),
-                     hit["pattern_ord"].alias("pattern_ord"), hit["pos"].alias("pos"),
-                     _lit_arr([f"https://cwe.mitre.org/data/definitions/{cwe.replace('CWE-', '', 1)}.html",
-                               f"https://owasp.org/Top10/{owasp}/"]).alias("references"))
-        parts.append(F.when(applies & hit.isNotNull(), F.array(f)))
-    if not parts:
-        return files.limit(0)
-    arr = F.filter(F.array(*parts), lambda a: a.isNotNull())
-    x = files.select("path", "language", "content", F.explode(F.flatten(arr)).alias("f"))
-    line = F.size(F.split(F.substring(F.col("content"), 1, F.col("f.pos") - 1), "\n", -1))
-    out = x.select("path", "language", line.cast("int").alias("line"), "f.*").drop("pos")
-    return out.select(finding_id(F.col("rule_id"), F.col("path"), F.col("line")).alias("id"),
-                      "rule_id", "name", "description", "severity", severity_rank(F.col("severity")).alias("severity_rank"),
-                      "path", "language", "line", "cwe", "owasp", "fix_suggestion", F.lit(0.8).alias("confidence"),
-                      F.lit(C.DETECTOR_ORDER["RULE_PACK"]).alias("detector_ord"),
-                      F.col("pattern_ord").alias("match_ord"), "tags", "references", F.lit(1).alias("column"))
+    """source_files(path, language, content) -> rule findings (one row per matched (file, rule)).
+
+    The pack's config holds here: files that its ``exclude`` globs match are
+    left out, and so are rules below ``minSeverity``.
+    """
+    least = C.SEVERITY_RANK.get(str(pack.config.get("minSeverity") or "").lower(), 0)
+    rules = [r for r in pack.rules if C.SEVERITY_RANK[_severity(r)] >= least]
+    globs = [g for g in pack.config.get("exclude") or []]
+    if globs:
+        files = files.filter(~excluded(F.col("path"), globs))
+    hits = F.array(*[_rule_hit(r) for r in rules]) if rules else F.array().cast("array<bigint>")
+    none = {"id": "", "languages": []}
+    table = F.array(*[_rule_struct(r) for r in rules or [none]])
+    x = files.select("path", "language", "content", F.posexplode(hits).alias("rule", "hit")).filter("hit IS NOT NULL")
+    x = x.select("path", "language", line_of(F.col("content"), F.col("hit") % HIT_SHIFT).alias("line"),
+                 F.floor(F.col("hit") / HIT_SHIFT).cast("int").alias("pattern_ord"), F.get(table, F.col("rule")).alias("r"))
+    x = x.select("path", "language", "line", "pattern_ord", "r.*")
+    return x.select(finding_id(F.col("rule_id"), F.col("path"), F.col("line")).alias("id"),
+                    "rule_id", "name", "description", "severity", severity_rank(F.col("severity")).alias("severity_rank"),
+                    "path", "language", "line", "cwe", "owasp", "fix_suggestion", F.lit(0.8).alias("confidence"),
+                    F.lit(C.DETECTOR_ORDER["RULE_PACK"]).alias("detector_ord"),
+                    F.col("pattern_ord").alias("match_ord"), "tags", "references", F.lit(1).alias("column"))

@@ -41,3 +41,14 @@ def scan_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     added = new.join(old.select("id"), "id", "left_anti").withColumn("change", F.lit("added"))
     fixed = old.join(new.select("id"), "id", "left_anti").withColumn("change", F.lit("fixed"))
     return added.unionByName(fixed)
+
+
+def owasp_membership(findings: DataFrame) -> DataFrame:
+    """Findings per CWE with every OWASP category that lists the CWE, and whether the finding's own is among them."""
+    lists = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(c) for c in x])
+                           for k, (_, ids) in C.OWASP_TOP_10_2021.items() for x in (k, ids)])
+    d = findings.groupBy("owasp", F.nullif(F.regexp_extract("cwe", r"^(CWE-\d+)", 1), F.lit("")).alias("cwe")) \
+        .agg(F.count("*").alias("n_findings"))
+    every = F.filter(F.map_keys(lists), lambda k: F.coalesce(F.array_contains(F.element_at(lists, k), F.col("cwe")), F.lit(False)))
+    return d.select("owasp", "cwe", "n_findings", F.array_join(every, ",").alias("categories"),
+                    F.coalesce(F.array_contains(every, F.col("owasp")), F.lit(False)).alias("listed"))

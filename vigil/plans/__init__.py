@@ -1,3 +1,3 @@
-"""Skew-safe plan building blocks (blocked scans, as-of lookups, binned interval joins)."""
+"""Skew-safe plan building blocks: blocked scans, as-of lookups, disjoint ranges, ordinals."""
 from vigil.plans.prefix import running, asof  # noqa: F401
-from vigil.plans.intervals import enclosing  # noqa: F401
+from vigil.plans.intervals import first_enclosing  # noqa: F401

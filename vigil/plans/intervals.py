@@ -1,40 +1,35 @@
-"""Binned interval join: points to the intervals that contain them.
+"""First enclosing interval of a point, without pairing points and intervals.
 
-Each interval is replicated into the fixed-width bins it overlaps and joined
-to points on (keys, bin); candidate pairs per bin are bounded by the bin
-width, unlike an equi-join on the file key followed by a range filter,
-which pairs every point of a file with every interval of that file.
+Intervals of a key may overlap or nest in any number.  Where only the first
+one (by start) that holds a point is wanted, each interval matters just on
+the part that no earlier interval reaches: from the largest end before it to
+its own end.  These parts are disjoint, so one as-of lookup by start, with a
+test of the end, finds the interval; its cost does not depend on how many
+intervals cover a point.
 """
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.plans.prefix import asof, running
 
-def enclosing(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str,
-              start: str, end: str, payload: Sequence[str], width: int = 256,
-              pick_by: str | None = None) -> DataFrame:
-    """Join every point to the intervals [start, end] containing it.
 
-    With ``pick_by`` set, keep only the containing interval with the smallest
-    ``pick_by`` per point (points without one keep null payload columns).
-    Points must be unique on (keys, point).
+def first_enclosing(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str, end: str,
+                    payload: Sequence[str], out: str, block_of: Callable[[Column], Column]) -> DataFrame:
+    """points plus ``out`` = struct of ``payload`` of the first interval [start, end] that holds the point, or null.
+
+    Starts are unique within a key.  ``block_of`` maps a position to its block
+    and must be monotone.
     """
     keys = list(keys)
-    iv = (intervals
-          .withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width),
-                                                      F.floor(F.col(end) / width))))
-          .select(*keys, "_bin", F.col(start).alias("_s"), F.col(end).alias("_e"), *payload))
-    pts = points.withColumn("_bin", F.floor(F.col(point) / width))
-    cond = [pts[k] == iv[k] for k in keys] + [pts["_bin"] == iv["_bin"],
-                                               iv["_s"] <= pts[point], pts[point] <= iv["_e"]]
-    j = pts.join(iv, on=cond, how="left")
-    sel = [pts[c] for c in points.columns] + [iv["_s"]] + [iv[p] for p in payload]
-    j = j.select(*sel)
-    if pick_by is None:
-        return j.drop("_s")
-    best = F.min_by(F.struct(*[F.col(p) for p in payload]), F.col("_s"))
-    agg = j.groupBy(*[F.col(c) for c in points.columns]).agg(best.alias("_best"))
-    return agg.select(*points.columns, *[F.col("_best")[p].alias(p) for p in payload])
+    iv = intervals.select(*keys, F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"),
+                          F.struct(*payload).alias("_p"))
+    iv = running(iv, keys, ["_s"], block_of(F.col("_s")), F.col("_e"), "_reached", how="max", inclusive=False)
+    iv = iv.withColumn("_from", F.greatest(F.col("_s"), F.col("_reached") + 1)).filter("_from <= _e")
+    found = asof(points, iv, keys, F.col(point).cast("long"), F.col("_from"), F.struct("_e", "_p"), "_hit", block_of,
+                 direction="backward", strict=False)
+    hit = F.when(F.col(point) <= F.col("_hit")["_e"], F.col("_hit")["_p"])
+    return found.withColumn(out, hit).drop("_hit")

@@ -1,21 +1,18 @@
-"""Dense ordinals of a sorted key (e.g. file order), computed without a single-partition window."""
+"""Ordinals of a sorted key (e.g. file order), computed without a single-partition window."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
+from vigil.session import materialized
 
-def dense_ordinal(df: DataFrame, col: str, out: str, checkpoint: bool = False) -> DataFrame:
-    """(col, out) for the distinct values of ``col``; out = 0-based rank in sort order.
 
-    A range-partitioned sort followed by ``zipWithIndex`` (one extra pass to
-    count rows per partition) scales with the cluster, whereas
-    ``row_number().over(Window.orderBy(col))`` pulls every row into one task.
-    With ``checkpoint`` the result is written to the session's checkpoint
-    folder so a lost executor never re-derives different ordinals.
+def ordinals(df: DataFrame, col: str, out: str) -> DataFrame:
+    """(col, out) for the distinct values of ``col``; out grows with the sort order (with gaps).
+
+    A range-partitioned sort numbers each partition's rows above the one
+    before; nothing leaves the JVM.  The table is checkpointed, as a later
+    evaluation could cut the ranges elsewhere.
     """
     keys = df.select(col).distinct().orderBy(col)
-    schema = T.StructType([keys.schema.fields[0], T.StructField(out, T.LongType(), False)])
-    rdd = keys.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    res = df.sparkSession.createDataFrame(rdd, schema)
-    return res.checkpoint() if checkpoint else res
+    return materialized(keys.withColumn(out, F.monotonically_increasing_id()))

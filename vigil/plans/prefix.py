@@ -29,6 +29,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Col
     """Add ``out`` = running aggregate of ``value`` over ``order`` within ``keys``.
 
     how='sum'  : running sum (nulls count as 0)
+    how='max'  : largest value so far (null before the first)
     how='last' : last non-null value (carry forward)
     ``block`` must be monotone (non-decreasing) in ``order``; ``inclusive``
     decides whether the current row takes part; ``descending`` runs the scan
@@ -39,6 +40,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Col
     okey = F.struct(*[F.col(c) for c in order])
     if how == "sum":
         per_blk = d.groupBy(*keys, "_blk").agg(F.sum("_val").alias("_bv"))
+    elif how == "max":
+        per_blk = d.groupBy(*keys, "_blk").agg(F.max("_val").alias("_bv"))
     elif how == "last":
         pick = F.min_by if descending else F.max_by
         per_blk = d.groupBy(*keys, "_blk").agg(
@@ -49,6 +52,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Col
     wb = Window.partitionBy(*keys).orderBy(blk_order).rowsBetween(_UNB, -1)
     if how == "sum":
         carry = per_blk.select(*keys, "_blk", F.coalesce(F.sum("_bv").over(wb), F.lit(0)).alias("_carry"))
+    elif how == "max":
+        carry = per_blk.select(*keys, "_blk", F.max("_bv").over(wb).alias("_carry"))
     else:
         carry = per_blk.select(*keys, "_blk", F.last("_bv", ignorenulls=True).over(wb).alias("_carry"))
     j = d.join(carry, on=[*keys, "_blk"], how="inner")
@@ -56,6 +61,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Col
     wr = Window.partitionBy(*keys, "_blk").orderBy(*ocols).rowsBetween(_UNB, 0 if inclusive else -1)
     if how == "sum":
         res = F.col("_carry") + F.coalesce(F.sum("_val").over(wr), F.lit(0))
+    elif how == "max":
+        res = F.greatest(F.col("_carry"), F.max("_val").over(wr))
     else:
         res = F.coalesce(F.last("_val", ignorenulls=True).over(wr), F.col("_carry"))
     return j.withColumn(out, res).drop("_blk", "_val", "_carry")

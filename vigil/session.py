@@ -4,7 +4,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -33,18 +33,28 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch folder only when unset (local tests)."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a scratch folder for a local master and an error for any other.
+
+    A folder on one machine's disk would be another folder on every executor.
+    """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="vigil-ckpt-", dir=os.environ.get("VIGIL_SCRATCH", "/tmp"))
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf = tempfile.mkdtemp(prefix="vigil-ckpt-", dir=os.environ.get("VIGIL_SCRATCH"))
     sc.setCheckpointDir(conf)
     return conf
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Rows written to the checkpoint folder once: plans that read them in many branches start there, as does recovery."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

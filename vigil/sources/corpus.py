@@ -106,3 +106,41 @@ def corpus_lines(events: DataFrame) -> DataFrame:
         F.col("rn").cast("int").alias("line"),
         text.alias("text"),
     )
+
+
+# FIXED VALUES: file templates (k, language, ext, lines) that go before a document's text.  Together they
+# hold a match of every rule of the default pack; {id} is the document's id.
+FILE_TEMPLATES = [
+    (0, "python", "py", [
+        "import pickle, yaml, hashlib", "q = 'x{id}'.format(a) + 'SELECT 1'", "subprocess.run(cmd, shell=True)", "exec(code{id})",
+        "env = Env(autoescape = False)", "data = pickle.load(f)", "cfg = yaml.load(s)", "h = hashlib.sha1(b)",
+        "r = random.random()", "t = xml.etree.ElementTree.parse(p)", "requests.get(url)", "f = open(base + name)",
+        "app.run(debug=True)", "logger.debug('password {id}')"]),
+    (1, "javascript", "js", [
+        "const fs = require('fs');", "const cb{id} = (e) => {", "};", "const q = 'SELECT ' + id{id};", "eval(x);", "document.write(y);", "el.innerHTML = z;", "const api_key = 'abcdefghij{id}klmnopqrst';",
+        "const jwt_secret = 's{id}';", "console.log(password);", "crypto.createHash('md5')", "Math.random()", "axios.get(url)",
+        "res.setHeader('Access-Control-Allow-Origin', '*');", "res.redirect(req.query.to);"]),
+    (2, "typescript", "ts", ["const fn = async (a: number) => a;", "JWT_SECRET = 'v{id}'", "DEBUG = true", "export interface I{id} extends B {", "}"]),
+    (3, "go", "go", ["type R{id} interface {", "}", "password := \"p\"", "password = 'g{id}'", "func f{id}(a string) {", "}"]),
+    (4, "java", "java", ["public interface J{id} extends K, L {", "}", "xml.etree.ElementTree.parse", "String api-key = 'abcdefghijklmnop{id}';"]),
+    (5, "php", "php", ["class P{id} implements A, B {", "}", "$password = 'h{id}';", "eval($x);"]),
+    (6, "rust", "rs", ["unsafe {", "  let password = \"r{id}\";", "  system(x); exec(y); eval(z);", "}"]),
+]
+
+
+def corpus_files(documents: DataFrame) -> DataFrame:
+    """source_files(path, language, content): a template chosen by doc_id, then the document's text.
+
+    Built inside the row: whole files of every language, with no grouping.
+    """
+    k = F.pmod(F.col("doc_id"), F.lit(len(FILE_TEMPLATES)))
+
+    def pick(values):
+        out = None
+        for t, v in enumerate(values):
+            out = F.when(k == t, F.lit(v)) if out is None else out.when(k == t, F.lit(v))
+        return out
+    head = F.replace(pick(["\n".join(t[3]) + "\n" for t in FILE_TEMPLATES]), F.lit("{id}"), F.col("doc_id").cast("string"))
+    return documents.select(
+        F.concat(F.lit("doc/d"), F.col("doc_id").cast("string"), F.lit("."), pick([t[2] for t in FILE_TEMPLATES])).alias("path"),
+        pick([t[1] for t in FILE_TEMPLATES]).alias("language"), F.concat(head, F.coalesce("text", F.lit(""))).alias("content"))

@@ -1,65 +1,109 @@
 """Source files on storage (S1-S8) and dependency manifests.
 
-``binaryFile`` lists and reads files in parallel (recursive listing, glob
-filter, content read only for files that survive the path filters); bytes
-are decoded as UTF-8 with malformed sequences replaced by U+FFFD.
+``binaryFile`` lists and reads files in parallel.  Extension, exclusion and
+size filters use the file's metadata only, so an excluded file is not opened;
+contents are never shuffled.  Bytes are decoded as UTF-8 with malformed
+sequences replaced by U+FFFD.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil import catalog as C
 from vigil.functions.paths import detect_language, excluded, extension, extension_order
 
+#: Largest file that one row holds.
+MAX_FILE_BYTES = (1 << 31) - (1 << 20)
+
+
+def relative_to(spark: SparkSession, root: str, uri: Column) -> Column:
+    """Path below root of a file's URI, whichever way the root is spelt (relative, plain, ``file://``).
+
+    The root is resolved as Spark resolves it; the result is plain text with
+    '/' between its parts, or the file's name where the root is the file itself.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = store.makeQualified(path).toUri().getRawPath().rstrip("/")
+    raw = F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    below = F.when(raw.startswith(base + "/"), F.substr(raw, F.lit(len(base) + 2))) \
+        .otherwise(F.regexp_extract(raw, r"([^/]*)$", 1))
+    return F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B")))
+
+
+def _extensions(language: str) -> list[str]:
+    return [e for lang, es in C.FILE_EXTENSIONS.items() if language in ("auto", lang) for e in es]
+
+
+def _any_case(ext: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
+
+
+def select_files(raw: DataFrame, root: str, language: str, exclude) -> DataFrame:
+    """Adds ``rel`` and keeps the files of the language that no glob excludes; works on file metadata only."""
+    rel = relative_to(raw.sparkSession, root, F.col("_metadata.file_path"))
+    keep = extension(rel).isin(*_extensions(language))
+    if exclude:
+        keep = keep & ~excluded(rel, list(exclude))
+    return raw.filter(keep).withColumn("rel", rel)
+
+
+def _listing(spark: SparkSession, root: str, language: str, exclude) -> DataFrame:
+    glob = "*{" + ",".join(_any_case(e) for e in _extensions(language)) + "}"
+    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+           .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root))
+    return select_files(raw, root, language, exclude)
+
 
 def read_source_files(spark: SparkSession, root: str, language: str = "auto",
                       exclude=tuple(C.DEFAULT_EXCLUDE_PATTERNS), max_files: int | None = None,
-                      relative: bool = True) -> DataFrame:
+                      relative: bool = True, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """source_files(path, language, content, size, modified) of a directory tree.
 
     language='auto': every known extension, language from the extension;
-    otherwise only that language's extensions.  ``max_files`` keeps the
-    first n files in (extension list, path) order; default: no cap.
+    otherwise only that language's extensions.  Exclusions are judged on the
+    path below the root.  ``max_files`` keeps the first n files in (extension
+    list, path) order; default: no cap.  Files that cannot be read, or that
+    have more than ``max_bytes`` bytes, give no row here but one in ``file_errors``.
     """
-    exts = [e for lang, es in C.FILE_EXTENSIONS.items() if language in ("auto", lang) for e in es]
-    glob = "*{" + ",".join(exts) + "}"
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", glob).load(root))
-    base = root.rstrip("/")
-    full = F.regexp_replace(F.col("path"), r"^file:", "")
-    rel = F.regexp_replace(full, "^" + base.replace("\\", "/").rstrip("/") + "/", "") if relative else full
-    d = raw.select(rel.alias("path"), "content", F.col("length").alias("size"),
-                   F.col("modificationTime").alias("modified"))
-    if exclude:
-        d = d.filter(~excluded(F.col("path"), list(exclude)))
-    d = d.filter(extension(F.col("path")).isin(*exts)).dropDuplicates(["path"])
-    lang = detect_language(F.col("path")) if language == "auto" else F.lit(language)
+    d = _listing(spark, root, language, exclude).filter(F.col("length") <= max_bytes)
     if max_files is not None:
-        d = d.orderBy(extension_order(F.col("path")), "path").limit(max_files)
-    return d.select("path", lang.alias("language"),
-                    F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "size", "modified")
+        # the files to keep are chosen on names alone; contents are read for these only
+        first = (d.select("rel", extension_order(F.col("rel")).alias("o")).orderBy("o", "rel").limit(max_files).select("rel"))
+        d = d.join(F.broadcast(first), "rel", "left_semi")
+    lang = detect_language(F.col("rel")) if language == "auto" else F.lit(language)
+    path = F.col("rel") if relative else F.regexp_replace("path", r"^file:(//)?(?=/)", "")
+    return d.select(path.alias("path"), lang.alias("language"),
+                    F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+                    F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-def file_errors(files: DataFrame) -> DataFrame:
-    """Files whose content could not be read (null content), as (path, error)."""
-    return files.filter(F.col("content").isNull()).select(
-        "path", F.concat(F.lit("Failed to analyze "), F.col("path")).alias("error"))
+def file_errors(spark: SparkSession, root: str, language: str = "auto", exclude=tuple(C.DEFAULT_EXCLUDE_PATTERNS),
+                max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(path, error) of files of the tree that a scan cannot read: too large, or failing when opened."""
+    listed = _listing(spark, root, language, exclude)
+    readable = listed.filter((F.col("length") <= max_bytes) & (F.length("content") >= 0)).select("rel")
+    failed = listed.select("rel", "length").join(readable, "rel", "left_anti")
+    why = F.when(F.col("length") > max_bytes, F.format_string("%d bytes, more than %d", "length", F.lit(max_bytes))) \
+        .otherwise(F.lit("cannot be read"))
+    return failed.select(F.col("rel").alias("path"), F.concat(F.lit("Failed to analyze "), "rel", F.lit(": "), why).alias("error"))
 
 
-def dependency_manifests(listing: DataFrame, root_col: str | None = None) -> DataFrame:
+def dependency_manifests(listing: DataFrame, root_col: str | None = None, roots: DataFrame | None = None) -> DataFrame:
     """Which dependency manifests exist directly under each project root.
 
     listing: any DataFrame with a ``path`` column (e.g. a file listing); the
     project root is the directory of each manifest unless ``root_col`` gives it.
-    Returns (root, manifest, present) with one row per (root, known manifest name).
+    ``roots`` (a ``root`` column) adds roots that may have none at all.
+    Returns (root, manifest, ord, present) with one row per (root, known manifest name).
     """
     base = F.element_at(F.split(F.col("path"), "/", -1), -1)
     root = F.col(root_col) if root_col else F.regexp_replace(F.col("path"), r"/?[^/]*$", "")
     found = listing.filter(base.isin(*C.DEPENDENCY_FILES)).select(root.alias("root"), base.alias("manifest")).distinct()
-    roots = found.select("root").distinct()
-    # every root with the 8 manifest names: a literal array exploded per root (no join)
+    every = found.select("root") if roots is None else found.select("root").unionByName(roots.select("root"))
+    # every root with the manifest names: a literal array exploded per root (no join)
     names = F.array(*[F.struct(F.lit(n).alias("manifest"), F.lit(i).alias("ord")) for i, n in enumerate(C.DEPENDENCY_FILES)])
-    grid = roots.select("root", F.explode(names).alias("m")).select("root", "m.manifest", "m.ord")
+    grid = every.distinct().select("root", F.explode(names).alias("m")).select("root", "m.manifest", "m.ord")
     return grid.join(found.withColumn("present", F.lit(True)), ["root", "manifest"], "left") \
         .select("root", "manifest", "ord", F.coalesce("present", F.lit(False)).alias("present"))

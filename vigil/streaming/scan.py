@@ -1,8 +1,11 @@
 """Streaming scan (X4): new source files -> findings, continuously or as an availableNow batch.
 
 All built-in detectors are stateless per line, so the batch plan runs
-unchanged on a file stream.  Replayed files are dropped by finding id inside
-a watermark on the file modification time.  Fact tables that need windows
+unchanged on a file stream, with the batch scan's paths, extensions and
+exclusions; a file has the same finding ids either way.  The file source
+hands over each file once, and the sink's log makes each batch's output
+exactly-once, so no state, no watermark and no lateness are needed: a file is
+scanned whatever modification time it carries.  Fact tables that need windows
 over whole files (class context, end lines, call graph) are computed per
 micro-batch in ``foreachBatch``.
 """
@@ -12,38 +15,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil import catalog as C
-from vigil.functions.paths import detect_language, extension
+from vigil.functions.paths import detect_language
 from vigil.operators.detect import detect
-from vigil.operators.lines import annotate
+from vigil.operators.lines import annotate, explode_lines
+from vigil.sources.files import select_files
 
 
-def source_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    exts = [e for es in C.FILE_EXTENSIONS.values() for e in es]
+def source_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 1000, language: str = "auto",
+                  exclude=tuple(C.DEFAULT_EXCLUDE_PATTERNS)) -> DataFrame:
+    """Streaming source_files(path, language, content, modified); max_files_per_trigger paces, it drops nothing."""
     raw = (spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true")
-           .option("maxFilesPerTrigger", max_files_per_trigger).load(root)
-           .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("path"),
-                   F.col("_metadata.file_modification_time").alias("modified")))
-    raw = raw.filter(extension(F.col("path")).isin(*exts))
-    return raw.select("path", detect_language(F.col("path")).alias("language"), "content", "modified")
+           .option("maxFilesPerTrigger", max_files_per_trigger).load(root))
+    raw = select_files(raw, root, language, exclude)
+    lang = detect_language(F.col("rel")) if language == "auto" else F.lit(language)
+    return raw.select(F.col("rel").alias("path"), lang.alias("language"), F.make_valid_utf8("value").alias("content"),
+                      F.col("_metadata.file_modification_time").alias("modified"))
 
 
-def stream_lines(files: DataFrame) -> DataFrame:
-    """code_lines of a file stream, keeping the file modification time for the watermark."""
-    return files.select("path", "language", "modified",
-                        F.posexplode(F.split("content", "\n", -1)).alias("_pos", "text")) \
-        .select("path", "language", "modified", (F.col("_pos") + 1).cast("int").alias("line"), "text")
+def stream_findings(files: DataFrame) -> DataFrame:
+    """Findings of a file stream: the batch scan's rows."""
+    return detect(annotate(explode_lines(files)))
 
 
-def stream_findings(files: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Findings of a file stream; a file seen again inside the watermark adds no duplicate rows."""
-    f = detect(annotate(stream_lines(files.withWatermark("modified", watermark))), keep=("modified",))
-    return f.dropDuplicatesWithinWatermark(["id", "match_ord"])
-
-
-def start_scan(spark: SparkSession, root: str, out_path: str, checkpoint: str,
-               available_now: bool = True, watermark: str = "1 hour"):
+def start_scan(spark: SparkSession, root: str, out_path: str, checkpoint: str, available_now: bool = True,
+               exclude=tuple(C.DEFAULT_EXCLUDE_PATTERNS)):
     """Write findings of new files under ``root`` to parquet at ``out_path``."""
-    f = stream_findings(source_stream(spark, root), watermark)
+    f = stream_findings(source_stream(spark, root, exclude=exclude))
     w = f.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint) \
         .outputMode("append")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
