@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one Python step holds as words at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Bytes of an Arrow batch between Spark and its Python workers.
+BATCH_BYTES = 8 << 20
 #: Entries that a worker's cache may hold before it is emptied: token ids or counts, word hashes.
-CACHE_WORDS, CACHE_HASHES = 500_000, 200_000
+CACHE_WORDS, CACHE_HASHES = 250_000, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,9 +49,22 @@ def worker_cache(name: str) -> dict:
     return mod.__dict__.setdefault(name, {})
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Has the session send Arrow batches of at most BATCH_BYTES (it keeps a smaller setting of its own).
+
+    Executors hold a batch several times, in the JVM and in each worker; texts
+    make Spark's default of 10,000 rows or 64 MB too large for small executors.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number = conf.get(name).rstrip("b")  # Spark's default, too, is given in bytes
+    if not number.lstrip("-").isdigit() or not 0 < int(number) <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def texts(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """(keep..., text as UTF-8 bytes, null as empty), nothing else: clashing extra columns never reach a worker."""
-    return docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    return small_batches(docs).select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
 
 def blocks(batches: Iterable, max_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, list[bytes]]]:
@@ -69,6 +84,7 @@ def append(df: DataFrame, start, fields: list[tuple[str, str]], text: str = "tex
     a record batch) -> Arrow arrays for fields, (name, type) each.  run gets at
     most BLOCK_BYTES of text at once, or one longer text.
     """
+    small_batches(df)
     added = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in fields))
     schema = StructType(df.schema.fields + added.fields)
     names = schema.fieldNames()

@@ -27,7 +27,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.shared import shared_dir, written
+from vigil.llm.shared import shared_dir, small_batches, written
 
 INDEX_SCHEMA = ("file string, offset long, length long, page_id long, url string, payload_digest string, "
                 "payload_bytes long, record_type string, refers_to long")
@@ -81,7 +81,7 @@ def _parse(data: bytes) -> tuple[dict, bytes]:
 
 def write_archives(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     """Writes a record per row of (page_id, url, html) and returns the written index."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.length("payload").cast("long")})
     # only payloads that repeat need a name; counts combine in the map tasks, however hot one payload is
