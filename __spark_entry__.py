@@ -74,8 +74,7 @@ def q_min_severity_scan(spark, sf_dir):
 
 
 def q_severity_summary(spark, sf_dir):
-    lines = _corpus(spark, sf_dir)
-    return api.severity_summary(api.scan(lines), lines)
+    return api.scan_summary(_corpus(spark, sf_dir))
 
 
 def q_calls(spark, sf_dir):

@@ -85,6 +85,12 @@ def test_stream_loses_no_file_and_equals_batch(spark, tmp_path):
     assert streamed == batch and len({r.path for r in spark.read.parquet(out).collect()}) == 2
 
 
+@pytest.mark.parametrize("root", ["", "../up", "a\0b"])
+def test_outside_roots_can_be_validated(spark, root):
+    with pytest.raises(ValueError):
+        read_source_files(spark, root, validate=True)
+
+
 # ------------------------------------------------------------- rule packs
 def rule(id_, pattern, **more):
     return {"id": id_, "name": id_, "languages": ["*"], "severity": "high", "patterns": [pattern], **more}

@@ -89,6 +89,21 @@ def severity_summary(findings: DataFrame, lines: DataFrame | None = None) -> Dat
     return _s(findings, as_lines(lines) if lines is not None else None)
 
 
+def scan_summary(src: DataFrame, mode: str = "standard") -> DataFrame:
+    """The summary row of a scan in one pass over the source: findings are counted per line and never become rows."""
+    rules = set(_detect.C.RULE_TEXT) - ALWAYS_LOWER if mode == "quick" else None
+    levels = F.transform(_detect.findings_array(rules), lambda f: f["severity"])
+    if mode == "quick":
+        levels = F.filter(levels, lambda s: s.isin(*QUICK_SEVERITIES))
+    d = _detect.prepared(annotate(src)).select("path", levels.alias("_levels"))
+
+    def n(level):
+        return F.sum(F.size(F.filter("_levels", lambda s: s == level)).cast("long")).alias(level)
+    per_file = d.groupBy("path").agg(F.sum(F.size("_levels").cast("long")).alias("total_issues"), *[n(s) for s in _detect.C.SEVERITY_RANK])
+    return per_file.agg(F.count("*").alias("total_files"), *[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c)
+                                                             for c in ("total_issues", *_detect.C.SEVERITY_RANK)])
+
+
 def calls(src: DataFrame) -> DataFrame:
     return _lines.calls_table(annotate(src))
 

@@ -87,3 +87,12 @@ def relative_path(path: Column, base: str) -> Column:
 def valid_target(path: Column) -> Column:
     """Non-empty, no '..', no NUL."""
     return (path != "") & ~path.contains("..") & ~path.contains("\u0000")
+
+
+def validate_target(path: str | None) -> str | None:
+    """P15 for an argument: the reason why a target path is refused, or None."""
+    if not path:
+        return "Target path is required"
+    if ".." in path or "\0" in path:
+        return "Invalid path format"
+    return None

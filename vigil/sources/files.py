@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil import catalog as C
-from vigil.functions.paths import detect_language, excluded, extension, extension_order
+from vigil.functions.paths import detect_language, excluded, extension, extension_order, validate_target
 
 #: Largest file that one row holds.
 MAX_FILE_BYTES = (1 << 31) - (1 << 20)
@@ -58,7 +58,7 @@ def _listing(spark: SparkSession, root: str, language: str, exclude) -> DataFram
 
 def read_source_files(spark: SparkSession, root: str, language: str = "auto",
                       exclude=tuple(C.DEFAULT_EXCLUDE_PATTERNS), max_files: int | None = None,
-                      relative: bool = True, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+                      relative: bool = True, max_bytes: int = MAX_FILE_BYTES, validate: bool = False) -> DataFrame:
     """source_files(path, language, content, size, modified) of a directory tree.
 
     language='auto': every known extension, language from the extension;
@@ -66,7 +66,11 @@ def read_source_files(spark: SparkSession, root: str, language: str = "auto",
     path below the root.  ``max_files`` keeps the first n files in (extension
     list, path) order; default: no cap.  Files that cannot be read, or that
     have more than ``max_bytes`` bytes, give no row here but one in ``file_errors``.
+    ``validate`` refuses a root that is empty or holds '..' or NUL, for roots
+    that come from outside.
     """
+    if validate and (reason := validate_target(root)):
+        raise ValueError(reason)
     d = _listing(spark, root, language, exclude).filter(F.col("length") <= max_bytes)
     if max_files is not None:
         # the files to keep are chosen on names alone; contents are read for these only
