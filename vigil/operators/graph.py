@@ -96,4 +96,6 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = 10, checkpoi
         frontier = nxt
         if d % checkpoint_every == 0:
             seen, frontier = materialized(seen), materialized(frontier)
+            if frontier.isEmpty():
+                break
     return seen
