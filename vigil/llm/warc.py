@@ -35,6 +35,8 @@ RECORD_SCHEMA = ("page_id long, url string, record_type string, refers_to long,
                  "payload binary")
 #: A new file begins beyond FILE_BYTES; ranges at most GAP_BYTES apart are read together, up to READ_BYTES.
 FILE_BYTES, GAP_BYTES, READ_BYTES = 128 << 20, 64 << 10, 4 << 20
+#: Bytes of archives that a reading task gets on average.
+TASK_BYTES = 16 << 20
 END = b"\r\n"
 
 
@@ -126,9 +128,13 @@ def write_archives(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
 
 
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records of some index rows, read back from the archives; digest and size of a response are taken anew."""
+    """The records of some index rows, read back from the archives; digest and size of a response are taken anew.
+
+    Tasks are dealt by the bytes that they will read, not by the index's own size.
+    """
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     places = (index.select("file", "offset", "length")
-              .repartition(F.col("file"), F.floor(F.col("offset") / F.lit(16 << 20)))
+              .repartition(max(1, -(-total // TASK_BYTES)), F.col("file"), F.floor(F.col("offset") / F.lit(TASK_BYTES // 4)))
               .sortWithinPartitions("file", "offset"))
 
     def ranges(batches):
