@@ -356,6 +356,40 @@ def test_quality_without_labels(docs, labelled):
     assert all(r.score == 0.5 for r in found)
 
 
+def brute_features(word):
+    marked = f"<{word}>"
+    grams = [marked[k:k + n] for n in (3, 4) for k in range(len(marked) - n + 1)]
+    return Counter(zlib.crc32(g.encode()) % quality.BUCKETS for g in ["w" + word, *grams])
+
+
+@pytest.mark.parametrize("piece", [1, 2, 5, 7, 1 << 16])
+def test_words_of_any_length_have_character_grams(piece):
+    import random
+    rng = random.Random(12)
+    for n in (1, 2, 3, 5, 20, 63, 64, 65, 200, 1000):
+        for letters in ("abcXYZ09+/", "文字列漢語仮名", "aé文𝒳"):
+            word = "".join(rng.choices(letters, k=n))
+            want = brute_features(word)
+            assert Counter(quality.features_of(word.encode())) == want
+            assert Counter(np.concatenate(list(quality.features_of_long(word.encode(), piece))).tolist()) == want
+
+
+def test_quality_of_texts_without_white_space(spark):
+    import random
+    rng = random.Random(13)
+    words = ["".join(rng.choices([chr(c) for c in range(0x4E00, 0x4E60)], k=2)) for _ in range(60)]
+    rows = []
+    for i in range(300):
+        good = "".join(rng.choices(words, k=rng.randrange(30, 300)))
+        bad = "".join(rng.sample(good, len(good))) if i % 4 else "".join(rng.choices("ABCDEFabcdef0123456789+/", k=400))
+        rows.append((i, bad if i % 2 else good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    tested = [r for r in quality.classify(docs, labels, 0.5).collect() if r.held_out]
+    assert len(tested) > 40
+    assert sum(r.predicted == 1 - r.doc_id % 2 for r in tested) >= 0.95 * len(tested)
+
+
 # ---------------------------------------------------------- empty tables
 def test_empty_tables(no_docs, items, labelled):
     assert packing.pack_documents(no_docs, BYTE).count() == 0

@@ -12,8 +12,9 @@ Training is small and bounded; scoring is a pass over all documents.  As the
 layer is linear, a word's share of the two outputs is a fixed number, which a
 worker computes once per distinct word.
 
-Words are runs without white space, as they are written: case and signs around
-a word tell much about quality.  Null and empty texts have no features and get
+Words are runs without ASCII white space, as they are written: case and signs
+around a word tell much about quality.  Words of any length have n-grams, over
+characters; those of long words are hashed by array code, piece by piece.  Null and empty texts have no features and get
 the score of the layer's bias alone.  Labels of null documents or of null
 quality are ignored; a document with several labels takes the largest.  Without
 any label every score is 0.5.  Repeated rows are scored each; an empty table
@@ -36,20 +37,56 @@ from vigil.llm.shared import CACHE_WORDS, append
 BUCKETS, DIMS, GRAMS = 1 << 16, 16, (3, 4)
 #: Row of a word that repeats the one before it, behind the hashed rows.
 AGAIN = BUCKETS
-#: Words of more bytes than this stand for themselves only, without n-grams.
-LONG_WORD = 64
+#: Words of more bytes than this are hashed by array code, PIECE characters at a time, and never cached.
+LONG_WORD, PIECE = 64, 1 << 16
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = (table >> np.uint32(1)) ^ np.where(table & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    return table
+
+
+CRC_TABLE = _crc_table()
+
+
+def _whole(word: bytes) -> bytes:
+    """The word as sound UTF-8."""
+    return word if word.isascii() else word.decode("utf-8", "replace").encode()
 
 
 def features_of(word: bytes) -> list[int]:
-    """Rows of a word and of its character n-grams, marked at both ends (bytes of UTF-8)."""
-    marked = b"<" + word + b">"
+    """Rows of a word and of its character n-grams, marked at both ends (CRC-32 of their UTF-8)."""
+    marked = b"<" + _whole(word) + b">"
+    starts = range(len(marked) + 1) if word.isascii() else [*(i for i, b in enumerate(marked) if b & 0xC0 != 0x80), len(marked)]
     rows = [zlib.crc32(b"w" + word) % BUCKETS]
-    if len(word) <= LONG_WORD:
-        for n in GRAMS:
-            rows += [zlib.crc32(marked[i:i + n]) % BUCKETS for i in range(len(marked) - n + 1)]
+    for n in GRAMS:
+        rows += [zlib.crc32(marked[a:b]) % BUCKETS for a, b in zip(starts, starts[n:])]
     return rows
 
 
+def features_of_long(word: bytes, piece: int = PIECE):
+    """The same rows as arrays, for the n-grams that begin in PIECE characters each."""
+    raw = np.frombuffer(b"<" + _whole(word) + b">", np.uint8)
+    yield np.array([zlib.crc32(b"w" + word) % BUCKETS])
+    at, longest = 0, 4 * (piece + max(GRAMS))
+    while at < len(raw):
+        part = raw[at:at + longest]
+        starts = np.flatnonzero((part & 0xC0) != 0x80)
+        if at + longest >= len(raw):
+            starts = np.append(starts, len(part))
+        for n in GRAMS:
+            first = starts[:-n][:piece]
+            end = starts[n:][:piece]
+            crc = np.full(len(first), 0xFFFFFFFF, np.uint32)
+            for k in range(int((end - first).max(initial=0))):
+                on = np.flatnonzero(first + k < end)
+                crc[on] = CRC_TABLE[(crc[on] ^ part[first[on] + k]) & np.uint32(0xFF)] ^ (crc[on] >> np.uint32(8))
+            yield (~crc % np.uint32(BUCKETS)).astype(np.int64)
+        at = at + int(starts[piece]) if len(starts) > piece else len(raw)
+
+
 def repeats(words: list[bytes]) -> int:
     """Words equal to the word before them."""
     return sum(map(eq, words, words[1:]))
@@ -59,8 +96,13 @@ def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(rows, weights) of a text; the weights sum to 1."""
     words, counts = text.split(), Counter()
     for word, n in Counter(words).items():
-        for row in features_of(word):
-            counts[row] += n
+        if len(word) <= LONG_WORD:
+            for row in features_of(word):
+                counts[row] += n
+            continue
+        for part in features_of_long(word):
+            for row, k in zip(*(x.tolist() for x in np.unique(part, return_counts=True))):
+                counts[row] += n * k
     counts[AGAIN] += repeats(words)
     counts += Counter()  # drops a zero
     rows = np.fromiter(counts.keys(), np.int64, len(counts))
@@ -105,13 +147,15 @@ def train(examples: list[tuple[bytes, int]], epochs: int = 6, rate: float = 0.5,
 
 
 class WordShares(dict):
-    """word -> (sum of its rows' differences, number of rows); emptied at CACHE_WORDS."""
+    """word -> (sum of its rows' differences, number of rows); emptied at CACHE_WORDS, long words are not kept."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.values_of = model.rows
 
     def __missing__(self, word: bytes) -> complex:
+        if len(word) > LONG_WORD:
+            return sum((complex(float(self.values_of[part].sum(dtype=np.float64)), len(part)) for part in features_of_long(word)), 0j)
         if len(self) >= CACHE_WORDS:
             self.clear()
         rows = features_of(word)
