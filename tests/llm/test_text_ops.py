@@ -209,6 +209,56 @@ def test_crowded_regions_lose_no_link(spark, monkeypatch):
     assert Counter(tuple(r) for r in found.collect()) == brute_components(rows)
 
 
+@pytest.mark.parametrize("held", [1 << 21, 300])
+def test_blocks_lose_no_link_of_long_texts(spark, monkeypatch, held):
+    """Families of several blocks, with sets in memory and in the temporary file."""
+    import random
+    monkeypatch.setattr(near_dup, "REGION_ROWS", 2)
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(near_dup, "HELD_HASHES", held)
+    rng, rows = random.Random(14), []
+    for size in (60, 1500):
+        base = [f"b{k}" for k in range(size)]
+        for i in range(50):
+            w = list(base)
+            for _ in range(i % 5 * size // 60):
+                w[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+            rows.append((size * 100 + i, " ".join(w)))
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(tuple(r) for r in found.collect()) == brute_components(rows)
+
+
+def test_sets_of_long_texts_stay_out_of_memory(monkeypatch):
+    import random
+    import tracemalloc
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 1 << 16)
+    rng, n = random.Random(15), 200
+    base = [f"w{k}" for k in range(4000)]
+
+    def text(k):
+        words = list(base)
+        for _ in range(60 * (k % 5)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    texts = [text(k) for k in range(n)]
+    links, peak = [], []
+    near_dup.shingle_sets([t.encode() for t in texts])  # fills the worker's word cache
+    for most in (1 << 14, 1 << 30):
+        tracemalloc.start()
+        sets = near_dup.Sets((75, 100), most)
+        for t in texts:
+            sets.add(t)
+        links.append([x.tolist() for x in sets.links(np.arange(n // 2), np.arange(n // 2, n))])
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert links[0] == links[1] and 0 < len(links[0][0]) < n * n // 4
+    plain = [set(x.tolist()) for x in near_dup.shingle_sets([t.encode() for t in texts])]
+    assert list(zip(*links[0])) == [(i, j) for i in range(n // 2) for j in range(n // 2)
+                                    if 4 * len(plain[i] & plain[n // 2 + j]) >= 3 * len(plain[i] | plain[n // 2 + j])]
+    assert peak[0] < peak[1] / 4
+
+
 # ------------------------------------------------------- substring dedup
 def brute_substrings(rows, window):
     first = {}

@@ -21,7 +21,9 @@ So a pair is tested unless it shares no region at all: at the threshold that
 has a chance of (1 - threshold^DEPTH)^ORDERS, about 5e-6 for 0.75.  "Agree enough"
 rejects pairs more than 5 standard deviations below the threshold.  The work of
 step 4 grows with (classes outside the largest component) x (classes) of a
-region or family, in numpy; its rows grow with the classes and the blocks.
+region or family, in numpy; its rows grow with the classes and the blocks.  Its
+memory does not grow with the texts' lengths: two blocks' sets beyond HELD_HASHES
+are sorted runs in a temporary file and are read back by ranges of hashes.
 
 Words: A-Z lower-cased, then ``[^\\x20\\x09-\\x0D]+``.  With fewer words than a
 shingle the whole sequence is the one shingle; null or wordless texts have an
@@ -31,17 +33,24 @@ rows; extra columns are ignored.
 """
 from __future__ import annotations
 
+import os
+import tempfile
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.components import connected_components
-from vigil.llm.shared import append, mixed, runs_of, word_hashes, written
+from vigil.llm.shared import BLOCK_BYTES, append, mixed, runs_of, word_hashes, written
 
 SHINGLE, HASHES, ORDERS, DEPTH = 5, 128, 32, 4
 REGION_ROWS = 512
 #: Classes of a block in the comparisons across components.
 BLOCK_ROWS = 512
+#: Shingle hashes that two blocks keep in memory, or the set of one longer text.
+HELD_HASHES = 1 << 21
+#: A run's places are known at 2^RANGE_BITS equal ranges of the hashes.
+RANGE_BITS = 12
 #: Bits of each position that travel with a class through a sort; two positions to a byte.
 SKETCH_BITS = 4
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -231,15 +240,16 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, group: str, value: str, links_of) -> DataFrame:
+def _across(rows: DataFrame, group: str, value: str, holder) -> DataFrame:
     """Forest edges (a, b) between members of a group in different components.
 
     rows: (group, id, component, value).  Members outside the group's largest
     component are dealt into blocks, and so are the others; every block of the
     former meets every block of both, so no task holds more than two blocks
     and members of the largest component never meet each other.
-    links_of(values of the left, values of the right) -> (i, j) index arrays
-    of the pairs that count.
+    holder() takes two blocks' values, add(value) in order; its links(left,
+    right), of places in that order, gives (i, j) index arrays into these of the
+    pairs that count.  right is None where a block meets itself.
     """
     parts = rows.groupBy(group, "component").agg(F.count("*").alias("n"))
     top = written(parts.groupBy(group).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("n_main"),
@@ -261,14 +271,17 @@ def _across(rows: DataFrame, group: str, value: str, links_of) -> DataFrame:
     d = d.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "side", "id") \
         .select(*keys, "side", "id", "component", value)
 
-    def forest(side, ids, components, values):
+    def forest(members, values):
         import pyarrow as pa
+        if len(members) < 2:
+            return
+        side, ids, components = (np.array(c) for c in zip(*members))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(left):
-            return None
+            return
         within = not len(right)
         right = left if within else right
-        i, j = links_of([values[k] for k in left], None if within else [values[k] for k in right])
+        i, j = values.links(left, None if within else right)
         i, j = left[i], right[j]
         apart = components[i] != components[j]
         parent: dict[int, int] = {}
@@ -282,69 +295,137 @@ def _across(rows: DataFrame, group: str, value: str, links_of) -> DataFrame:
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 out.append((int(ids[x]), int(ids[y])))
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"]) if out else None
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
-        held, now = [], None
+        members, values, now = [], None, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:4] != now:
-                    if len(held) > 1 and (got := forest(*_columns(held))) is not None:
-                        yield got
-                    held, now = [], row[:4]
-                held.append(row[4:])
-        if len(held) > 1 and (got := forest(*_columns(held))) is not None:
-            yield got
-
-    def _columns(held):
-        return (*(np.array([r[k] for r in held]) for k in range(3)), [r[3] for r in held])
+                    yield from forest(members, values)
+                    members, values, now = [], holder(), row[:4]
+                members.append(row[4:7])
+                values.add(row[7])
+        yield from forest(members, values)
 
     return d.mapInArrow(run, "a long, b long")
 
 
-def _alike(threshold: float):
+class Sketches(list):
     """Pairs whose sketches agree enough."""
-    least = _floor(threshold)
 
-    def links_of(left, right):
-        x = np.frombuffer(b"".join(left), np.uint8).reshape(len(left), -1)
-        y = x if right is None else np.frombuffer(b"".join(right), np.uint8).reshape(len(right), -1)
+    def __init__(self, threshold: float):
+        super().__init__()
+        self.least = _floor(threshold)
+
+    add = list.append
+
+    def links(self, left, right):
+        x = np.frombuffer(b"".join([self[k] for k in left]), np.uint8).reshape(len(left), -1)
+        y = x if right is None else np.frombuffer(b"".join([self[k] for k in right]), np.uint8).reshape(len(right), -1)
         i, j = [], []
         for k in range(len(x)):
             z = x[k] ^ (y[k + 1:] if right is None else y)
-            at = np.flatnonzero((((z >> SKETCH_BITS) == 0).sum(axis=1) + ((z & ((1 << SKETCH_BITS) - 1)) == 0).sum(axis=1)) >= least * HASHES)
+            at = np.flatnonzero((((z >> SKETCH_BITS) == 0).sum(axis=1) + ((z & ((1 << SKETCH_BITS) - 1)) == 0).sum(axis=1)) >= self.least * HASHES)
             i.append(np.full(len(at), k))
             j.append(at + k + 1 if right is None else at)
         return np.concatenate(i), np.concatenate(j)
 
-    return links_of
-
 
-def _overlapping(threshold: tuple[int, int]):
-    """Pairs whose full sets reach the threshold, by postings: one lookup counts a set's overlap with a whole block."""
-    upper, lower = threshold
+class Sets:
+    """Pairs whose full sets reach the threshold, by postings: one lookup counts a set's overlap with a whole block.
 
-    def links_of(left, right):
-        sets = shingle_sets([t.encode() for t in left])
-        others = sets if right is None else shingle_sets([t.encode() for t in right])
-        sizes = np.array([len(s) for s in others])
-        shingles, owner = np.concatenate(others), np.repeat(np.arange(len(others)), sizes)
-        order = np.argsort(shingles, kind="stable")
-        shingles, owner = shingles[order], owner[order]
-        i, j = [], []
-        for k, own in enumerate(sets):
-            first, last = np.searchsorted(shingles, own, "left"), np.searchsorted(shingles, own, "right")
-            n = last - first
-            places = np.repeat(first - np.concatenate([[0], np.cumsum(n[:-1])]), n) + np.arange(n.sum())
-            common = np.bincount(owner[places], minlength=len(others))
-            at = np.flatnonzero((common > 0) & (lower * common >= upper * (len(own) + sizes - common)))
-            if right is None:
-                at = at[at > k]
-            i.append(np.full(len(at), k))
-            j.append(at)
-        return np.concatenate(i), np.concatenate(j)
+    A text is kept as its shingle hashes only.  Beyond ``most`` hashes they go
+    as a sorted run to a temporary file; counting then reads the same range of
+    hashes from every run, one range after the other.
+    """
 
-    return links_of
+    def __init__(self, threshold: tuple[int, int], most: int = HELD_HASHES):
+        self.threshold, self.most = threshold, most
+        self.waiting, self.waiting_bytes = [], 0
+        self.sizes, self.held, self.n_held = [], [], 0
+        self.file, self.runs, self.at = None, [], 0
+
+    def add(self, text: str) -> None:
+        data = text.encode()
+        if self.waiting and self.waiting_bytes + len(data) > BLOCK_BYTES:
+            self._split()
+        self.waiting.append(data)
+        self.waiting_bytes += len(data)
+
+    def _split(self) -> None:
+        data, self.waiting, self.waiting_bytes = self.waiting, [], 0
+        for own in shingle_sets(data):
+            if self.held and self.n_held + len(own) > self.most:
+                self._spill()
+            self.held.append((len(self.sizes), own))
+            self.n_held += len(own)
+            self.sizes.append(len(own))
+
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, owners) held in memory, by hash; nothing is held afterwards."""
+        held, self.held, self.n_held = self.held, [], 0
+        hashes = np.concatenate([h for _, h in held])
+        owners = np.repeat(np.array([o for o, _ in held], np.int32), [len(h) for _, h in held])
+        del held
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], owners[order]
+
+    def _spill(self) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+        hashes, owners = self._sorted()
+        edges = np.arange(1, 1 << RANGE_BITS, dtype=np.uint64) << np.uint64(64 - RANGE_BITS)
+        self.runs.append((self.at, len(hashes), np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])))
+        for x in (hashes, owners):
+            self.file.write(x)
+        self.at += 12 * len(hashes)
+
+    def _read(self, at: int, n: int, kind) -> np.ndarray:
+        self.file.seek(at)
+        return np.frombuffer(self.file.read(n * np.dtype(kind).itemsize), kind)
+
+    def _ranges(self):
+        """(hashes, owners) by hash, of one range of hashes after the other."""
+        if self.file is None:
+            yield self._sorted()
+            return
+        if self.held:
+            self._spill()
+        total = np.sum([places for _, _, places in self.runs], axis=0)
+        for a, b in runs_of(np.diff(total), self.most):
+            parts = [(self._read(at + 8 * int(places[a]), int(places[b] - places[a]), np.uint64),
+                      self._read(at + 8 * n + 4 * int(places[a]), int(places[b] - places[a]), np.int32)) for at, n, places in self.runs]
+            hashes, owners = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            yield hashes[order], owners[order]
+
+    def links(self, left, right):
+        if self.waiting:
+            self._split()
+        within, sizes = right is None, np.array(self.sizes, np.int64)
+        right = left if within else right
+        place = np.full((2, len(sizes)), -1)
+        for k, side in enumerate((left, right)):
+            place[k, side] = np.arange(len(side))
+        common = np.zeros((len(left), len(right)), np.int64)
+        for hashes, owners in self._ranges():
+            of_left, of_right = place[0][owners], place[1][owners]
+            shingles, owner = hashes[of_right >= 0], of_right[of_right >= 0]
+            own, of_left = hashes[of_left >= 0], of_left[of_left >= 0]
+            order = np.argsort(of_left, kind="stable")
+            own, ends = own[order], np.searchsorted(of_left[order], np.arange(len(left) + 1))
+            for k in range(len(left)):
+                mine = own[ends[k]:ends[k + 1]]
+                if len(mine):
+                    first, last = np.searchsorted(shingles, mine, "left"), np.searchsorted(shingles, mine, "right")
+                    n = last - first
+                    places = np.repeat(first - np.concatenate([[0], np.cumsum(n[:-1])]), n) + np.arange(n.sum())
+                    common[k] += np.bincount(owner[places], minlength=len(right))
+        upper, lower = self.threshold
+        i, j = np.nonzero((common > 0) & (lower * common >= upper * (sizes[left][:, None] + sizes[right] - common)))
+        return (i[j > i], j[j > i]) if within else (i, j)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -370,13 +451,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # what the neighbours left open: classes of one region in different components
     placed = written(tails.select("region", "id", "tail").join(component, "id", "left")
                      .withColumn("component", F.coalesce("component", "id")))
-    alike = _across(placed, "region", "tail", _alike(threshold)).distinct()
+    alike = _across(placed, "region", "tail", lambda: Sketches(threshold)).distinct()
     family = connected_components(written(alike))
     family = written(family.unionByName(family.select(F.col("component").alias("id"), "component").distinct())
                      .select("id", F.col("component").alias("family")))
     inside = (texts.join(family, "id").join(component, "id", "left")
               .select("family", "id", F.coalesce("component", "id").alias("component"), "text"))
-    links = links.unionByName(_across(written(inside), "family", "text", _overlapping(fraction)))
+    most = HELD_HASHES
+    links = links.unionByName(_across(written(inside), "family", "text", lambda: Sets(fraction, most)))
     component = written(connected_components(links))
 
     per_class = written(classes.join(component, "id", "left").select("h1", "h2", F.col("n").alias("n_shingles"),
