@@ -116,5 +116,21 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN left_over ON left_over.doc_id = d.doc_id
 """
 
+#: The tables' pages mark the main text up as an article of paragraphs without anything else inside; SQL reads just that.
+OP11 = r"""
+WITH article AS (
+    SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS inside FROM pages
+), parts AS (
+    SELECT page_id, url, list_transform(regexp_split_to_array(inside, '</?(?:p|h1)>'),
+        lambda x: trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+            regexp_replace(x, '<br>', ' ', 'g'), '</?[a-zA-Z][^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'),
+            '&amp;?', '&', 'g'), '&#x27;', chr(39)), '\s+', ' ', 'g'))) AS parts
+    FROM article
+), joined AS (
+    SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM parts
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM joined
+"""
+
 ORACLE_SQL = {"op3_decontamination": OP3, "op4_chat": OP4, "op6_warc": OP6, "op7_near_dup": OP7, "op9_embed_dup": OP9,
-              "op10_substring_dedup": OP10}
+              "op10_substring_dedup": OP10, "op11_html": OP11}
