@@ -6,7 +6,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import chat, decontam, embed_dup, html_text, near_dup, packing, periodic_runs, pii, quality, substring_dedup, token_count, warc
+from vigil.llm import chat, decontam, embed_dup, html_text, near_dup, packing, periodic_runs, pii, quality, substring_dedup, token_count, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages")).drop("n_blocks", "n_kept")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.find_runs(periodic_runs.tiled_tails(_table(spark, sf_dir, "documents"))))
 
@@ -88,5 +92,6 @@ QUERIES = {
     "op9_embed_dup": op9_embed_dup,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_html": op11_html,
+    "op12_whitening": op12_whitening,
     "op13_runs": op13_runs,
 }
