@@ -23,6 +23,7 @@ from vigil import api  # noqa: E402
 from vigil import catalog as C  # noqa: E402
 from vigil.functions import paths, text  # noqa: E402
 from vigil.operators import finalize, graph, profile, results, summary  # noqa: E402
+from vigil.sources.corpus import call_lines  # noqa: E402
 
 try:  # this subpackage and the pipeline may be absent; their own import errors still show
     import vigil.llm  # noqa: F401
@@ -53,6 +54,10 @@ def _corpus(spark, sf_dir):
     return api.corpus_lines(_t(spark, sf_dir, "events"))
 
 
+def _calling(spark, sf_dir):
+    return call_lines(_t(spark, sf_dir, "events"))
+
+
 def _files(spark, sf_dir):
     return api.corpus_files(_t(spark, sf_dir, "documents"))
 
@@ -213,6 +218,11 @@ def q_taint_candidates(spark, sf_dir):
     return api.taint_candidates(_corpus(spark, sf_dir))
 
 
+def q_taint_flows(spark, sf_dir):
+    """Flows across functions and files: the line corpus and the corpus of files that call each other."""
+    return api.taint_flows(_corpus(spark, sf_dir).unionByName(_calling(spark, sf_dir)))
+
+
 def q_call_sinks(spark, sf_dir):
     return api.call_sinks(_corpus(spark, sf_dir))
 

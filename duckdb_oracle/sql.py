@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from vigil import catalog as C
 from vigil.functions.text import TRIM_BOTH, TRIM_START
-from vigil.sources.corpus import TEMPLATES
+from vigil.sources.corpus import CALL_TEMPLATES, TEMPLATES
 
 
 def q(s) -> str:
@@ -44,6 +44,28 @@ code_lines AS (
   FROM ev JOIN tpl ON user_id % 6 = k AND (rn - 1) % 10 = slot)"""
 
 
+def call_corpus_cte() -> str:
+    """call_lines(path, language, line, text) of the files that call each other."""
+    vals = ", ".join(f"({k}, {q(t)})" for k, t in CALL_TEMPLATES)
+    n = len(CALL_TEMPLATES)
+    text = "template"
+    for key, value in (("id", "event_id"), ("u", "user_id"), ("b", f"(rn - 1) // {n}"), ("p", "user_id // 2"),
+                       ("n", "user_id // 8 * 8 + (user_id + 1) % 8"), ("call", "CASE WHEN user_id % 2 = 0 THEN 'get' ELSE 'relay' END")):
+        text = f"replace({text}, '{{{key}}}', CAST({value} AS VARCHAR))"
+    return f"""
+call_tpl(slot, template) AS (VALUES {vals}),
+call_lines AS (
+  SELECT 'calls/u' || user_id || '.py' AS path, 'python' AS language, CAST(rn AS INTEGER) AS line, {text} AS text
+  FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)
+  JOIN call_tpl ON (rn - 1) % {n} = slot)"""
+
+
+def both_corpora() -> list[str]:
+    """code_lines: the line corpus and the files that call each other."""
+    return [corpus_cte().replace("code_lines AS (", "plain_lines AS ("), call_corpus_cte(),
+            "code_lines AS (SELECT path, language, line, text FROM plain_lines UNION ALL SELECT path, language, line, text FROM call_lines)"]
+
+
 def file_cte() -> str:
     """files(path, language, content): templates by doc_id, then the document's text."""
     from vigil.sources.corpus import FILE_TEMPLATES

@@ -5,7 +5,7 @@ Entry points of the rebuilt tool:
   severity_summary(findings)  one-row summary
   calls / imports / functions / classes      structural fact tables
   call_graph(lines)           (nodes, edges)
-  taint_points(lines)         sources and sinks; taint_candidates joins them inside functions
+  taint_points(lines)         sources and sinks; taint_candidates joins them inside functions, taint_flows across calls
   file_profile(lines)         per-file structure counts
   check_dependencies(listing) dependency manifests per project root
   rule_scan(files, rules)     rule-pack scan over whole file contents
@@ -153,6 +153,15 @@ def taint_candidates(src: DataFrame) -> DataFrame:
     return _tc(taint_points(src), functions(src, with_params=False))
 
 
+def taint_flows(src: DataFrame, strict_order: bool = False, max_hops: int = 10) -> DataFrame:
+    """Sinks that a source reaches inside their function or across calls, each with its nearest source."""
+    from vigil.operators import facts
+    from vigil.operators.flows import flow_lines, taint_flows as _tf
+    a = annotate(src)
+    fns = materialized(facts.functions_table(materialized(facts.fact_lines(a))))
+    return _tf(flow_lines(a), fns, strict_order, max_hops)
+
+
 def call_sinks(src: DataFrame) -> DataFrame:
     from vigil.operators.taint import call_sinks as _cs
     return _cs(calls(src))

@@ -39,31 +39,32 @@ def enclosing_function(points: DataFrame, functions: DataFrame, out: str) -> Dat
     return first_enclosing(points, functions, ["path"], "line", "line", "end_line", ["fn_id", "name"], out, _line_block)
 
 
-def call_edges(functions: DataFrame, calls: DataFrame, strict_order: bool = True) -> DataFrame:
-    """edges(from_id, from_name, to_id, to_name, path, language, line, call_ord).
+def resolved(functions: DataFrame, calls: DataFrame, strict_order: bool = True) -> DataFrame:
+    """calls(language, name, path, ...) whose exact name is defined, plus ``to_id``, the definition.
 
     strict_order=True resolves a name to the last definition among files up to
     the calling file (reading order); False uses the whole corpus' last one.
     """
-    fns = functions.select("fn_id", "path", "language", "name", "line", "end_line")
-    c = enclosing_function(calls.select("path", "language", "line", "call_ord", "name"), fns, "_caller")
-    c = c.filter("_caller IS NOT NULL")
     # definitions are reduced to the last one per (name, file) before the lookup;
     # names resolve within one language (one graph per language, built in one job)
-    last_def = fns.groupBy("language", "name", "path").agg(F.max_by("fn_id", "line").alias("to_id"))
+    last_def = functions.groupBy("language", "name", "path").agg(F.max_by("fn_id", "line").alias("to_id"))
     names = ["language", "name"]
-    if strict_order:
-        order = ordinals(functions.select("path"), "path", "file_ord")
-        # a calling file defines the caller, so every calling file has an ordinal
-        defs = last_def.join(order, "path")
-        want = c.select(*names, "path").distinct().join(order, "path")
-        found = asof(want, defs, names, F.col("file_ord"), F.col("file_ord"), F.col("to_id"), "to_id",
-                     lambda p: F.floor(p / F.lit(FILE_BLOCK)), direction="backward", strict=False)
-        found = found.select(*names, "path", "to_id")
-    else:
-        last = last_def.groupBy(*names).agg(F.max_by("to_id", "path").alias("to_id"))
-        found = c.select(*names, "path").distinct().join(last, names)
-    e = c.join(found, [*names, "path"]).filter("to_id IS NOT NULL")
+    if not strict_order:
+        return calls.join(last_def.groupBy(*names).agg(F.max_by("to_id", "path").alias("to_id")), names)
+    order = ordinals(functions.select("path"), "path", "file_ord")
+    # a calling file defines the caller, so every calling file has an ordinal
+    defs = last_def.join(order, "path")
+    want = calls.select(*names, "path").distinct().join(order, "path")
+    found = asof(want, defs, names, F.col("file_ord"), F.col("file_ord"), F.col("to_id"), "to_id",
+                 lambda p: F.floor(p / F.lit(FILE_BLOCK)), direction="backward", strict=False)
+    return calls.join(found.select(*names, "path", "to_id"), [*names, "path"]).filter("to_id IS NOT NULL")
+
+
+def call_edges(functions: DataFrame, calls: DataFrame, strict_order: bool = True) -> DataFrame:
+    """edges(from_id, from_name, to_id, to_name, path, language, line, call_ord); names as in resolved()."""
+    fns = functions.select("fn_id", "path", "language", "name", "line", "end_line")
+    c = enclosing_function(calls.select("path", "language", "line", "call_ord", "name"), fns, "_caller")
+    e = resolved(fns, c.filter("_caller IS NOT NULL"), strict_order)
     return e.select(F.col("_caller.fn_id").alias("from_id"), F.col("_caller.name").alias("from_name"), "to_id",
                     F.col("name").alias("to_name"), "path", "language", "line", "call_ord")
 

@@ -80,6 +80,23 @@ TEMPLATES = [
 EVENT_BLOCK = 1 << 16
 
 
+# FIXED VALUES: templates of the call corpus (slot, template); {p} is half the user's id, {n} the next id of its eight
+CALL_TEMPLATES = [
+    (0, "def get{u}_{b}(q):"),
+    (1, "    v = request.args.get('q{id}')"),
+    (2, "    return v"),
+    (3, "def relay{u}_{b}(a, n=1):"),
+    (4, "    t = {call}{p}_{b}(a)"),
+    (5, "    save{p}_{b}(t, n)"),
+    (6, "    return t"),
+    (7, "def save{u}_{b}(row, n):"),
+    (8, "    save{p}_{b}(row + n)"),
+    (9, "    db.execute(row)"),
+    (10, "def loop{u}_{b}(x):"),
+    (11, "    loop{n}_{b}(x)"),
+]
+
+
 def template_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEMPLATES, "k int, language string, ext string, slot int, template string")
 
@@ -108,6 +125,28 @@ def corpus_lines(events: DataFrame) -> DataFrame:
     )
 
 
+def call_lines(events: DataFrame) -> DataFrame:
+    """code_lines of a corpus whose files call each other: chains of halved user ids, rings of eight users.
+
+    One Python file per user; values come back through returns (of users with
+    an even id from ``get``, else from another ``relay``) and go on through
+    parameters.  Line numbers as in corpus_lines.
+    """
+    spark = events.sparkSession
+    ranked = running(events.select("event_id", "user_id"), ["user_id"], ["event_id"], F.floor(F.col("event_id") / EVENT_BLOCK),
+                     F.lit(1), "rn", how="sum", inclusive=True)
+    n = len(CALL_TEMPLATES)
+    t = F.broadcast(spark.createDataFrame(CALL_TEMPLATES, "slot int, template string"))
+    j = ranked.join(t, (F.col("rn") - 1) % n == t["slot"])
+    u = F.col("user_id")
+    text = F.col("template")
+    for key, value in (("{id}", F.col("event_id")), ("{u}", u), ("{b}", F.floor((F.col("rn") - 1) / n)), ("{p}", F.floor(u / 2)),
+                       ("{n}", u - u % 8 + (u + 1) % 8), ("{call}", F.when(u % 2 == 0, "get").otherwise("relay"))):
+        text = F.replace(text, F.lit(key), value.cast("string"))
+    return j.select(F.concat(F.lit("calls/u"), u.cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"),
+                    F.col("rn").cast("int").alias("line"), text.alias("text"))
+
+
 # FIXED VALUES: file templates (k, language, ext, lines) that go before a document's text.  Together they
 # hold a match of every rule of the default pack; {id} is the document's id.
 FILE_TEMPLATES = [
