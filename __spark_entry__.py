@@ -23,6 +23,7 @@ from vigil import api  # noqa: E402
 from vigil import catalog as C  # noqa: E402
 from vigil.functions import paths, text  # noqa: E402
 from vigil.operators import finalize, graph, profile, results, summary  # noqa: E402
+from vigil.operators.closure import strong_components  # noqa: E402
 from vigil.sources.corpus import call_lines  # noqa: E402
 
 try:  # this subpackage and the pipeline may be absent; their own import errors still show
@@ -132,11 +133,27 @@ def q_call_edges(spark, sf_dir):
     return api.call_graph(_corpus(spark, sf_dir))[1]
 
 
+def _graph_and_starts(spark, sf_dir):
+    """Call graph of both corpora, names resolved over the whole of it; starts: all functions of users divisible by 100."""
+    nodes, edges = api.call_graph(_corpus(spark, sf_dir).unionByName(_calling(spark, sf_dir)), strict_order=False)
+    user = F.regexp_extract("file", r"/u(\d+)\.", 1).cast("long")
+    return edges, nodes.filter(user % 100 == 0).select(F.col("node_id").alias("src"))
+
+
 def q_reachable(spark, sf_dir):
-    """What the functions of the file with the first path can reach."""
-    nodes, edges = api.call_graph(_corpus(spark, sf_dir))
-    first = nodes.agg(F.min("file").alias("file"))
-    return graph.reachable(edges, nodes.join(first, "file").select(F.col("node_id").alias("src")))
+    """What the functions of users divisible by 100 reach within 10 calls, with the fewest calls."""
+    return graph.reachable(*_graph_and_starts(spark, sf_dir))
+
+
+def q_reach_layers(spark, sf_dir):
+    """Everything that the functions of users divisible by 100 reach, over strongly connected components."""
+    return api.reach_layers(*_graph_and_starts(spark, sf_dir))
+
+
+def q_strong_components(spark, sf_dir):
+    """Component of every function on a call edge."""
+    edges, _ = _graph_and_starts(spark, sf_dir)
+    return strong_components(edges)
 
 
 def q_graph_counts(spark, sf_dir):

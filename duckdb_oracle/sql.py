@@ -557,7 +557,7 @@ classes_f AS (
   FROM annotated WHERE language = 'typescript' AND {rx(t, C.TS_INTERFACE)})"""
 
 
-def graph_cte() -> str:
+def graph_cte(strict: bool = True) -> str:
     return """
 call_pts AS (SELECT DISTINCT path, line FROM calls),
 callers AS (
@@ -568,10 +568,10 @@ last_def AS (SELECT language, name, path, arg_max(fn_id, line) AS callee_id FROM
 call_keys AS (SELECT DISTINCT language, name, path FROM calls),
 callee AS (
   SELECT k.language, k.name, k.path, arg_max(d.callee_id, d.path) AS to_id
-  FROM call_keys k JOIN last_def d ON d.language = k.language AND d.name = k.name AND d.path <= k.path
+  FROM call_keys k JOIN last_def d ON d.language = k.language AND d.name = k.name {ORDER}
   GROUP BY k.language, k.name, k.path),
 calls_n AS (SELECT *, CAST(row_number() OVER (PARTITION BY path, line ORDER BY ord) - 1 AS INTEGER) AS call_ord FROM calls),
 edges AS (
   SELECT cr.caller_id AS from_id, ce.to_id, c.path, c.language, c.line, c.call_ord
   FROM calls_n c JOIN callers cr ON cr.path = c.path AND cr.line = c.line
-  JOIN callee ce ON ce.language = c.language AND ce.name = c.name AND ce.path = c.path)"""
+  JOIN callee ce ON ce.language = c.language AND ce.name = c.name AND ce.path = c.path)""".replace("{ORDER}", "AND d.path <= k.path" if strict else "")

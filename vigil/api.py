@@ -142,6 +142,12 @@ def call_graph(src: DataFrame, language: str | None = None, strict_order: bool =
     return graph.call_nodes(fns), edges
 
 
+def reach_layers(edges: DataFrame, starts: DataFrame, max_layers: int | None = None) -> DataFrame:
+    """(src, dst, layer) of everything the start functions reach, cycles condensed; see operators.closure."""
+    from vigil.operators.closure import reach_layers as _rl
+    return _rl(edges, starts, max_layers)
+
+
 def taint_points(src: DataFrame) -> DataFrame:
     from vigil.operators.taint import taint_points as _tp
     return _tp(as_lines(src))
