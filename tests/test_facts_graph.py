@@ -114,3 +114,26 @@ def test_taint_candidates_stay_in_their_function(lines_of):
     src = "def f():\n    x = input('q')\n    y = 1\n    eval(x)\ndef g():\n    eval(y)\n"
     rows = api.taint_candidates(lines_of({"t.py": src})).collect()
     assert [(r.function, r.source_line, r.sink_line) for r in rows] == [("f", 2, 4)]
+
+
+def test_python_end_lines_of_any_depth(lines_of):
+    import random
+    rng = random.Random(2)
+    files = {"shallow.py": "  def a(x):\n    def b(x):\n", "deep.py": " " * 3000 + "def a(x):\n" + " " * 3100 + "def b(x):\n" + " " * 3000 + "def c(x):\n"}
+    indents = [rng.choice([0, 1, 30, 2046, 2047, 2048, 4094, 4095, 4096, 5000, 9000, 20_000]) for _ in range(60)]
+    files["many.py"] = "".join(" " * k + f"def f{i}(a):\n" for i, k in enumerate(indents))
+    got = {(r.path, r.name): r.end_line for r in api.functions(lines_of(files), with_params=False).collect()}
+    assert [got["deep.py", n] for n in "abc"] == [2, 2, 4] and [got["shallow.py", n] for n in "ab"] == [3, 3]
+    for i, k in enumerate(indents):
+        nxt = next((j for j in range(i + 1, len(indents)) if indents[j] <= k), None)
+        assert got["many.py", f"f{i}"] == (nxt if nxt is not None else len(indents) + 1)
+
+
+def test_scan_diff_tells_findings_of_a_line_apart(lines_of):
+    from vigil.operators.summary import scan_diff
+    old = api.scan(lines_of({"a.rs": "system(x); exec(y);\nsystem(z);\n", "b.py": "eval(x)\n"}))
+    new = api.scan(lines_of({"a.rs": "system(x);\nsystem(z);\n", "b.py": "eval(x)\n", "c.py": "eval(x)\n"}))
+    assert (old.filter("path = 'a.rs'").count(), new.filter("path = 'a.rs'").count()) == (3, 2)
+    rows = {(r.path, r.line, r.change) for r in scan_diff(old, new).collect()}
+    assert rows == {("a.rs", 1, "fixed"), *((r.path, r.line, "added") for r in new.filter("path = 'c.py'").collect())}
+    assert scan_diff(old, old).count() == 0

@@ -23,7 +23,8 @@ from vigil.plans.prefix import asof, running
 
 LINE_SHIFT = 1 << 31          # position = line * 2^31 + index of the brace on the line
 LINE_BLOCK = 1024             # lines per block of the blocked scans
-INDENT_BITS = 11              # indents count up to 2^11 - 2; deeper ones as that
+INDENT_BITS = 11              # ranges of indents kept for every file: up to 2^11 - 2; files with deeper headers keep all
+ALL_INDENT_BITS = 31
 BRACE_LANGUAGES = ("javascript", "typescript", "go", "java", "php")
 EOF = "eof"                   # kind of the row that carries a file's number of lines
 
@@ -303,17 +304,19 @@ def python_end_lines(a: DataFrame, heads: DataFrame) -> DataFrame:
 
     Header candidates are non-blank, non-comment lines starting with 'def ',
     'async def ' or 'class '.  "Indent <= own" is a range of indents: a
-    candidate enters the INDENT_BITS + 1 dyadic ranges around its indent, a
-    header asks the few that make up [0, own].  Each is an as-of lookup on
-    (path, range), so headers are never paired, however many indents a file has.
+    candidate enters the dyadic ranges around its indent, a header asks the few
+    that make up [0, own].  Each is an as-of lookup on (path, range), so headers
+    are never paired, however many indents a file has.  Ranges of more than
+    2^INDENT_BITS indents are only asked for by headers as deep as that, so only
+    files that hold one enter them.
     """
-    most = (1 << INDENT_BITS) - 2
-    clipped = F.least(F.col("indent"), F.lit(most))
-    cand = a.filter(_is_python_header()).select("path", F.col("line").cast("long").alias("cline"), clipped.alias("_i"))
-    cand = cand.withColumn("level", F.explode(F.array(*[F.lit(k) for k in range(INDENT_BITS + 1)])))
+    cand = a.filter(_is_python_header()).select("path", F.col("line").cast("long").alias("cline"), F.col("indent").cast("long").alias("_i"))
+    deep = cand.filter(F.col("_i") + 1 >= 1 << (INDENT_BITS + 1)).select("path", F.lit(ALL_INDENT_BITS).alias("_bits")).distinct()
+    cand = cand.join(deep, "path", "left").withColumn("level", F.explode(F.sequence(F.lit(0), F.coalesce("_bits", F.lit(INDENT_BITS)))))
     cand = cand.select("path", "cline", "level", F.expr("shiftright(_i, level)").alias("node"))
-    bits = F.filter(F.array(*[F.lit(k) for k in range(INDENT_BITS + 1)]), lambda k: F.getbit(F.col("_i") + 1, k) == 1)
-    q = heads.select("path", "line", clipped.alias("_i")).withColumn("level", F.explode(bits))
+    own = F.col("indent").cast("long")
+    bits = F.filter(F.array(*[F.lit(k) for k in range(ALL_INDENT_BITS + 1)]), lambda k: F.getbit(own + 1, k) == 1)
+    q = heads.select("path", "line", own.alias("_i"), F.explode(bits).alias("level"))
     q = q.select("path", "line", "level", (F.expr("shiftright(_i + 1, level)") - 1).alias("node"))
     r = asof(q, cand, ["path", "level", "node"], F.col("line").cast("long"), F.col("cline"), F.col("cline"), "next_line",
              _line_block, direction="forward", strict=True)

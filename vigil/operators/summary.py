@@ -36,11 +36,19 @@ def owasp_rollup(findings: DataFrame) -> DataFrame:
     return r.select("owasp", F.element_at(names, F.col("owasp")).alias("owasp_name"), "severity", "n_findings", "gid")
 
 
+#: What makes a finding the same one in two scans; fallback findings of a line can share an id.
+FINDING_KEY = ["rule_id", "path", "line", "match_ord"]
+
+
 def scan_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """X3 (extension): findings added / fixed between two scans, by finding id (anti joins)."""
-    added = new.join(old.select("id"), "id", "left_anti").withColumn("change", F.lit("added"))
-    fixed = old.join(new.select("id"), "id", "left_anti").withColumn("change", F.lit("fixed"))
-    return added.unionByName(fixed)
+    """X3 (extension): findings added / fixed between two scans, by their key (anti joins); null parts equal each other."""
+    def without(a, b):
+        keys = b.select(*[F.col(c).alias("_" + c) for c in FINDING_KEY])
+        same = F.lit(True)
+        for c in FINDING_KEY:
+            same = same & F.col(c).eqNullSafe(F.col("_" + c))
+        return a.join(keys, same, "left_anti")
+    return without(new, old).withColumn("change", F.lit("added")).unionByName(without(old, new).withColumn("change", F.lit("fixed")))
 
 
 def owasp_membership(findings: DataFrame) -> DataFrame:
