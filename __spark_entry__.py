@@ -25,6 +25,7 @@ from vigil.functions import paths, text  # noqa: E402
 from vigil.operators import finalize, graph, profile, results, summary  # noqa: E402
 from vigil.operators.closure import strong_components  # noqa: E402
 from vigil.sources.corpus import call_lines  # noqa: E402
+from vigil.sources.rulepack import rules_dataframe  # noqa: E402
 
 try:  # this subpackage and the pipeline may be absent; their own import errors still show
     import vigil.llm  # noqa: F401
@@ -189,6 +190,38 @@ def q_rule_scan_documents(spark, sf_dir):
     return api.rule_scan(docs, api.load_rules(extra_rules=USER_RULES, spark=spark))
 
 
+def _event_rules(spark, sf_dir):
+    """The default pack's rules and one per user of the events, as a DataFrame: assignments of that user's names."""
+    pack = api.load_rules(extra_rules=USER_RULES, spark=spark)
+    users = _t(spark, sf_dir, "events").select("user_id").distinct()
+    uid = F.col("user_id").cast("string")
+    made = users.select(
+        (F.col("user_id") + 1000).cast("int").alias("load_ord"), F.concat(F.lit("USER_"), uid).alias("rule_id"), F.lit("user rule").alias("name"),
+        F.lit("a name of the user").alias("description"), F.lit("names").alias("category"), F.element_at(
+            F.array(F.lit("low"), F.lit("HIGH"), F.lit("odd")), (F.col("user_id") % 3 + 1).cast("int")).alias("severity"),
+        F.when(F.col("user_id") % 2 == 0, F.array(F.lit("python"), F.lit("go"))).otherwise(F.array(F.lit("*"))).alias("languages"),
+        F.lit("CWE-1").alias("cwe"), F.lit("A00:2021").alias("owasp"), F.array(F.lit("names")).alias("tags"),
+        F.array(F.concat(F.lit(r"(?i)passw[o0]rd\s*=\s*.[a-z]"), uid, F.lit(r"\b")),
+                F.concat(F.lit("(?:cb|func f|interface [JR])"), uid, F.lit(r"\b"))).alias("patterns"),
+        F.lit("").alias("fix_suggestion"))
+    return rules_dataframe(spark, pack).unionByName(made)
+
+
+def q_rule_match_files(spark, sf_dir):
+    """A rules DataFrame that grows with the events, over whole files."""
+    return api.rule_match(_files(spark, sf_dir), _event_rules(spark, sf_dir))
+
+
+def q_listed_calls(spark, sf_dir):
+    """Call names against a list with an entry per event: names of handlers, some for one language only."""
+    ev = _t(spark, sf_dir, "events")
+    user = F.col("user_id").cast("string")
+    entries = ev.select(F.concat(F.lit("h"), user, F.lit("_"), (F.col("event_id") % 9).cast("string")).alias("entry"), F.col("event_id").alias("ord"),
+                        F.when(F.col("event_id") % 2 == 0, "javascript").alias("language"))
+    fixed = spark.createDataFrame([("exec", 10 ** 12, None), ("get", 10 ** 12 + 1, None), ("", 10 ** 12 + 2, "php")], "entry string, ord long, language string")
+    return api.listed_calls(_corpus(spark, sf_dir), entries.unionByName(fixed))
+
+
 def q_scan_files(spark, sf_dir):
     return api.scan(_files(spark, sf_dir)).select(*api.FINDING_COLUMNS)
 

@@ -185,6 +185,18 @@ def rule_scan(files: DataFrame, pack=None) -> DataFrame:
     return _rs(files, pack if pack is not None else load_rules(spark=files.sparkSession))
 
 
+def rule_match(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Findings of a rules DataFrame of any size: literals pick candidate (file, rule) pairs, regexes run on those."""
+    from vigil.operators.rulematch import rule_match as _rm
+    return _rm(files, rules)
+
+
+def listed_calls(src: DataFrame, entries: DataFrame) -> DataFrame:
+    """Calls whose name contains an entry(entry, ord[, language]) of a list of any length: the first in list order."""
+    from vigil.operators.wordlists import listed_calls as _lc
+    return _lc(calls(src), entries)
+
+
 def snippets(findings: DataFrame, src: DataFrame, context: int = 3) -> DataFrame:
     """Findings of any origin with their snippets; ``scan(context=k)`` gives the scan's own without a join."""
     from vigil.operators.finalize import snippets as _sn

@@ -51,16 +51,17 @@ def _severity(rule: dict) -> str:
     return level if level in C.SEVERITY_RANK else "medium"
 
 
-def _rule_struct(rule: dict) -> Column:
+def rule_values(rule: dict) -> dict:
+    """What a rule adds to its findings."""
     cwe, owasp = rule.get("cwe") or "", rule.get("owasp") or ""
-    text = lambda v: F.lit(v).cast("string")
-    return F.struct(text(rule["id"]).alias("rule_id"), text(rule.get("name")).alias("name"),
-                    text(rule.get("description")).alias("description"), text(_severity(rule)).alias("severity"),
-                    text(rule.get("cwe")).alias("cwe"), text(rule.get("owasp")).alias("owasp"),
-                    text(rule.get("fixSuggestion") or "").alias("fix_suggestion"),
-                    _texts(list(rule.get("tags") or [])).alias("tags"),
-                    _texts([f"https://cwe.mitre.org/data/definitions/{cwe.replace('CWE-', '', 1)}.html",
-                            f"https://owasp.org/Top10/{owasp}/"]).alias("references"))
+    return {"rule_id": rule["id"], "name": rule.get("name"), "description": rule.get("description"), "severity": _severity(rule),
+            "cwe": rule.get("cwe"), "owasp": rule.get("owasp"), "fix_suggestion": rule.get("fixSuggestion") or "",
+            "tags": list(rule.get("tags") or []),
+            "references": [f"https://cwe.mitre.org/data/definitions/{cwe.replace('CWE-', '', 1)}.html", f"https://owasp.org/Top10/{owasp}/"]}
+
+
+def _rule_struct(rule: dict) -> Column:
+    return F.struct(*[(_texts(v) if isinstance(v, list) else F.lit(v).cast("string")).alias(k) for k, v in rule_values(rule).items()])
 
 
 def line_of(content: Column, offset: Column) -> Column:
@@ -85,9 +86,14 @@ def rule_scan(files: DataFrame, pack: RulePack) -> DataFrame:
     none = {"id": "", "languages": []}
     table = F.array(*[_rule_struct(r) for r in rules or [none]])
     x = files.select("path", "language", "content", F.posexplode(hits).alias("rule", "hit")).filter("hit IS NOT NULL")
-    x = x.select("path", "language", line_of(F.col("content"), F.col("hit") % HIT_SHIFT).alias("line"),
-                 F.floor(F.col("hit") / HIT_SHIFT).cast("int").alias("pattern_ord"), F.get(table, F.col("rule")).alias("r"))
-    x = x.select("path", "language", "line", "pattern_ord", "r.*")
+    return finding_rows(x.select("path", "language", "content", "hit", F.get(table, F.col("rule")).alias("r")).select(
+        "path", "language", "content", "hit", "r.*"))
+
+
+def finding_rows(hits: DataFrame) -> DataFrame:
+    """Findings of (path, language, content, hit, values of the rule)."""
+    x = hits.withColumn("line", line_of(F.col("content"), F.col("hit") % HIT_SHIFT)) \
+        .withColumn("pattern_ord", F.floor(F.col("hit") / HIT_SHIFT).cast("int"))
     return x.select(finding_id(F.col("rule_id"), F.col("path"), F.col("line")).alias("id"),
                     "rule_id", "name", "description", "severity", severity_rank(F.col("severity")).alias("severity_rank"),
                     "path", "language", "line", "cwe", "owasp", "fix_suggestion", F.lit(0.8).alias("confidence"),
