@@ -127,3 +127,64 @@ def test_bad_rules_are_skipped_and_reported(tmp_path):
     (tmp_path / "c.yml").write_text("- just a list\n")
     pack = load_rule_pack(str(tmp_path))
     assert [r["id"] for r in pack.rules] == ["GOOD"] and len(pack.errors) == 4
+
+
+def spoil(path):
+    """A checksum that the file does not have: Hadoop's local file system refuses to read it."""
+    folder, name = os.path.split(path)
+    with open(os.path.join(folder, f".{name}.crc"), "wb") as f:
+        f.write(b"crc\x00" + (512).to_bytes(4, "big") + b"\x01\x02\x03\x04")
+
+
+def test_one_pass_over_a_tree_gives_findings_errors_and_counts(spark, tmp_path):
+    from vigil.operators.results import scan_tree
+    from vigil.streaming.scan import start_tree_scan
+    root = str(tmp_path / "t")
+    put(root, {**FILES, "line.py": "\n", "empty.py": "", "big.py": "z" * 5000, "torn.py": CODE, "sub/x.js": "eval(req.body)\n" * 3, "o[d]{d}*.py": "y"})
+    spoil(os.path.join(root, "torn.py"))
+    scan = scan_tree(spark, root, str(tmp_path / "batch"), max_bytes=1000)
+    want = api.scan(read_source_files(spark, root, max_bytes=1000)).collect()
+    assert sorted(r.id for r in scan.findings.collect()) == sorted(r.id for r in want)
+    files = {r.path for r in scan.files.collect()}
+    assert files == WANT | {"line.py", "sub/x.js", "o[d]{d}*.py"}  # Spark lists no empty files
+    errors = {tuple(r) for r in scan.errors.collect()}
+    assert errors == {("big.py", "Failed to analyze big.py: 5000 bytes, more than 1000"), ("torn.py", "Failed to analyze torn.py: cannot be read")}
+    assert errors == {tuple(r) for r in file_errors(spark, root, max_bytes=1000).collect()}
+    counts = scan.counts
+    assert (counts["total_files"], counts["total_issues"], counts["errors"]) == (len(files), len(want), 2)
+    assert all(counts[s] == sum(r.severity == s for r in want) for s in ("critical", "high", "medium", "low", "info"))
+    summary = spark.read.json(str(tmp_path / "batch/summary")).first()
+    assert summary.errorCount == 2 and summary.summary.totalIssues == len(want)
+    # a stream, two files at a time: the same rows, and the oversized file does not stop it
+    q = start_tree_scan(spark, root, str(tmp_path / "stream"), str(tmp_path / "ckpt"), max_files_per_trigger=4, max_bytes=1000)
+    assert q.awaitTermination(240) and q.exception() is None
+    out = str(tmp_path / "stream")
+    assert {tuple(r) for r in spark.read.parquet(f"{out}/errors").select("path", "error").collect()} == errors
+    rows = spark.read.parquet(f"{out}/rows")
+    assert rows.select("batch").distinct().count() > 1
+    assert sorted(r.id for r in rows.filter("kind = 'findings'").collect()) == sorted(r.id for r in want)
+    assert {r.path for r in rows.filter("kind = 'files'").collect()} == files
+
+
+def test_an_empty_tree(spark, tmp_path):
+    from vigil.operators.results import scan_tree
+    (tmp_path / "t").mkdir()
+    scan = scan_tree(spark, str(tmp_path / "t"), str(tmp_path / "o"))
+    assert scan.findings.count() == scan.files.count() == scan.errors.count() == 0 and scan.counts["total_files"] == 0
+
+
+def test_a_result_is_written_from_one_evaluation(spark, tmp_path, lines_of):
+    lines = lines_of({"a.py": CODE, "b.js": "eval(x)\n"})
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        calls.add(1)
+        return x
+    findings = api.scan(lines).withColumn("description", counted(F.col("description")))
+    n = api.scan(lines).count()
+    api.write_result(findings, str(tmp_path / "r"), lines, target="t")
+    assert calls.value == n
+    head = spark.read.json(str(tmp_path / "r/summary")).first()
+    assert (head.summary.totalIssues, head.summary.totalFiles, head.errorCount, head.targetPath) == (n, 2, 0, "t")
+    assert spark.read.json(str(tmp_path / "r/findings")).count() == n

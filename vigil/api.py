@@ -11,7 +11,7 @@ Entry points of the rebuilt tool:
   rule_scan(files, rules)     rule-pack scan over whole file contents
   with_remediation(findings)  guide lookup: impact, mitigation, references
   sarif(findings)             SARIF result / rule rows and log documents
-  write_result(findings, out) JSON output
+  write_result(findings, out) JSON output; scan_tree(spark, root, out) a tree in one pass, with errors and counts
 """
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ from vigil.operators import detect as _detect
 from vigil.operators import lines as _lines
 from vigil.operators.finalize import findings_by_file, sort_findings, top_findings, top_findings_by_file  # noqa: F401
 from vigil.operators.remediation import with_remediation  # noqa: F401
-from vigil.operators.results import result_document, write_result  # noqa: F401
+from vigil.operators.results import result_document, scan_tree, write_result  # noqa: F401
 from vigil.session import materialized
 from vigil.sources.corpus import corpus_files, corpus_lines  # noqa: F401
 from vigil.sources.files import dependency_manifests as check_dependencies  # noqa: F401

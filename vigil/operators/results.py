@@ -5,10 +5,16 @@ puts a report-sized result into the one nested document of the tool's JSON outpu
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from vigil import catalog as C
+from vigil.operators import detect
+from vigil.operators.lines import annotate, explode_lines
 from vigil.operators.summary import severity_summary
+from vigil.sources.files import MAX_FILE_BYTES, contents, listed_files, unscanned
 
 LEVELS = ["critical", "high", "medium", "low", "info"]
 
@@ -43,13 +49,92 @@ def finding_rows(findings: DataFrame) -> DataFrame:
     return findings.select(*finding_fields(findings.columns))
 
 
+def _counters(found: Column) -> list[Column]:
+    return [F.count_if(found).alias("total_issues"), *[F.count_if(found & (F.col("severity") == s)).alias(s) for s in LEVELS]]
+
+
+def _observed(observation: Observation) -> dict:
+    """Counts of a finished write; a plan that Spark knew to be empty carries none."""
+    got = observation.get or {}
+    return {k: got.get(k) or 0 for k in ("total_files", "total_issues", *LEVELS)}
+
+
+SUMMARY = ("success boolean, targetPath string, mode string, language string, summary struct<totalFiles:bigint,totalIssues:bigint,"
+           + ",".join(f"{s}:bigint" for s in LEVELS) + ">, errorCount bigint")
+
+
+def _counted_summary(spark: SparkSession, counts: dict, n_errors: int, target: str, mode: str, language: str) -> DataFrame:
+    return spark.createDataFrame([(True, target, mode, language, (counts["total_files"], counts["total_issues"], *[counts[s] for s in LEVELS]),
+                                   n_errors)], SUMMARY)
+
+
 def write_result(findings: DataFrame, out: str, lines: DataFrame | None = None, errors: DataFrame | None = None,
                  target: str = "", mode: str = "standard", language: str = "auto") -> None:
-    """Writes summary/, findings/ and errors/ as JSON lines below ``out``."""
-    summary_row(findings, lines, target, mode, language, errors).write.json(f"{out}/summary")
-    finding_rows(findings).write.json(f"{out}/findings")
+    """Writes findings/, errors/ and summary/ as JSON lines below ``out``.
+
+    The findings are evaluated once: the write itself counts them.  ``lines``
+    are read for the number of files only; scan_tree counts those, too, in its
+    one pass.
+    """
+    seen, failed = Observation(), Observation()
+    finding_rows(findings.observe(seen, *_counters(F.col("id").isNotNull()))).write.json(f"{out}/findings")
+    counts, n_errors = _observed(seen), 0
     if errors is not None:
-        errors.write.json(f"{out}/errors")
+        errors.observe(failed, F.count(F.lit(1)).alias("n")).write.json(f"{out}/errors")
+        n_errors = (failed.get or {}).get("n") or 0
+    counts["total_files"] = lines.agg(F.count_distinct("path")).first()[0] if lines is not None else None
+    _counted_summary(findings.sparkSession, counts, n_errors, target, mode, language).coalesce(1).write.json(f"{out}/summary")
+
+
+# ------------------------------------------------------------- one pass ---
+def marked_findings(files: DataFrame, rules: set[str] | None = None, fallback: str = "auto") -> DataFrame:
+    """The scan's findings of source_files and one row of each file itself, whose rule_id is null; one narrow pass."""
+    d = detect.prepared(annotate(explode_lines(files)))
+    found = detect.findings_array(rules, fallback)
+    mark = F.when(F.col("line") == 1, F.array(F.lit(None))).otherwise(F.array())  # every file has a first line, if an empty one
+    x = d.select("path", "language", "line", F.explode(F.concat(found, mark)).alias("f"))
+    return detect.finalize_columns(x.select("path", "language", "line", *[F.col("f." + c).alias(c) for c in detect.FINDING_FIELDS]))
+
+
+@dataclass
+class TreeScan:
+    """What one pass over a tree left: tables of findings, scanned files and errors, and their counts."""
+    findings: DataFrame
+    files: DataFrame
+    errors: DataFrame
+    counts: dict
+
+
+def scan_listed(listed: DataFrame, out: str, language: str = "auto", max_bytes: int = MAX_FILE_BYTES, min_severity: str | None = None,
+                mode: str = "standard", target: str = "", opened: DataFrame | None = None, part: str = "") -> TreeScan:
+    """Scans listed files into ``out``, opening every file once; ``opened`` reads their contents where ``listed`` has none.
+
+    One job writes rows/kind=findings and rows/kind=files and counts them as it
+    goes; a file that is listed but left no row could not be read, so the
+    errors need the listing's names only.  Existing tables are written anew;
+    ``part`` (such as ``/batch=1``) makes them partitions of rows, errors and summary.
+    """
+    spark = listed.sparkSession
+    rows = marked_findings(contents(listed if opened is None else opened, language, max_bytes))
+    if min_severity:
+        rows = rows.filter(F.col("rule_id").isNull() | (F.col("severity_rank") >= C.SEVERITY_RANK[min_severity]))
+    seen, failed = Observation(), Observation()
+    found = F.col("rule_id").isNotNull()
+    rows = rows.observe(seen, F.count_if(~found).alias("total_files"), *_counters(found))
+    rows.withColumn("kind", F.when(found, "findings").otherwise("files")).write.mode("overwrite").partitionBy("kind").parquet(f"{out}/rows{part}")
+    table = spark.read.schema(rows.schema.add("kind", "string")).parquet(f"{out}/rows{part}")
+    files = table.filter("kind = 'files'").select("path", "language")
+    unscanned(listed, files, max_bytes).observe(failed, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/errors{part}")
+    errors = spark.read.schema("path string, error string").parquet(f"{out}/errors{part}")
+    counts = {**_observed(seen), "errors": (failed.get or {}).get("n") or 0}
+    _counted_summary(spark, counts, counts["errors"], target, mode, language).coalesce(1).write.mode("overwrite").json(f"{out}/summary{part}")
+    return TreeScan(table.filter("kind = 'findings'").drop("kind"), files, errors, counts)
+
+
+def scan_tree(spark: SparkSession, root: str, out: str, language: str = "auto", exclude=tuple(C.DEFAULT_EXCLUDE_PATTERNS),
+              max_bytes: int = MAX_FILE_BYTES, min_severity: str | None = None) -> TreeScan:
+    """A directory tree scanned in one pass: findings, scanned files, errors and summary below ``out``."""
+    return scan_listed(listed_files(spark, root, language, exclude), out, language, max_bytes, min_severity, target=root)
 
 
 def result_document(findings: DataFrame, lines: DataFrame | None = None, errors: DataFrame | None = None, target: str = "",

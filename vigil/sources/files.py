@@ -7,6 +7,8 @@ sequences replaced by U+FFFD.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,13 +51,50 @@ def select_files(raw: DataFrame, root: str, language: str, exclude) -> DataFrame
     return raw.filter(keep).withColumn("rel", rel)
 
 
-def _listing(spark: SparkSession, root: str, language: str, exclude) -> DataFrame:
+BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
+def listed_files(spark: SparkSession, root: str, language: str = "auto", exclude=tuple(C.DEFAULT_EXCLUDE_PATTERNS),
+                 files_per_trigger: int | None = None) -> DataFrame:
+    """binaryFile rows plus ``rel`` of the tree's files, or a stream of them; only rows whose content is asked for are opened.
+
+    A file that cannot be read gives no row where its content is asked for.
+    Spark does not list files of no bytes: they are neither scanned nor errors.
+    """
     glob = "*{" + ",".join(_any_case(e) for e in _extensions(language)) + "}"
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    reader = spark.read if files_per_trigger is None else spark.readStream.schema(BINARY_FILE).option("maxFilesPerTrigger", files_per_trigger)
+    raw = (reader.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
            .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root))
     return select_files(raw, root, language, exclude)
 
 
+def named_files(spark: SparkSession, names: list[str], root: str, language: str = "auto") -> DataFrame:
+    """listed_files of exactly these names (as in its ``path``) below root; names that are gone by now are left out."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [hadoop.Path(n) for n in names]
+    there = [re.sub(r"([\\{}\[\]*?])", r"\\\1", n) for n, p in zip(names, paths) if p.getFileSystem(conf).exists(p)]
+    if not there:
+        return spark.createDataFrame([], BINARY_FILE + ", rel string")
+    raw = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(there)
+    return select_files(raw, root, language, ())
+
+
+def contents(listed: DataFrame, language: str = "auto", max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """source_files(path, language, content, size, modified) of listed files; larger ones are not opened."""
+    lang = detect_language(F.col("rel")) if language == "auto" else F.lit(language)
+    return listed.filter(F.col("length") <= max_bytes).select(
+        F.col("rel").alias("path"), lang.alias("language"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+        F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def unscanned(listed: DataFrame, scanned: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(path, error) of listed files without a row in scanned(path); opens none of them."""
+    failed = listed.select("rel", "length").join(scanned.select(F.col("path").alias("rel")), "rel", "left_anti")
+    why = F.when(F.col("length") > max_bytes, F.format_string("%d bytes, more than %d", "length", F.lit(max_bytes))) \
+        .otherwise(F.lit("cannot be read"))
+    return failed.select(F.col("rel").alias("path"), F.concat(F.lit("Failed to analyze "), "rel", F.lit(": "), why).alias("error"))
+
+
 def read_source_files(spark: SparkSession, root: str, language: str = "auto",
                       exclude=tuple(C.DEFAULT_EXCLUDE_PATTERNS), max_files: int | None = None,
                       relative: bool = True, max_bytes: int = MAX_FILE_BYTES, validate: bool = False) -> DataFrame:
@@ -71,7 +110,7 @@ def read_source_files(spark: SparkSession, root: str, language: str = "auto",
     """
     if validate and (reason := validate_target(root)):
         raise ValueError(reason)
-    d = _listing(spark, root, language, exclude).filter(F.col("length") <= max_bytes)
+    d = listed_files(spark, root, language, exclude).filter(F.col("length") <= max_bytes)
     if max_files is not None:
         # the files to keep are chosen on names alone; contents are read for these only
         first = (d.select("rel", extension_order(F.col("rel")).alias("o")).orderBy("o", "rel").limit(max_files).select("rel"))
@@ -85,13 +124,13 @@ def read_source_files(spark: SparkSession, root: str, language: str = "auto",
 
 def file_errors(spark: SparkSession, root: str, language: str = "auto", exclude=tuple(C.DEFAULT_EXCLUDE_PATTERNS),
                 max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(path, error) of files of the tree that a scan cannot read: too large, or failing when opened."""
-    listed = _listing(spark, root, language, exclude)
-    readable = listed.filter((F.col("length") <= max_bytes) & (F.length("content") >= 0)).select("rel")
-    failed = listed.select("rel", "length").join(readable, "rel", "left_anti")
-    why = F.when(F.col("length") > max_bytes, F.format_string("%d bytes, more than %d", "length", F.lit(max_bytes))) \
-        .otherwise(F.lit("cannot be read"))
-    return failed.select(F.col("rel").alias("path"), F.concat(F.lit("Failed to analyze "), "rel", F.lit(": "), why).alias("error"))
+    """(path, error) of files of the tree that a scan cannot read: too large, or failing when opened.
+
+    Opens every file; ``results.scan_tree`` gives the same rows out of the scan's own pass.
+    """
+    listed = listed_files(spark, root, language, exclude)
+    readable = listed.filter((F.col("length") <= max_bytes) & (F.length("content") >= 0))
+    return unscanned(listed, readable.select(F.col("rel").alias("path")), max_bytes)
 
 
 def dependency_manifests(listing: DataFrame, root_col: str | None = None, roots: DataFrame | None = None) -> DataFrame:
