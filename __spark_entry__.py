@@ -353,6 +353,21 @@ def q_owasp_rollup(spark, sf_dir):
     return summary.owasp_rollup(api.scan(_corpus(spark, sf_dir)))
 
 
+def q_rollups(spark, sf_dir):
+    return summary.rollups(api.scan(_corpus(spark, sf_dir)))
+
+
+#: An exclusion list of braces, classes, a group and a pattern that takes back.
+PAGE_GLOBS = ["**/{fr,de}/*[0-9]", "**/*.@(html|htm)", "!**/*[!3-9].html", "http*/**/en/[1-4]{0..9}"]
+
+
+def q_page_globs(spark, sf_dir):
+    """Exclusion lists over the pages' addresses, without their scheme and query."""
+    url = F.regexp_replace("url", r"[?#].*$", "")
+    return _t(spark, sf_dir, "pages").select("page_id", paths.excluded(url, PAGE_GLOBS).alias("excluded"),
+                                             paths.excluded(url, PAGE_GLOBS[:2]).alias("first_two"))
+
+
 def q_owasp_membership(spark, sf_dir):
     return summary.owasp_membership(api.scan(_corpus(spark, sf_dir)))
 

@@ -36,6 +36,18 @@ def owasp_rollup(findings: DataFrame) -> DataFrame:
     return r.select("owasp", F.element_at(names, F.col("owasp")).alias("owasp_name"), "severity", "n_findings", "gid")
 
 
+def rollups(findings: DataFrame) -> DataFrame:
+    """Findings per OWASP category, CWE and language, each by severity and in all, per severity, and the total.
+
+    (owasp, cwe, language, severity, n_findings, gid): one pass by grouping
+    sets; a column outside of a row's set is null, gid (grouping_id over the
+    four, 1 for a column that is left out) tells that from a value that is null.
+    """
+    by = ["owasp", "cwe", "language", "severity"]
+    sets = [s for k in by[:3] for s in ([k, "severity"], [k])] + [["severity"], []]
+    return findings.groupingSets(sets, *by).agg(F.count(F.lit(1)).alias("n_findings"), F.grouping_id(*by).cast("long").alias("gid"))
+
+
 #: What makes a finding the same one in two scans; fallback findings of a line can share an id.
 FINDING_KEY = ["rule_id", "path", "line", "match_ord"]
 
