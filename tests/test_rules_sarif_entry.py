@@ -1,4 +1,5 @@
 """Rule packs, SARIF rows, taint points and the driver contract."""
+import json
 import os
 import tempfile
 
@@ -135,3 +136,43 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "rule_id" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def joined(folder):
+    """The files of a document one after another, in name order."""
+    out = []
+    for section in sorted(os.listdir(folder)):
+        for name in sorted(os.listdir(os.path.join(folder, section))):
+            if name.startswith("part-"):
+                with open(os.path.join(folder, section, name), encoding="utf-8") as f:
+                    out.append(f.read())
+    return "".join(out)
+
+
+def test_documents_in_parts_are_the_one_row_documents(spark, lines_of, tmp_path):
+    from vigil.operators.sarif import sarif_log
+    lines = lines_of({f"d{i}/a.py": "eval(input())\n\npassword = 'ab\"cé'\n" * 40 for i in range(8)} | {"b.js": "el.innerHTML = q;\n"})
+    f = api.scan(lines, context=2).repartition(7)
+    f = f.unionByName(f.limit(3))  # equal rows, as in a union with other findings
+    f = spark.createDataFrame(f.collect(), f.schema)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that a small table keeps its tasks
+    try:
+        api.write_sarif(f, str(tmp_path / "s"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got, want = json.loads(joined(tmp_path / "s")), json.loads(sarif_log(f).first().sarif)
+    assert got["runs"][0]["tool"] == want["runs"][0]["tool"]
+    order = [r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in got["runs"][0]["results"]]
+    assert order == [r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in want["runs"][0]["results"]]
+    assert sorted(map(json.dumps, got["runs"][0]["results"])) == sorted(map(json.dumps, want["runs"][0]["results"]))
+    assert len([n for n in os.listdir(tmp_path / "s" / "03") if n.startswith("part-")]) > 2  # several tasks wrote the results
+    errors = spark.createDataFrame([('x "q" \\ \n',), ("a",)], "error string")
+    api.write_result_document(f, str(tmp_path / "r"), 9, errors, "t")
+    got, want = json.loads(joined(tmp_path / "r")), json.loads(api.result_document(f, lines, errors, "t").first().json)
+    assert {k: got[k] for k in got if k != "vulnerabilities"} == {k: want[k] for k in want if k != "vulnerabilities"}
+    assert [v["location"]["file"] for v in got["vulnerabilities"]] == [v["location"]["file"] for v in want["vulnerabilities"]]
+    assert sorted(map(json.dumps, got["vulnerabilities"])) == sorted(map(json.dumps, want["vulnerabilities"]))
+    api.write_sarif(f.limit(0), str(tmp_path / "e"))
+    assert json.loads(joined(tmp_path / "e"))["runs"][0]["results"] == []
+    api.write_result_document(f.limit(0), str(tmp_path / "er"))
+    assert json.loads(joined(tmp_path / "er"))["vulnerabilities"] == []

@@ -10,7 +10,7 @@ Entry points of the rebuilt tool:
   check_dependencies(listing) dependency manifests per project root
   rule_scan(files, rules)     rule-pack scan over whole file contents
   with_remediation(findings)  guide lookup: impact, mitigation, references
-  sarif(findings)             SARIF result / rule rows and log documents
+  sarif(findings)             SARIF result / rule rows; write_sarif a log of any size
   write_result(findings, out) JSON output; scan_tree(spark, root, out) a tree in one pass, with errors and counts
 """
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import detect as _detect
 from vigil.operators import lines as _lines
+from vigil.operators.documents import write_result_document, write_sarif  # noqa: F401
 from vigil.operators.finalize import findings_by_file, sort_findings, top_findings, top_findings_by_file  # noqa: F401
 from vigil.operators.remediation import with_remediation  # noqa: F401
 from vigil.operators.results import result_document, scan_tree, write_result  # noqa: F401

@@ -3,8 +3,8 @@
 sarif_rules: one row per rule in order of first appearance (W9 dense index).
 sarif_results: one row per finding (scales with the findings).
 sarif_log: one JSON document per project; a document holds its project's
-results in one row, so projects must be report-sized; the row tables have no
-such bound.
+results in one row, so projects must be report-sized; the row tables and
+documents.write_sarif have no such bound.
 """
 from __future__ import annotations
 
@@ -57,7 +57,7 @@ def sarif_results(findings: DataFrame, rules: DataFrame | None = None, by: tuple
         F.struct((-F.col("severity_rank")).alias("severity"), "path", "detector_ord", "line", "match_ord").alias("sort_key"))
 
 
-def _rule_object() -> Column:
+def rule_object() -> Column:
     def text(c):
         return F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.struct(F.col(c).alias("text")))
     return F.struct(
@@ -68,7 +68,7 @@ def _rule_object() -> Column:
                  F.when(F.size("tags") > 0, F.col("tags")).alias("tags")).alias("properties"))
 
 
-def _result_object() -> Column:
+def result_object() -> Column:
     region = F.struct(F.col("start_line").alias("startLine"), F.col("start_column").alias("startColumn"),
                       F.col("end_line").alias("endLine"), F.col("end_column").alias("endColumn"),
                       F.when(F.col("snippet") != "", F.struct(F.col("snippet").alias("text"))).alias("snippet"))
@@ -91,9 +91,9 @@ def sarif_log(findings: DataFrame, project: Column | None = None, tool_name: str
     f = findings.withColumn("project", project if project is not None else F.lit(""))
     rules = sarif_rules(f, by)
     rr = sarif_results(f, rules, by).groupBy(*by).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("sort_key", _result_object().alias("o")))), lambda x: x["o"]).alias("results"))
+        F.array_sort(F.collect_list(F.struct("sort_key", result_object().alias("o")))), lambda x: x["o"]).alias("results"))
     rl = rules.groupBy(*by).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rule_index", _rule_object().alias("o")))), lambda x: x["o"]).alias("rules"))
+        F.array_sort(F.collect_list(F.struct("rule_index", rule_object().alias("o")))), lambda x: x["o"]).alias("rules"))
     driver = F.struct(F.lit(tool_name).alias("name"), F.lit(tool_version).alias("version"),
                       F.lit(information_uri).alias("informationUri"), F.col("rules"))
     run = F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("results"), F.lit("utf16CodeUnits").alias("columnKind"))
