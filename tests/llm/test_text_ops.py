@@ -59,6 +59,41 @@ def test_packing_pads_little():
     assert sum(0 if n & (n - 1) == 0 else 128 - n for n in used.values()) == 0
 
 
+@pytest.mark.parametrize("sizes", [[1], [3], [5], [1, 2, 3, 4, 5, 6, 7, 8], [2, 900, 1], [2047, 1, 2], [5000, 3]])
+def test_short_and_mixed_texts_are_hardly_padded(sizes):
+    rng = np.random.default_rng(3)
+    packer, out, total = packing.Packer((2048, 2048, 2048), cut=True), [], 0
+    for key in range(20_000 if max(sizes) < 100 else 600):
+        n = int(rng.choice(sizes))
+        total += n
+        out += packer.add(key, n, n)
+        assert len(packer.items) + len(packer.fresh) < packer.pool_size and len(packer.placed) <= 2048
+    out += packer.finish()
+    used = Counter()
+    for _, _, n, sequence, offset, _ in out:
+        assert offset == used[sequence]  # handed out in order, without gaps
+        used[sequence] += n
+    padding = sum(0 if n & (n - 1) == 0 else 2048 - n for n in used.values())
+    assert sum(used.values()) == total and max(used.values()) <= 2048 and padding < 0.02 * total
+
+
+def test_memo_keeps_frequent_keys():
+    from vigil.llm.shared import Memo
+
+    class Squares(Memo):
+        asked = 0
+
+        def compute(self, key):
+            self.asked += 1
+            return key * key
+
+    memo = Squares(most=20)
+    for k in range(5000):
+        assert memo[k % 7] == (k % 7) ** 2 and memo[100 + k] == (100 + k) ** 2
+        assert len(memo) <= 20 and len(memo.old) <= 20
+    assert memo.asked == 5007
+
+
 def test_vector_limits_hold_without_cutting(spark):
     rng = np.random.default_rng(2)
     rows = [(i, int(t), int(t * s)) for i, (t, s) in enumerate(zip(rng.integers(1, 100, 400), rng.random(400)))]

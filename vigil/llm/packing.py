@@ -4,8 +4,10 @@ An example is a vector (tokens, segments, loss-bearing tokens); a sequence has a
 capacity in each.  With r the room left in the open sequence and x an example,
 both divided by the capacities, the example with the largest product r.x among
 those that fit goes in next; the room is spent where there is most of it.
-Examples come from a pool of bounded size that is refilled as they are placed,
-so a task needs bounded memory however many rows it reads.
+Examples come from a pool of ``pool`` examples that is refilled as soon as one is
+placed, while the sequence stays open, so the choice is as wide for its last
+example as for its first, and a task needs bounded memory however many rows it
+reads.  Of equal products the example that came first is taken.
 
 Where examples may be cut, whole sequences are cut off long ones first, and when
 nothing in the pool fits the room left, the example with the largest product is
@@ -28,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.shared import CACHE_WORDS, blocks, byte_letters, texts, worker_cache
+from vigil.llm.shared import Memo, blocks, byte_letters, texts, worker_cache
 
 PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
                 "segment int, ids binary")
@@ -39,39 +41,37 @@ WORDS = re.compile("( ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++|[0-9
                    "| ?[!-&(-/:-@\\[-`{-~]++(?!'|[^\x00-\x7f]))")
 
 
-class WordIds(dict):
-    """word -> ids by the tokenizer's model, read once; emptied at CACHE_WORDS."""
+class WordIds(Memo):
+    """word -> ids by the tokenizer's model, read once."""
 
     def __init__(self, tokenizer):
         super().__init__()
         self.model, self.bytes = tokenizer.model, byte_letters()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        tokens = self.model.tokenize("".join(map(self.bytes.__getitem__, word.encode())))
-        ids = self[word] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        return ids
+    def compute(self, word: str) -> bytes:
+        # printable ASCII stands for itself; only the space before a word does not
+        shown = word.replace(" ", self.bytes[32]) if word.isascii() else "".join(map(self.bytes.__getitem__, word.encode()))
+        tokens = self.model.tokenize(shown)
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
 
-class PartIds(dict):
-    """part between spaces, led by head -> its ids as little-endian uint32; emptied at CACHE_WORDS."""
+class PartIds(Memo):
+    """part between spaces, led by head -> its ids as little-endian uint32."""
 
     def __init__(self, head: str, words: WordIds, encode):
         super().__init__()
         self.head, self.words, self.encode = head, words, encode
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
+    def compute(self, part: str) -> bytes:
         found, at, whole = [], 0, self.head + part
+        if WORDS.fullmatch(whole):
+            return self.words.compute(whole)
         while at < len(whole) and (m := WORDS.match(whole, at)):
             found.append(self.words[m[0]])
             at = m.end()
         if at < len(whole):
             found.append(self.encode(whole[at:]))
-        ids = self[part] = b"".join(found)
-        return ids
+        return b"".join(found)
 
 
 class TextIds:
@@ -119,6 +119,7 @@ class Packer:
         self.items: list[tuple] = []  # (key, start, tokens, loss)
         self.fresh: list[tuple] = []
         self.sequences = 0
+        self.number, self.room, self.placed = -1, self.capacity.copy(), []  # the open sequence
 
     def _vector(self, tokens: int, loss: int) -> list[float]:
         return [tokens, 1, loss]
@@ -141,7 +142,7 @@ class Packer:
         if tokens:
             self.fresh.append((key, start, tokens, loss))
         while len(self.items) + len(self.fresh) >= self.pool_size:
-            yield from self._fill()
+            yield from self._step()
 
     def _next(self) -> int:
         self.sequences += 1
@@ -160,52 +161,70 @@ class Packer:
         self.vectors = self.vectors[:last]
         return item
 
-    def _fill(self, target: int | None = None) -> Iterator[tuple]:
-        """One sequence from the pool, of target tokens at most."""
+    def _place(self, room: np.ndarray) -> tuple | None:
+        """The next example (key, start, tokens, loss) for this room, cut if need be; None if there is none."""
         self._absorb()
-        room, number, offset, segment = self.capacity.copy(), self._next(), 0, 0
-        if target:
-            room[0] = target
-        while len(self.items) and room.min() >= 1:
-            product = self.vectors @ (room / self.capacity ** 2)
-            fits = (self.vectors <= room).all(axis=1)
-            if fits.any():
-                key, start, tokens, loss = self._take(int(np.argmax(np.where(fits, product, -1))))
-            elif self.cut:
-                key, start, whole, loss_all = self._take(int(np.argmax(product)))
-                share = loss_all / whole
-                tokens = int(min(room[0], whole, room[2] / share if share else whole))
-                loss = min(round(share * tokens), int(room[2]), loss_all)
-                if not tokens:
-                    self.fresh.append((key, start, whole, loss_all))
-                    self._absorb()
-                    break
-                if tokens < whole:
-                    self.fresh.append((key, start + tokens, whole - tokens, loss_all - loss))
-            else:
-                break
-            yield key, start, tokens, number, offset, segment
-            offset, segment = offset + tokens, segment + 1
-            room -= self._vector(tokens, loss)
-            if self.fresh and not len(self.items):
-                self._absorb()
+        if not self.items or room.min() < 1:
+            return None
+        product = self.vectors @ (room / self.capacity ** 2)
+        fits = (self.vectors <= room).all(axis=1)
+        if fits.any():
+            return self._take(int(np.argmax(np.where(fits, product, -1))))
+        if not self.cut:
+            return None
+        key, start, whole, loss_all = self._take(int(np.argmax(product)))
+        share = loss_all / whole
+        tokens = int(min(room[0], whole, room[2] / share if share else whole))
+        loss = min(round(share * tokens), int(room[2]), loss_all)
+        if tokens < whole:
+            self.fresh.append((key, start + tokens, whole - tokens, loss_all - loss))
+        return (key, start, tokens, loss) if tokens else None
+
+    def _step(self) -> Iterator[tuple]:
+        """One example into the open sequence; the sequence is handed out when nothing more goes in."""
+        if not self.placed:
+            self.number, self.room = self._next(), self.capacity.copy()
+        example = self._place(self.room)
+        if example:
+            self.placed.append(example)
+            self.room -= self._vector(example[2], example[3])
+        if not example or self.room.min() < 1:
+            yield from self._close()
+
+    def _close(self) -> Iterator[tuple]:
+        offset = 0
+        for segment, (key, start, tokens, _) in enumerate(self.placed):
+            yield key, start, tokens, self.number, offset, segment
+            offset += tokens
+        self.placed = []
 
     def finish(self) -> Iterator[tuple]:
-        """What is left; cut into powers of two where examples may be cut."""
+        """What is left; cut into powers of two where examples may be cut, the open sequence's examples among it."""
+        if self.cut:
+            self.fresh += self.placed
+            self.placed = []
         self._absorb()
-        while self.items:
-            left = int(self.vectors[:, 0].sum())
-            if self.cut and left < self.capacity[0]:
-                yield from self._fill(1 << (left.bit_length() - 1))
+        while self.items or self.placed:
+            left = int(self.vectors[:, 0].sum()) + sum(t for _, _, t, _ in self.placed)
+            if self.cut and not self.placed and left < self.capacity[0]:
+                self.number, self.room = self._next(), self.capacity.copy()
+                self.room[0] = 1 << (left.bit_length() - 1)
+                while example := self._place(self.room):
+                    self.placed.append(example)
+                    self.room -= self._vector(example[2], example[3])
+                yield from self._close()
             else:
-                yield from self._fill()
+                yield from self._step()
             self._absorb()
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, max_segments: int = 512,
+def pack_documents(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, max_segments: int | None = None,
                    max_loss: int | None = None, end_id: int = 1) -> DataFrame:
-    """Pieces of all documents with their ids and places; every token but none else bears loss."""
-    capacity = (max_tokens, max_segments, max_loss or max_tokens)
+    """Pieces of all documents with their ids and places; every token but none else bears loss.
+
+    By default as many segments as tokens are allowed, so that short texts fill a sequence, too.
+    """
+    capacity = (max_tokens, max_segments or max_tokens, max_loss or max_tokens)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):

@@ -116,6 +116,31 @@ def runs_of(sizes: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, i
         yield first, len(sizes)
 
 
+class Memo(dict):
+    """key -> compute(key), in two generations of at most ``most`` entries each.
+
+    A full young generation becomes the old one; an entry that is asked for
+    again moves to the young one, so frequent keys stay and rare ones go.
+    """
+
+    def __init__(self, most: int = CACHE_WORDS):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def compute(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, computed once per worker and word; emptied when it holds CACHE_HASHES."""
 
