@@ -337,12 +337,12 @@ def q_scan_diff(spark, sf_dir):
 
 
 def q_manifests(spark, sf_dir):
-    """Manifest check over a listing drawn from events: a root per user, manifests by event."""
+    """Manifest check over a listing drawn from all events: a root per user, four of the ten names in each, some without any manifest."""
     ev = _t(spark, sf_dir, "events")
-    name = F.get(F.array(*[F.lit(x) for x in (*C.DEPENDENCY_FILES, "main.py", "README.md")]), (F.col("event_id") % 10).cast("int"))
-    listing = ev.filter(F.col("event_id") % 7 == F.col("user_id") % 7).select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), name).alias("path"))
-    roots = ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("root"))
-    return api.check_dependencies(listing, roots=roots)
+    names = F.array(*[F.lit(x) for x in (*C.DEPENDENCY_FILES, "main.py", "README.md")])
+    name = F.get(names, ((F.col("user_id") * 7 + F.col("event_id") % 4 * (F.col("user_id") % 3)) % 10).cast("int"))
+    root = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    return api.check_dependencies(ev.select(F.concat(root, F.lit("/"), name).alias("path")), roots=ev.select(root.alias("root")))
 
 
 def q_file_profile(spark, sf_dir):

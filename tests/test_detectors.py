@@ -87,3 +87,36 @@ def test_dedup_window_is_idempotent(lines_of):
     f = api.scan(lines_of({"s/app.py": PY}))
     once = dedup_findings(f.unionByName(f))
     assert sorted(r.id for r in once.collect()) == sorted(r.id for r in f.collect())
+
+
+def test_lines_that_are_passed_over_have_no_finding(spark, lines_of):
+    """scan() with its test of the raw text against the detectors on every line."""
+    import random
+
+    from vigil.operators.detect import detect
+    from vigil.operators.lines import annotate
+    from vigil.sources.corpus import FILE_TEMPLATES, TEMPLATES
+    rng = random.Random(8)
+    base = [t[4] for t in TEMPLATES] + [x for t in FILE_TEMPLATES for x in t[3]] + [
+        "OPEN(request.args)", "File_Get_Contents($_GET['x'])", "x.EXECUTE (f\"a\")", "import pickle", "from yaml import load as l", "pickle",
+        "const { a } = require('vm2')", "do_eval()", "eval (x)", "Popen[(1)]", "# exec(x)", "password='longenough1'", "-----BEGIN", "", "é eval(x)"]
+    files = {}
+    for ext in ("py", "js", "ts", "go", "java", "php", "rs", "rb"):
+        lines = []
+        for _ in range(150):
+            a, b = rng.choice(base), rng.choice(base)
+            cut = rng.randrange(len(a) + 1)
+            lines.append(rng.choice([a, a[:cut] + b, a.upper(), a[cut:], a + " " + b]))
+        files[f"m.{ext}"] = "\n".join(lines)
+    lines = lines_of(files)
+    for mode, rules, fallback in (("standard", None, "auto"), ("quick", None, "auto"), ("standard", {"XSS", "SSRF_RISK"}, "off"), ("standard", None, "only")):
+        want = detect(annotate(lines), rules, fallback)
+        if mode == "quick":
+            want = want.filter("severity IN ('critical', 'high')")
+        got = api.scan(lines, mode=mode, rules=rules, fallback=fallback)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    src = spark.createDataFrame([(p, "python", t) for p, t in files.items()], "path string, language string, content string")
+    with_context = {(r.path, r.line, r.rule_id, r.match_ord): r.snippet for r in api.scan(src, context=2).collect()}
+    for (path, line, _, _), s in with_context.items():
+        pieces = files[path].split("\n")
+        assert s.code == "\n".join(pieces[max(line - 3, 0):line + 2]) and s.start_line == max(line - 2, 1)

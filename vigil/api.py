@@ -49,6 +49,15 @@ def as_lines(src: DataFrame, context: int | None = None) -> DataFrame:
     return src if context is None else line_context(src, context)
 
 
+def _possible_lines(src: DataFrame, context: int | None, rules: set[str] | None, fallback: str) -> DataFrame:
+    """as_lines without the lines that can have no finding; whole files' snippets are cut for the others only."""
+    def keep(text, language):
+        return _detect.may_match(text, language, rules, fallback)
+    if "content" in src.columns and "text" not in src.columns:
+        return _lines.explode_lines(src, context, keep)
+    return as_lines(src, context).filter(keep(F.col("text"), F.col("language")))
+
+
 def annotate(src: DataFrame) -> DataFrame:
     return _lines.annotate(as_lines(src))
 
@@ -76,8 +85,8 @@ def scan(src: DataFrame, mode: str = "standard", rules: set[str] | None = None,
     from vigil.operators.finalize import filter_min_severity
     if mode == "quick":
         rules = (set(_detect.C.RULE_TEXT) if rules is None else set(rules)) - ALWAYS_LOWER
-    lines = _lines.annotate(as_lines(src, context))
-    f = _detect.detect(lines, rules, fallback, keep=("snippet",) if context is not None else ())
+    lines = _possible_lines(src, context, rules, fallback)
+    f = _detect.detect(_lines.annotate(lines), rules, fallback, keep=("snippet",) if context is not None else ())
     if mode == "quick":
         f = f.filter(F.col("severity").isin(*QUICK_SEVERITIES))
     if min_severity:
@@ -96,7 +105,7 @@ def scan_summary(src: DataFrame, mode: str = "standard") -> DataFrame:
     levels = F.transform(_detect.findings_array(rules), lambda f: f["severity"])
     if mode == "quick":
         levels = F.filter(levels, lambda s: s.isin(*QUICK_SEVERITIES))
-    d = _detect.prepared(annotate(src)).select("path", levels.alias("_levels"))
+    d = _detect.prepared(annotate(src), rules).select("path", levels.alias("_levels"))
 
     def n(level):
         return F.sum(F.size(F.filter("_levels", lambda s: s == level)).cast("long")).alias(level)

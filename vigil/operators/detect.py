@@ -227,14 +227,51 @@ def fallback_findings() -> Column:
     return F.flatten(F.array(*out))
 
 
-LINE_PATTERNS = [p for ps in (C.SQL_INJECTION_PATTERNS, C.XSS_PATTERNS, C.SSRF_PATTERNS, C.PATH_TRAVERSAL_PATTERNS,
-                              C.SENSITIVE_DATA_PATTERNS, C.WEAK_CRYPTO_PATTERNS, C.XXE_PATTERNS, C.OPEN_REDIRECT_PATTERNS)
-                 for p in ps]
+#: Rules that a line's text decides, with their patterns.
+RULE_PATTERNS = {"SQL_INJECTION": C.SQL_INJECTION_PATTERNS, "SQL_INJECTION_RISK": C.SQL_INJECTION_PATTERNS, "XSS": C.XSS_PATTERNS,
+                 "SSRF": C.SSRF_PATTERNS, "PATH_TRAVERSAL": C.PATH_TRAVERSAL_PATTERNS, "HARDCODED_SECRET": C.SENSITIVE_DATA_PATTERNS,
+                 "WEAK_CRYPTO": C.WEAK_CRYPTO_PATTERNS, "XXE": C.XXE_PATTERNS, "OPEN_REDIRECT": C.OPEN_REDIRECT_PATTERNS}
+#: Rules that names of calls decide, with these names in any language, and whether upper and lower case count as equal.
+RULE_NAMES = {"SQL_INJECTION_RISK": (C.SQL_CALL_NAMES, True), "COMMAND_INJECTION": (C.DANGEROUS_FUNCTIONS, False),
+              "SSRF_RISK": (C.URL_CALL_NAMES, False), "PATH_TRAVERSAL_RISK": (C.FILE_CALL_NAMES, True),
+              "DESERIALIZATION": (C.DESERIALIZATION_FUNCTIONS, False), "DANGEROUS_FUNCTION": (C.DANGEROUS_FUNCTIONS, False)}
 
 
-def prepared(annotated: DataFrame) -> DataFrame:
-    """What several detectors ask of a line, asked once: user input, any line pattern at all, names of its calls."""
-    return annotated.withColumns({"_user_input": user_input(), "_hit": any_rlike(TEXT(), LINE_PATTERNS),
+def _wanted(table: dict, rules) -> list:
+    return [v for k, v in table.items() if rules is None or k in rules]
+
+
+def line_patterns(rules: set[str] | None = None) -> list[str]:
+    return list(dict.fromkeys(p for ps in _wanted(RULE_PATTERNS, rules) for p in ps))
+
+
+def _values(names) -> list[str]:
+    return [n for ns in names.values() for n in ns] if isinstance(names, dict) else list(names)
+
+
+def may_match(text: Column, language: Column, rules: set[str] | None = None, fallback: str = "auto") -> Column:
+    """False for lines that can have no finding, told from the raw text alone: most lines need no further reading.
+
+    A finding needs a match of a line pattern, a call whose name holds a listed
+    one, or an import of a listed package; names and packages are parts of the
+    text.
+    """
+    parsed = any_rlike(text, line_patterns(rules))
+    for lower in (False, True):
+        names = list(dict.fromkeys(re.escape(n) for ns, low in _wanted(RULE_NAMES, rules) if low == lower for n in _values(ns)))
+        if names:
+            parsed = parsed | (text.contains("(") & text.rlike(("(?iu)" if lower else "") + "|".join(names)))
+    if rules is None or "INSECURE_DEPENDENCY" in rules:
+        parsed = parsed | text.rlike("|".join(re.escape(n) for n in dict.fromkeys(_values(C.INSECURE_PACKAGES))))
+    other = any_rlike(text, [p[0] for p in C.FALLBACK_PATTERNS])
+    if fallback == "only":
+        return other
+    return F.when(language.isin(*C.PARSED_LANGUAGES), parsed).otherwise(other if fallback == "auto" else F.lit(False))
+
+
+def prepared(annotated: DataFrame, rules: set[str] | None = None) -> DataFrame:
+    """What several detectors ask of a line, asked once: user input, any wanted line pattern at all, names of its calls."""
+    return annotated.withColumns({"_user_input": user_input(), "_hit": any_rlike(TEXT(), line_patterns(rules)),
                                   "_names": F.array_join(F.col("calls")["name"], "\n")})
 
 
@@ -254,7 +291,7 @@ def detect(annotated: DataFrame, rules: set[str] | None = None, fallback: str =
     fallback='auto': fallback detector on languages without fact rules only;
     'only': fallback detector on every line; 'off': never.
     """
-    x = prepared(annotated).select("path", "language", "line", *keep, F.explode(findings_array(rules, fallback)).alias("f"))
+    x = prepared(annotated, rules).select("path", "language", "line", *keep, F.explode(findings_array(rules, fallback)).alias("f"))
     return finalize_columns(x.select("path", "language", "line", *keep,
                                      *[F.col("f." + c).alias(c) for c in FINDING_FIELDS]))
 

@@ -25,24 +25,30 @@ def T():
     return F.col("trimmed")
 
 
-def explode_lines(files: DataFrame, context: int | None = None) -> DataFrame:
+def explode_lines(files: DataFrame, context: int | None = None, keep=None) -> DataFrame:
     """source_files(path, language, content) -> code_lines(path, language, line, text).
 
     Split on '\\n' only (a CR stays in the line); trailing empty pieces are kept.
-    With ``context``, every line also carries its snippet, cut from the file's
-    own row, so snippets need no shuffle.
+    ``keep``(text, language) is a condition on the lines wanted.  With
+    ``context``, every line also carries its snippet, cut from the file's own
+    row, so snippets need no shuffle; only lines that are kept have one cut.
     """
     pieces = F.split(F.col("content"), "\n", -1)
     if context is None:
-        return files.select("path", "language", F.posexplode(pieces).alias("_pos", "text")) \
+        x = files.select("path", "language", F.posexplode(pieces).alias("_pos", "text")) \
             .select("path", "language", (F.col("_pos") + 1).cast("int").alias("line"), "text")
+        return x if keep is None else x.filter(keep(F.col("text"), F.col("language")))
     from vigil.operators.finalize import snippet_struct
     x = files.select("path", "language", pieces.alias("_p"))
     first = lambda i: F.greatest(i - F.lit(context), F.lit(0))
-    around = F.transform("_p", lambda t, i: F.struct(t.alias("text"), first(i).alias("first"), F.array_join(
-        F.slice("_p", first(i) + 1, i + F.lit(context) + 1 - first(i)), "\n").alias("code")))
-    x = x.select("path", "language", F.posexplode(around).alias("_pos", "l"))
-    line = (F.col("_pos") + 1).cast("int")
+    around = lambda t, i: F.struct(t.alias("text"), i.alias("pos"), first(i).alias("first"), F.array_join(
+        F.slice("_p", first(i) + 1, i + F.lit(context) + 1 - first(i)), "\n").alias("code"))
+    if keep is None:
+        lines = F.transform("_p", around)
+    else:
+        lines = F.filter(F.transform("_p", lambda t, i: F.when(keep(t, F.col("language")), around(t, i))), lambda s: s.isNotNull())
+    x = x.select("path", "language", F.explode(lines).alias("l"))
+    line = (F.col("l.pos") + 1).cast("int")
     return x.select("path", "language", line.alias("line"), F.col("l.text").alias("text"),
                     snippet_struct(F.col("l.code"), F.col("language"), F.col("l.first") + 1, line).alias("snippet"))
 

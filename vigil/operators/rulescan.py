@@ -4,11 +4,13 @@ Per (file, rule): the first pattern in list order that matches anywhere in
 the content ('m' semantics: '\\s' and '[^)]' may span lines) decides the
 finding; its line is the line of the leftmost match.  At most one finding per
 (file, rule).  Patterns are literals; every one is searched at most once per
-file, and one number per rule (pattern, offset) is kept until rows are made,
-so the scan is one narrow pass over the file rows with no join and no shuffle.
+file, and only where the content holds a literal that it needs; one number per
+rule (pattern, offset) is kept until rows are made, so the scan is one narrow pass over the file rows with no join and no shuffle.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +36,18 @@ def rules_by(pack: RulePack, category: str | None = None, severity: str | None =
 
 
 def _rule_hit(rule: dict) -> Column:
-    """Number of the first matching pattern and the offset of its leftmost match, or null."""
-    offsets = [F.nullif(F.regexp_instr(F.col("content"), F.lit("(?m)" + p)), F.lit(0)).cast("long") + F.lit(k * HIT_SHIFT)
-               for k, p in enumerate(rule_patterns(rule))]
+    """Number of the first matching pattern and the offset of its leftmost match, or null.
+
+    A pattern is only searched in contents that hold one of its required literals.
+    """
+    from vigil.operators.rulematch import required_literals
+    offsets = []
+    for k, p in enumerate(rule_patterns(rule)):
+        at = F.nullif(F.regexp_instr(F.col("content"), F.lit("(?m)" + p)), F.lit(0)).cast("long") + F.lit(k * HIT_SHIFT)
+        literals = required_literals(p)
+        if literals:
+            at = F.when(reduce(lambda a, b: a | b, [F.col("_plain").contains(w) for w in literals]), at)
+        offsets.append(at)
     hit = F.coalesce(*offsets) if offsets else F.lit(None).cast("long")
     langs = list(rule.get("languages") or [])
     return hit if "*" in langs else F.when(F.col("language").isin(*langs), hit) if langs else F.lit(None).cast("long")
@@ -65,8 +76,8 @@ def _rule_struct(rule: dict) -> Column:
 
 
 def line_of(content: Column, offset: Column) -> Column:
-    """Line of a 1-based offset in UTF-16 units, as Java's matcher counts."""
-    units = F.regexp_replace(content, r"[\x{10000}-\x{10FFFF}]", "xx")
+    """Line of a 1-based offset in UTF-16 units, as Java's matcher counts; only the text before it is read."""
+    units = F.regexp_replace(F.substr(content, F.lit(1), offset - 1), r"[\x{10000}-\x{10FFFF}]", "xx")
     before = F.substr(units, F.lit(1), offset - 1)
     return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")
 
@@ -85,7 +96,9 @@ def rule_scan(files: DataFrame, pack: RulePack) -> DataFrame:
     hits = F.array(*[_rule_hit(r) for r in rules]) if rules else F.array().cast("array<bigint>")
     none = {"id": "", "languages": []}
     table = F.array(*[_rule_struct(r) for r in rules or [none]])
-    x = files.select("path", "language", "content", F.posexplode(hits).alias("rule", "hit")).filter("hit IS NOT NULL")
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    x = files.select("path", "language", "content", F.translate("content", letters, letters.lower()).alias("_plain"))
+    x = x.select("path", "language", "content", F.posexplode(hits).alias("rule", "hit")).filter("hit IS NOT NULL")
     return finding_rows(x.select("path", "language", "content", "hit", F.get(table, F.col("rule")).alias("r")).select(
         "path", "language", "content", "hit", "r.*"))
 

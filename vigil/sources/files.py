@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from vigil import catalog as C
 from vigil.functions.paths import detect_language, excluded, extension, extension_order, validate_target
 
+#: Names of a capped listing that are sent to every executor; more are joined as Spark plans it.
+MOST_BROADCAST = 1_000_000
 #: Largest file that one row holds.
 MAX_FILE_BYTES = (1 << 31) - (1 << 20)
 
@@ -114,7 +116,7 @@ def read_source_files(spark: SparkSession, root: str, language: str = "auto",
     if max_files is not None:
         # the files to keep are chosen on names alone; contents are read for these only
         first = (d.select("rel", extension_order(F.col("rel")).alias("o")).orderBy("o", "rel").limit(max_files).select("rel"))
-        d = d.join(F.broadcast(first), "rel", "left_semi")
+        d = d.join(F.broadcast(first) if max_files <= MOST_BROADCAST else first, "rel", "left_semi")
     lang = detect_language(F.col("rel")) if language == "auto" else F.lit(language)
     path = F.col("rel") if relative else F.regexp_replace("path", r"^file:(//)?(?=/)", "")
     return d.select(path.alias("path"), lang.alias("language"),
