@@ -192,7 +192,52 @@ def test_matches_are_longest_and_placed(spark):
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
     b = spark.createDataFrame([(9, "no " + " ".join(f"w{k}" for k in range(10, 33)) + " end")], "item_id long, text string")
     found = decontam.contamination(d, b).first()
-    assert [tuple(m) for m in found.matches] == [(9, 10, 23)] and found.n_hit == 23
+    assert [tuple(m) for m in found.matches] == [(9, 10, 23, 1)] and found.n_hit == 23
+
+
+def test_matches_are_verbatim():
+    def found(doc, item, window=10):
+        return decontam.Benchmark([(1, " ".join(item).encode())], window).search([" ".join(doc).encode()])[0][2].get(0, [])
+
+    letters = list("abcdefghijkl")
+    assert found(letters, letters[:11] + ["x"] + letters[1:]) == [(0, 11, 0), (1, 11, 12)]
+    assert found(["the"] * 3, ["the"]) == [(0, 1, 0), (1, 1, 0), (2, 1, 0)]
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        doc, item = (["w%d" % x for x in rng.integers(0, 3, rng.integers(0, 25))] for _ in range(2))
+        window = int(rng.integers(1, 5))
+        least = min(window, len(item))
+        inside = lambda part: any(item[k:k + len(part)] == part for k in range(len(item)))
+        want = [(s, n) for s in range(len(doc)) for n in range(max(least, 1), len(doc) - s + 1)
+                if item and inside(doc[s:s + n]) and not (s + n < len(doc) and inside(doc[s:s + n + 1])) and not (s and inside(doc[s - 1:s + n]))]
+        got = found(doc, item, window)
+        assert sorted(x[:2] for x in got) == sorted(want)
+        assert all(doc[s:s + n] == item[at:at + n] for s, n, at in got)
+
+
+def test_columns_of_any_name_pass_through(spark, labelled, items):
+    """Names that the stages use inside, in the input."""
+    docs, labels = labelled
+    odd = ["__found", "__found_before", "__score", "__SCORE", "__pii", "__gone", "__row", "id", "row", "h1", "sig", "component_id"]
+    docs = docs.limit(40).select("doc_id", "text", *[F.lit(f"v{k}").alias(c) for k, c in enumerate(odd) if c != "__SCORE"])
+    stages = {"quality": lambda d: quality.keep_good(d, labels, -1.0), "contamination": lambda d: decontam.remove_contaminated(d, items[1]),
+              "pii": pii.mask_documents, "near": near_dup.remove_near_duplicates}
+    for name, stage in stages.items():
+        out = stage(docs)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"v{odd.index(c)}" for r in rows for c in docs.columns[2:]), name
+
+
+def test_samples_hold_a_row_per_id_and_bounded_bytes(spark):
+    from vigil.llm.shared import bounded_sample
+    rows = [(1, "a" * 100, 5)] * 50 + [(1, "b" * 100, 5)] * 50 + [(k, "t" * 10 * k, k) for k in range(2, 30)] + [(40, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(5)
+    some = bounded_sample(df, "doc_id", 10 ** 9)
+    assert sorted(r.doc_id for r in some) == [*range(1, 30), 40]
+    few = bounded_sample(df, "doc_id", 700)
+    assert 1 <= len(few) < 29 and sum(len(r.text or "") for r in few) <= 700
+    assert {tuple(r) for r in few} <= {tuple(r) for r in some} and len(bounded_sample(df, "doc_id", 0)) == 1
 
 
 # ------------------------------------------------------- near-duplicates
@@ -228,6 +273,16 @@ def test_near_duplicates_equal_brute_force(docs):
     assert near_dup.remove_near_duplicates(docs).columns == docs.columns
 
 
+def test_near_duplicate_rows_stay_one_by_one(spark):
+    t, u = "the same words stand here in this one text and in its copies", "another text of quite different words that nobody has copied so far"
+    near = t + " now"
+    rows = [(1, t), (1, t), (2, t), (None, t), (3, u), (1, u), (7, near), (None, "only null ids have this text of seven words"),
+            (None, "only null ids have this text of seven words"), (5, ""), (5, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = Counter(map(tuple, near_dup.remove_near_duplicates(df).collect()))
+    assert left == Counter([(1, t), (1, u), (None, "only null ids have this text of seven words"), (5, ""), (5, ""), (6, None)])
+
+
 def test_crowded_regions_lose_no_link(spark, monkeypatch):
     """A chain of near copies and many look-alikes below the threshold, with tiny blocks."""
     import random

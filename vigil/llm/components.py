@@ -3,7 +3,8 @@
 First each task contracts the edges of its partition to a forest of stars.
 Then large-star and small-star steps alternate (every node links to the
 smallest neighbour it knows) until the edges no longer change.  Every step is
-written to the shared folder; hubs are joined through sort-merge joins over
+written to the shared folder.  Links with a null end and from a node to itself
+are no links; repeated links count once; an empty table gives no rows.  Hubs are joined through sort-merge joins over
 plain shuffles, whose large partitions Spark splits.
 """
 from __future__ import annotations

@@ -5,8 +5,10 @@ benchmark's vocabulary, and its suffixes are sorted into a suffix array by their
 first ``window`` words.  Suffixes whose first words begin no benchmark window
 can match nothing and are left out of the array.  Every benchmark suffix is
 looked up by binary search; the equal range in the array holds all its
-occurrences.  Runs of occurrences at consecutive words are the longest verbatim
-matches of an item, with their places.
+occurrences.  Runs of occurrences at consecutive words hold the longest verbatim
+matches of an item; inside a run, the item's suffix automaton tells them apart
+(neighbouring windows of a document need not be neighbours in the item).
+Matches come with their places in the document and in the item.
 
 Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.  A window is
 ``window`` consecutive words of an item; an item of fewer words, but not none,
@@ -23,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.shared import append, written
+from vigil.llm.shared import append, free_name, written
 
 WINDOW = 10
 #: Bytes of benchmark text that a worker holds at once.
@@ -68,7 +70,9 @@ class Benchmark:
             ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
             for start in range(max(1, len(ids) - window + 1) if ids else 0):
                 found.setdefault(tuple(ids[start:start + window]), set()).add(item)
-        self.names = [name for name, _ in items]
+        self.names, self.words, self.automata = [name for name, _ in items], {}, {}
+        for item, (_, text) in enumerate(items):
+            self.words[item] = [vocabulary[w] for w in words_of(text)]
         windows = sorted(found)
         self.items = [sorted(found[w]) for w in windows]
         self.lengths = np.array([len(w) for w in windows], np.int64)
@@ -86,7 +90,7 @@ class Benchmark:
                 self.leads.append((n, marks))
 
     def search(self, docs: list[bytes]) -> list[tuple]:
-        """Per document of a shard: (words, marks of hit words as (start, end) runs, {item: [(start, length)...]})."""
+        """Per document of a shard: (words, hit words as (start, end) runs, {item: [(start, length, start in the item)...]})."""
         lookup = self.vocabulary.__getitem__
         ids_of = [np.fromiter(map(lookup, w), np.int64, len(w)) for w in map(words_of, docs)]
         sizes = np.array([len(x) for x in ids_of])
@@ -119,11 +123,17 @@ class Benchmark:
                 for item in self.items[k]:
                     spots.setdefault(item, []).append((int(start - begin[d]), int(self.lengths[k])))
         for d, spots in places.items():
-            matches = {item: _runs(found) for item, found in spots.items()}
-            covered = _union([(s, s + n) for runs in matches.values() for s, n in runs])
-            out[d] = (out[d][0], covered, matches)
+            runs = {item: _runs(found) for item, found in spots.items()}
+            covered = _union([(s, s + n) for some in runs.values() for s, n in some])
+            out[d] = (out[d][0], covered, {item: self._matches(item, some, ids_of[d]) for item, some in runs.items()})
         return out
 
+    def _matches(self, item: int, runs: list[tuple[int, int]], ids: np.ndarray) -> list[tuple[int, int, int]]:
+        if item not in self.automata:
+            self.automata[item] = Automaton(self.words[item])
+        least = min(self.window, len(self.words[item]))
+        return [(s + a, n, b) for s, size in runs for a, n, b in self.automata[item].matches(ids[s:s + size].tolist(), least)]
+
 
 def _runs(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Occurrences at consecutive words merge into (start, words)."""
@@ -136,6 +146,52 @@ def _runs(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e - s) for s, e, _ in out]
 
 
+class Automaton:
+    """Suffix automaton of an item's word numbers: its states are the sets of places at which a run of words ends."""
+
+    def __init__(self, words: list[int]):
+        self.to, self.link, self.length, self.ends = [{}], [-1], [0], [-1]
+        last = 0
+        for k, w in enumerate(words):
+            state = self._state({}, 0, self.length[last] + 1, k)
+            at = last
+            while at >= 0 and w not in self.to[at]:
+                self.to[at][w] = state
+                at = self.link[at]
+            if at >= 0:
+                q = self.to[at][w]
+                if self.length[q] == self.length[at] + 1:
+                    self.link[state] = q
+                else:
+                    copy = self._state(dict(self.to[q]), self.link[q], self.length[at] + 1, self.ends[q])
+                    while at >= 0 and self.to[at].get(w) == q:
+                        self.to[at][w] = copy
+                        at = self.link[at]
+                    self.link[q] = self.link[state] = copy
+            last = state
+
+    def _state(self, to: dict, link: int, length: int, end: int) -> int:
+        self.to.append(to)
+        self.link.append(link)
+        self.length.append(length)
+        self.ends.append(end)
+        return len(self.to) - 1
+
+    def matches(self, words: list[int], least: int) -> list[tuple[int, int, int]]:
+        """(start, length, start in the item) of all matches of at least ``least`` words that no word extends on either side."""
+        out, state, n = [], 0, 0
+        for k, w in enumerate([*words, 0]):  # 0 is no word of any item
+            before, kept = state, n
+            while state and w not in self.to[state]:
+                state = self.link[state]
+                n = self.length[state]
+            if w in self.to[state]:
+                state, n = self.to[state][w], n + 1
+            if n <= kept and kept >= least:
+                out.append((k - kept, kept, self.ends[before] - kept + 1))
+        return out
+
+
 def _union(spans) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e in sorted(spans):
@@ -148,25 +204,26 @@ def _union(spans) -> list[tuple[int, int]]:
 
 FOUND = "__found"
 FOUND_TYPE = ("struct<n_words:bigint,hit:array<struct<start:int,end:int>>,"
-              "matches:array<struct<item_id:bigint,start:int,length:int>>>")
+              "matches:array<struct<item_id:bigint,start:int,length:int,item_start:int>>>")
 
 
-def _search(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
-    """docs with the column FOUND; what an earlier part of the benchmark found is kept."""
+def _search(docs: DataFrame, items: list[tuple], window: int, out: str, earlier: str | None) -> DataFrame:
+    """docs with the column ``out``; what an earlier part of the benchmark found (column ``earlier``) is kept."""
 
     def start():
         import pyarrow as pa
         bench = Benchmark(items, window)
         kind = pa.struct([("n_words", pa.int64()), ("hit", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                          ("matches", pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32())])))])
+                          ("matches", pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32()),
+                                                         ("item_start", pa.int32())])))])
 
         def run(data, part):
             rows = []
             for n, hit, matches in bench.search(data):
                 rows.append({"n_words": n, "hit": [{"start": s, "end": e} for s, e in hit],
-                             "matches": [{"item_id": bench.names[i], "start": s, "length": k}
-                                         for i, runs in sorted(matches.items()) for s, k in runs]})
-            if earlier in part.schema.names:
+                             "matches": [{"item_id": bench.names[i], "start": s, "length": k, "item_start": at}
+                                         for i, some in sorted(matches.items()) for s, k, at in some]})
+            if earlier:
                 for row, old in zip(rows, part.column(earlier).to_pylist()):
                     both = _union([(x["start"], x["end"]) for x in row["hit"] + old["hit"]])
                     row["hit"] = [{"start": s, "end": e} for s, e in both]
@@ -174,21 +231,22 @@ def _search(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
             return [pa.array(rows, kind)]
         return run
 
-    earlier = "__found_before"
-    if FOUND in docs.columns:
-        docs = docs.withColumnRenamed(FOUND, earlier)
-    return append(docs, start, [(FOUND, FOUND_TYPE)]).drop(earlier)
+    return append(docs, start, [(out, FOUND_TYPE)])
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with FOUND: word count, hit word runs [start, end), and each item's longest matches with their places."""
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, out: str = FOUND) -> DataFrame:
+    """docs with ``out``: word count, hit word runs [start, end), and each item's longest matches with their places."""
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // ITEM_BYTES))
     for part in range(parts):
         mine = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        rows = [(r[0], bytes(r[1])) for r in mine.collect()]
-        docs = _search(docs if part == 0 else written(docs), rows, window)
+        rows, earlier = [(r[0], bytes(r[1])) for r in mine.collect()], None
+        if part:
+            earlier = free_name(docs, FOUND + "_before")
+            docs = written(docs).withColumnRenamed(out, earlier)
+        docs = _search(docs, rows, window, out, earlier)
+        docs = docs.drop(earlier) if earlier else docs
     return docs
 
 
@@ -210,5 +268,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with their columns."""
-    found = find_matches(docs, benchmark, window)
-    return found.filter(F.size(F.col(FOUND)["hit"]) == 0).drop(FOUND)
+    out = free_name(docs, FOUND)
+    found = find_matches(docs, benchmark, window, out)
+    return found.filter(F.size(F.col(out)["hit"]) == 0).drop(out)

@@ -11,6 +11,7 @@ yields link counts and the edges of a spanning forest, never its pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and
 rows without a vec_id, link with nothing.  Vectors of different lengths do not
+link.  A cosine of exactly the threshold, as double precision gives it, is a
 link.  Every row is a vector of its own, also where a vec_id repeats; an empty
 table gives no rows; extra columns are ignored.
 """

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.components import connected_components
-from vigil.llm.shared import BLOCK_BYTES, append, mixed, runs_of, word_hashes, written
+from vigil.llm.shared import BLOCK_BYTES, append, free_name, mixed, runs_of, word_hashes, written
 
 SHINGLE, HASHES, ORDERS, DEPTH = 5, 128, 32, 4
 REGION_ROWS = 512
@@ -469,6 +469,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def remove_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents that stay: one id of each component, with their columns."""
-    gone = near_duplicates(docs, percent).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """One row of each group of near-duplicates, with its columns: the one with the smallest doc_id (null last).
+
+    Rows are judged by their texts: repeated rows, copies without an id and
+    different texts under one id each count for themselves.  Rows without words
+    are near to nothing and stay.
+    """
+    row = free_name(docs, "__row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))  # written, so that a row keeps its number
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("row"), "component_id")
+    found = written(found.join(numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id")), "row"))
+    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least"))
+    gone = found.join(stays.select(F.col("least.row").alias("row")), "row", "left_anti").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").drop(row)

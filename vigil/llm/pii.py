@@ -10,7 +10,8 @@ alone with score 0.  Segments that overlap no base span are added to these.
 
 The weights are trained here: stochastic gradient ascent on the conditional
 likelihood (forward-backward over the same segments) of zones from a sample of
-at most ``max_rows`` documents, whose base spans are the labels.  Features that
+at most ``max_rows`` documents and ``max_bytes`` of text (``fit``), the first
+``max_zones`` of them (``train``), whose base spans are the labels.  Features that
 merely repeat a pattern's fixed part, such as the plus of a phone number, are
 left out at random in training, so the field learns the rest of the shape too.
 
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.shared import append
+from vigil.llm.shared import append, bounded_sample, free_name
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_HEAD = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -44,6 +45,7 @@ INNER = LOCAL | {"@"}
 ZONE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*+")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
 MAX_TOKENS = 16
+LONGEST_SEGMENT = 80
 #: Tokens of a zone that the field reads at once; longer zones are read in overlapping parts.
 ZONE_TOKENS = 512
 FEATURES = 1 << 12
@@ -135,7 +137,7 @@ class Zone:
                     continue
                 a, b = self.edges[i], self.edges[j]
                 piece = text[a:b]
-                if piece[-1] == " " or b - a > 80 or not ("@" in piece or sum("0" <= c <= "9" for c in piece) >= 4):
+                if piece[-1] == " " or b - a > LONGEST_SEGMENT or not ("@" in piece or sum("0" <= c <= "9" for c in piece) >= 4):
                     continue
                 right = _class(text[b]) if b < len(text) else "$"
                 if piece not in cache:
@@ -267,12 +269,15 @@ def train(texts: list[str], epochs: int = 6, rate: float = 0.2, seed: int = 5, m
     return field
 
 
-def fit(docs: DataFrame, max_rows: int = 1000) -> Field:
-    """Field trained on the max_rows documents with digits or an @ that have the smallest hash of their id."""
-    some = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").rlike("[0-9@]"))
-            .select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").collect()
-    return train([r.text for r in sorted(rows, key=lambda r: (r.doc_id, r.text or "")) if r.text])
+def fit(docs: DataFrame, max_rows: int = 1000, max_bytes: int = 64 << 20) -> Field:
+    """Field trained on at most max_rows documents with digits or an @ (smallest hashes of the id), max_bytes of text in all.
+
+    A document stands once however many rows repeat its id.
+    """
+    able = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL").filter(F.col("text").rlike("[0-9@]"))
+    some = able.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = bounded_sample(able.join(F.broadcast(some), "doc_id"), "doc_id", max_bytes)  # the broadcast side has max_rows numbers
+    return train([r.text for r in sorted(rows, key=lambda r: (r.doc_id, r.text))])
 
 
 def find_spans(text: str, field: Field) -> tuple[list, list]:
@@ -289,7 +294,7 @@ def _listed(spans) -> str:
 FOUND = "__pii"
 
 
-def _detected(docs: DataFrame, field: Field) -> DataFrame:
+def _detected(docs: DataFrame, field: Field, out: str = FOUND) -> DataFrame:
     weights = field.weights
 
     def start():
@@ -308,7 +313,7 @@ def _detected(docs: DataFrame, field: Field) -> DataFrame:
         return run
 
     fields = "".join(f"n_{k}:bigint," for k in KINDS)
-    return append(docs, start, [(FOUND, f"struct<{fields}base:string,spans:string,masked:string>")])
+    return append(docs, start, [(out, f"struct<{fields}base:string,spans:string,masked:string>")])
 
 
 def mask(text: str, spans) -> str:
@@ -331,6 +336,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def mask_documents(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced in text, and n_chars, where there is one, counted anew."""
-    found = _detected(docs, fit(docs))
-    out = found.withColumn("text", F.coalesce(F.col(FOUND)["masked"], F.col("text"))).drop(FOUND)
+    name = free_name(docs, FOUND)
+    found = _detected(docs, fit(docs), name)
+    out = found.withColumn("text", F.coalesce(F.col(name)["masked"], F.col("text"))).drop(name)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in out.columns else out

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.shared import CACHE_WORDS, append
+from vigil.llm.shared import CACHE_WORDS, append, bounded_sample, free_name
 
 #: Rows of the hashed table, components of a vector, lengths of character n-grams.
 BUCKETS, DIMS, GRAMS = 1 << 16, 16, (3, 4)
@@ -175,22 +175,26 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, max_bytes: int = 128 << 20) -> Model:
+    """The model of at most max_rows labelled documents (smallest hashes of the id) of at most max_bytes of text in all.
+
+    A document stands once however many rows repeat its id.
+    """
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
              .filter("doc_id IS NOT NULL AND quality IN (0, 1)").filter(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("quality").alias("quality"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # the broadcast side has max_rows rows of two numbers at most
-    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality").collect()
+    rows = bounded_sample(texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality"), "doc_id", max_bytes)
     return train([(r.text.encode(), r.quality) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))])
 
 
 SCORE = "__score"
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the column SCORE: the softmax output of label 1."""
+def score(docs: DataFrame, model: Model, out: str = SCORE) -> DataFrame:
+    """docs with the column ``out``: the softmax output of label 1."""
 
     def start():
         import pyarrow as pa
@@ -203,7 +207,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             return [pa.array(1 / (1 + np.exp(-np.clip(out, -50, 50))))]
         return run
 
-    return append(docs, start, [(SCORE, "double")])
+    return append(docs, start, [(out, "double")])
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -216,4 +220,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier does not reject, with their columns."""
-    return score(docs, fit(docs, labels)).filter(F.col(SCORE) >= threshold).drop(SCORE)
+    out = free_name(docs, SCORE)
+    return score(docs, fit(docs, labels), out).filter(F.col(out) >= threshold).drop(out)

@@ -62,6 +62,33 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it as long as df has a column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def bounded_sample(rows: DataFrame, key: str, max_bytes: int) -> list:
+    """Rows (key, text, ...) of a small table, one per key, in the order of the key's hash until max_bytes of text are full.
+
+    Of a key's rows the one whose text has the smallest hash stands for all;
+    aggregation before the shuffle keeps a key that holds much of a table at
+    one row per task.  At least one row comes back if there is any.
+    """
+    others = [c for c in rows.columns if c != key]
+    one = rows.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))).alias("r"))
+    one = written(one.select(key, "r.*"))
+    chosen, total = [], 0
+    for r in one.select(key, F.octet_length("text").alias("size")).orderBy(F.xxhash64(key), key).collect():
+        total += r["size"] or 0
+        if chosen and total > max_bytes:
+            break
+        chosen.append(r[key])
+    return one.filter(F.col(key).isin(chosen)).collect()
+
+
 def texts(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """(keep..., text as UTF-8 bytes, null as empty), nothing else: clashing extra columns never reach a worker."""
     return small_batches(docs).select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))

@@ -6,15 +6,17 @@ character or at the one before it (an apostrophe that turns out not to begin a
 contraction).  Texts are cut into chunks of equal length; every chunk is run
 from all states at once, which gives its state map (entry state -> exit state);
 the maps are composed by a parallel prefix scan, and the scan's result fixes
-the state at every character, hence every word.  Words lead through a second,
-lazily determinised transducer (a word's path back to the start state), whose
-transition is annotated with the number of tokens that it emits.
+the state at every character, hence every word.  A word is one transition of a
+table that grows as words are met, annotated with the number of tokens that it
+emits; that number comes from the library's BPE merges of the one word, not from
+an automaton over the merges.
 
 Supported: a BPE model with Split by the contraction pattern below, then
 ByteLevel.  ``compile_splitter`` refuses any other tokenizer file.
 
 Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each;
-an empty table gives no rows; extra columns are ignored.
+an empty table gives no rows; extra columns are ignored.  Very long texts are
+scanned whole, chunk by chunk.
 """
 from __future__ import annotations
 
