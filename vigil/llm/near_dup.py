@@ -44,6 +44,8 @@ from vigil.llm.components import connected_components
 from vigil.llm.shared import BLOCK_BYTES, append, free_name, mixed, runs_of, word_hashes, written
 
 SHINGLE, HASHES, ORDERS, DEPTH = 5, 128, 32, 4
+#: Rows to be removed that are sent to every executor.
+MOST_BROADCAST = 1 << 20
 REGION_ROWS = 512
 #: Classes of a block in the comparisons across components.
 BLOCK_ROWS = 512
@@ -480,5 +482,7 @@ def remove_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("row"), "component_id")
     found = written(found.join(numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id")), "row"))
     stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least"))
-    gone = found.join(stays.select(F.col("least.row").alias("row")), "row", "left_anti").select(F.col("row").alias(row))
+    gone = written(found.join(stays.select(F.col("least.row").alias("row")), "row", "left_anti").select(F.col("row").alias(row)))
+    if gone.count() <= MOST_BROADCAST:  # a few MB of numbers; more of them meet the texts in a shuffle
+        gone = F.broadcast(gone)
     return numbered.join(gone, row, "left_anti").drop(row)
