@@ -139,6 +139,34 @@ def test_word_starts_equal_the_pattern():
         assert np.flatnonzero(marks).tolist() == [m.start() for m in regex.finditer(token_count.PATTERN, text)]
 
 
+def test_merge_transducer_equals_the_library(monkeypatch):
+    import json
+    import random
+
+    from tokenizers import Tokenizer
+    from vigil.llm.shared import byte_letters
+    spec = json.load(open(WORD, encoding="utf-8"))
+    model, letters, rng = Tokenizer.from_file(WORD).model, byte_letters(), random.Random(3)
+    merges = token_count.Merges(spec["model"])
+    whole = [t.replace("</w>", "") for t in spec["model"]["vocab"] if t.isascii()]
+    words = ["".join(rng.choices("ab", k=rng.randint(1, 30))) for _ in range(3000)]  # ties and overlaps of one merge
+    words += [rng.choice("aehlsz0-!.") * n for n in range(1, 200)]
+    words += ["".join(rng.choices(whole, k=rng.randint(1, 5))) for _ in range(6000)]
+    words = [w.encode() for w in words] + [rng.randbytes(rng.randint(1, 12)) for _ in range(3000)] + [b"etaoin" * 20_000]
+    want = [len(model.tokenize("".join(letters[b] for b in w))) for w in words]
+    assert [merges.count(w) for w in words] == want
+    monkeypatch.setattr(token_count, "CACHE_STATES", 50)  # states that are dropped are built again
+    assert [merges.count(w) for w in words[::7]] == want[::7]
+
+
+def test_merges_that_are_not_compiled_are_refused():
+    letters = token_count.byte_letters()
+    vocab = {name: k for k, name in enumerate(letters)}
+    for merges in (["a b", "ab c", "a bc"], ["ab c", "a b"], ["a b", "b c", "ab c", "a bc"]):
+        with pytest.raises(ValueError):
+            token_count.Merges({"end_of_word_suffix": None, "vocab": vocab, "merges": merges})
+
+
 def test_prefix_scan_composes_maps():
     rng = np.random.default_rng(0)
     maps = rng.integers(0, 5, (37, 5)).astype(np.uint8)

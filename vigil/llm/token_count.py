@@ -6,13 +6,22 @@ character or at the one before it (an apostrophe that turns out not to begin a
 contraction).  Texts are cut into chunks of equal length; every chunk is run
 from all states at once, which gives its state map (entry state -> exit state);
 the maps are composed by a parallel prefix scan, and the scan's result fixes
-the state at every character, hence every word.  A word is one transition of a
-table that grows as words are met, annotated with the number of tokens that it
-emits; that number comes from the library's BPE merges of the one word, not from
-an automaton over the merges.
+the state at every character, hence every word.
+
+The merges are compiled into a second transducer over the symbols of a word
+(bytes, the last one marked).  The encoding of a prefix is fixed by its last
+token, as two tokens may stand side by side exactly if no merge across their
+border fires before the merges that build them.  A state holds, for every place
+from which a token may still be running, the node of the token trie, the last
+token before that place and how many tokens fewer there were; a transition is
+annotated with the tokens that its symbol adds to the encoding so far, less
+those that it takes back by joining them.  States are finite in number and are
+built when they are first reached; beyond CACHE_STATES they are built anew.  The
+library is not asked for any count.
 
 Supported: a BPE model with Split by the contraction pattern below, then
-ByteLevel.  ``compile_splitter`` refuses any other tokenizer file.
+ByteLevel, whose merges each make a token of their own from earlier ones.
+``Counter`` refuses any other tokenizer file.
 
 Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each;
 an empty table gives no rows; extra columns are ignored.  Very long texts are
@@ -36,6 +45,8 @@ SPACE, LETTER, DIGIT, SYMBOL, QUOTE = range(5)
 #: White_Space of Unicode (fixed values).
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 START_HERE, START_BEFORE = 1, 2
+#: States of the merge transducer that a worker keeps; symbols of a word: a byte, or a last byte.
+CACHE_STATES, SYMBOLS = 1 << 17, 512
 #: Characters of a chunk, and characters that one step of the scan holds.
 CHUNK, STEP = 256, 1 << 20
 
@@ -131,17 +142,107 @@ def word_starts(classes: np.ndarray, nxt: np.ndarray, emit: np.ndarray) -> np.nd
     return starts[:n]
 
 
+class Merges:
+    """BPE merges as a lazily determinised transducer; see the module's docstring."""
+
+    def __init__(self, model: dict):
+        letters, end = byte_letters(), model["end_of_word_suffix"] or ""
+        if any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix")):
+            raise ValueError("not the kind of BPE model that is compiled here")
+        names = [letters[b] for b in range(256)] + [letters[b] + end for b in range(256)]
+        symbols = {name: k for k, name in enumerate(names)}  # without a suffix, last bytes are like any other
+        self.last = symbols[names[256]]
+        self.rank, self.parts, spelt, number = {}, {}, {}, {}
+        for name, k in symbols.items():
+            number[name], spelt[k] = k, (k,)
+        for r, merge in enumerate(model["merges"]):
+            x, y = merge.split(" ") if isinstance(merge, str) else merge
+            if x not in number or y not in number or x + y in number:
+                raise ValueError(f"merge {r}: parts must be made before it and its token only by it")
+            t = number[x + y] = SYMBOLS + r
+            self.parts[t] = pair = (number[x], number[y])
+            self.rank[pair], spelt[t] = t, spelt[pair[0]] + spelt[pair[1]]
+        self.trie, self.token = {}, [-1]
+        for t, spelling in spelt.items():
+            if t >= SYMBOLS and not self._stands(*self.parts[t], t):
+                continue  # other merges always come first
+            node = 0
+            for k in spelling:
+                key = node * SYMBOLS + k
+                node = self.trie.get(key)
+                if node is None:
+                    node = self.trie[key] = len(self.token)
+                    self.token.append(-1)
+            self.token[node] = t
+        self.inner = {key // SYMBOLS for key in self.trie}
+        self.reset()
+
+    def reset(self) -> None:
+        self.fits: dict[tuple[int, int], bool] = {}
+        self.chains = [((0, -1, 0),)]
+        self.states = {self.chains[0]: 0}
+        self.step: dict[int, tuple[int, int]] = {}
+
+    def _edge(self, t: int, side: int) -> list[tuple[int, float]]:
+        """Pieces of a token at one of its ends, each with the merge (numbered by rank) that uses it up."""
+        out = [(t, float("inf"))]
+        while t >= SYMBOLS:
+            out.append((self.parts[t][side], t))
+            t = self.parts[t][side]
+        return out
+
+    def _stands(self, x: int, y: int, but: int = -1) -> bool:
+        """No merge across the border of two tokens fires, one excepted; of equal merges the left one fires first."""
+        right = self._edge(y, 0)
+        return not any((m := self.rank.get((a, b))) is not None and m != but and m < until_a and m <= until_b
+                       for a, until_a in self._edge(x, 1) for b, until_b in right)
+
+    def _build(self, state: int, symbol: int) -> tuple[int, int]:
+        running, token, added = [], -1, 0
+        for node, before, fewer in self.chains[state]:
+            to = self.trie.get(node * SYMBOLS + symbol)
+            if to is None:
+                continue
+            t = self.token[to]
+            if t >= 0 and token < 0:
+                fits = before < 0 or self.fits.get((before, t))
+                if fits is None:
+                    fits = self.fits[(before, t)] = self._stands(before, t)
+                if fits:
+                    token, added = t, fewer + 1
+            if to in self.inner:
+                running.append((to, before, fewer))
+        chain = (*((n, b, f - added) for n, b, f in running), (0, token, 0))
+        to = self.states.setdefault(chain, len(self.chains))
+        if to == len(self.chains):
+            self.chains.append(chain)
+        self.step[state * SYMBOLS + symbol] = to, added
+        return to, added
+
+    def count(self, word: bytes) -> int:
+        """Tokens of one word, which is not empty."""
+        if len(self.chains) >= CACHE_STATES or len(self.fits) >= 8 * CACHE_STATES:
+            self.reset()
+        step, state, total = self.step, 0, 0
+        for symbol in word[:-1]:
+            found = step.get(state * SYMBOLS + symbol)
+            state, added = found or self._build(state, symbol)
+            total += added
+        last = word[-1] + self.last
+        return total + (step.get(state * SYMBOLS + last) or self._build(state, last))[1]
+
+
 class WordCounts(dict):
-    """word -> number of tokens on the transition that reads it; built on first use, emptied at CACHE_WORDS."""
+    """word -> tokens emitted on its path through the merge transducer; emptied at CACHE_WORDS."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, merges: Merges):
         super().__init__()
-        self.model, self.bytes = tokenizer.model, byte_letters()
+        self.merges = merges
 
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        n = self[word] = len(self.model.tokenize("".join(map(self.bytes.__getitem__, word.encode()))))
+        n = self[word] = self.merges.count(word.encode())
         return n
 
 
@@ -154,11 +255,10 @@ class Counter:
         split, level = spec["pre_tokenizer"]["pretokenizers"]
         if split["pattern"].get("Regex") != PATTERN or level["type"] != "ByteLevel" or spec["model"]["type"] != "BPE":
             raise ValueError(f"{path}: not the kind of tokenizer that is compiled here")
-        tokenizer = Tokenizer.from_file(path)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.full_normalize = tokenizer.normalizer.normalize_str
+        self.full_normalize = Tokenizer.from_file(path).normalizer.normalize_str
         self.classes, (self.next, self.emit) = char_classes(), compile_splitter()
-        self.words = WordCounts(tokenizer)
+        self.words = WordCounts(Merges(spec["model"]))
 
     def normalize(self, text: str) -> str:
         """NFC and lower case; the library's own where lower case depends on the neighbours (final sigma)."""
