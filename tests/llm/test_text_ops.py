@@ -329,7 +329,7 @@ def test_crowded_regions_lose_no_link(spark, monkeypatch):
 
 @pytest.mark.parametrize("held", [1 << 21, 300])
 def test_blocks_lose_no_link_of_long_texts(spark, monkeypatch, held):
-    """Families of several blocks, with sets in memory and in the temporary file."""
+    """Families of several blocks, dealt by rows and by shingles."""
     import random
     monkeypatch.setattr(near_dup, "REGION_ROWS", 2)
     monkeypatch.setattr(near_dup, "BLOCK_ROWS", 8)
@@ -346,35 +346,80 @@ def test_blocks_lose_no_link_of_long_texts(spark, monkeypatch, held):
     assert Counter(tuple(r) for r in found.collect()) == brute_components(rows)
 
 
-def test_sets_of_long_texts_stay_out_of_memory(monkeypatch):
+def test_sets_of_long_texts_stay_out_of_memory(spark, monkeypatch):
+    """Blocks hold few long texts, and every pair of blocks is compared."""
     import random
-    import tracemalloc
     monkeypatch.setattr(near_dup, "BLOCK_BYTES", 1 << 16)
-    rng, n = random.Random(15), 200
-    base = [f"w{k}" for k in range(4000)]
+    monkeypatch.setattr(near_dup, "HELD_HASHES", 1 << 14)
+    rng, n, size = random.Random(15), 100, 4000
+    base = [f"w{k}" for k in range(size)]
 
     def text(k):
         words = list(base)
         for _ in range(60 * (k % 5)):
-            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            words[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
         return " ".join(words)
 
     texts = [text(k) for k in range(n)]
-    links, peak = [], []
-    near_dup.shingle_sets([t.encode() for t in texts])  # fills the worker's word cache
-    for most in (1 << 14, 1 << 30):
-        tracemalloc.start()
-        sets = near_dup.Sets((75, 100), most)
-        for t in texts:
-            sets.add(t)
-        links.append([x.tolist() for x in sets.links(np.arange(n // 2), np.arange(n // 2, n))])
-        peak.append(tracemalloc.get_traced_memory()[1])
-        tracemalloc.stop()
-    assert links[0] == links[1] and 0 < len(links[0][0]) < n * n // 4
-    plain = [set(x.tolist()) for x in near_dup.shingle_sets([t.encode() for t in texts])]
-    assert list(zip(*links[0])) == [(i, j) for i in range(n // 2) for j in range(n // 2)
-                                    if 4 * len(plain[i] & plain[n // 2 + j]) >= 3 * len(plain[i] | plain[n // 2 + j])]
-    assert peak[0] < peak[1] / 4
+    sets = [set(x.tolist()) for x in near_dup.shingle_sets([t.encode() for t in texts])]
+    near = [(i, j) for j in range(n) for i in range(j) if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])]
+    values = near_dup.Sets((75, 100))
+    for t in texts:
+        values.add(t)
+    half = n // 2
+    found = values.links(np.arange(half), np.arange(half, n))
+    assert list(zip(*(x.tolist() for x in found))) == sorted((i, j - half) for i, j in near if i < half <= j)
+
+    class Few(near_dup.Sets):
+        n = 0
+
+        def add(self, text):
+            self.n += 1
+            assert self.n <= 32, "two blocks of about four texts each"
+            super().add(text)
+
+    rows = spark.createDataFrame([(1, k, k, len(sets[k]), t) for k, t in enumerate(texts)],
+                                 "family long, id long, component long, n long, text string")
+    links = {(r.a, r.b) for r in near_dup._across(rows, "family", "text", lambda: Few((75, 100)), "n").collect()}
+    assert links <= {(b, a) for a, b in near} | set(near)
+
+    def groups(pairs):
+        parent = list(range(n))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+        for i, j in pairs:
+            parent[root(i)] = root(j)
+        return [root(i) == root(j) for i in range(n) for j in range(i)]
+    assert groups(links) == groups(near)
+
+
+def test_depth_follows_the_crowd(spark, monkeypatch):
+    """A member's block is its longest crowded prefix, and nobody is lost."""
+    import random
+    monkeypatch.setattr(near_dup, "REGION_ROWS", 8)
+    rng, rows = random.Random(9), []
+    for k in range(400):
+        depth = rng.choice([0, 0, 1, 3, 64])
+        rows.append((7, 400, k, 10, bytes(depth) + bytes(rng.randrange(1, 4) for _ in range(64 - depth))))
+    rows += [(8, 5, 1000 + k, 10, bytes(64)) for k in range(5)]
+    df = spark.createDataFrame([(*r[:4], bytearray(r[4])) for r in rows], "region long, size long, id long, n long, tail binary")
+    got = near_dup._deepened(df).collect()
+    assert Counter(r.id for r in got) == Counter(r[2] for r in rows)
+    assert {r.block for r in got if r.region == 8} == {0}
+    tails = [r[4] for r in rows if r[0] == 7]
+    crowd = Counter(t[:k] for t in tails for k in range(65))
+    blocks, want, whole = defaultdict(set), defaultdict(set), set()
+    for r in got:
+        if r.region == 7 and crowd[bytes(r.tail)] > 8:
+            whole.add(r.block)  # equal in the whole order: dealt out
+        elif r.region == 7:
+            blocks[r.block].add(r.id)
+            want[max((bytes(r.tail[:k]) for k in range(65) if crowd[bytes(r.tail[:k])] > 8), key=len)].add(r.id)
+    assert sorted(map(sorted, blocks.values())) == sorted(map(sorted, want.values())) and len(blocks) > 3
+    assert len(whole) > 1
 
 
 # ------------------------------------------------------- substring dedup

@@ -3,11 +3,14 @@
 1. Every document's set of distinct 5-word shingles gets a signature of
    HASHES minima.  Documents with equal sets become one class.
 2. The forest has ORDERS sorted orders of the signatures; each begins with
-   DEPTH positions of its own.  Classes that agree in these share a region; a
-   region is sorted by the rest of the order, so neighbours have the longest
-   common prefix, and the denser a region, the deeper its neighbours agree.
-   Regions of more than REGION_ROWS classes are split into blocks at random,
-   other blocks in every order.  Neighbours are candidates.
+   DEPTH positions of its own.  Classes that agree in these share a region.  A
+   region's depth is its own: while a prefix is shared by more than REGION_ROWS
+   classes, these are parted by the next two positions.  What is parted from a
+   crowded prefix without being crowded stays together as one region, sorted by
+   the rest of the order, so neighbours have the longest common prefix; as two
+   short values tell 2^(2 * SKETCH_BITS) prefixes apart, such a region is bounded.
+   Classes that agree in the whole order are dealt out at random.  Neighbours
+   are candidates.
 3. Candidates whose signatures agree enough are compared on their full sets;
    confirmed links are joined into components.
 4. The rest, whole: in every region that still holds several components, the
@@ -22,8 +25,9 @@ has a chance of (1 - threshold^DEPTH)^ORDERS, about 5e-6 for 0.75.  "Agree enoug
 rejects pairs more than 5 standard deviations below the threshold.  The work of
 step 4 grows with (classes outside the largest component) x (classes) of a
 region or family, in numpy; its rows grow with the classes and the blocks.  Its
-memory does not grow with the texts' lengths: two blocks' sets beyond HELD_HASHES
-are sorted runs in a temporary file and are read back by ranges of hashes.
+memory does not grow with the texts' lengths: a block has BLOCK_ROWS classes or
+HELD_HASHES shingles on average, whichever is less, and no file is written beside
+Spark's own.
 
 Words: A-Z lower-cased, then ``[^\\x20\\x09-\\x0D]+``.  With fewer words than a
 shingle the whole sequence is the one shingle; null or wordless texts have an
@@ -33,9 +37,6 @@ rows; extra columns are ignored.
 """
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,12 +48,8 @@ SHINGLE, HASHES, ORDERS, DEPTH = 5, 128, 32, 4
 #: Rows to be removed that are sent to every executor.
 MOST_BROADCAST = 1 << 20
 REGION_ROWS = 512
-#: Classes of a block in the comparisons across components.
-BLOCK_ROWS = 512
-#: Shingle hashes that two blocks keep in memory, or the set of one longer text.
-HELD_HASHES = 1 << 21
-#: A run's places are known at 2^RANGE_BITS equal ranges of the hashes.
-RANGE_BITS = 12
+#: Classes of a block in the comparisons across components, and its shingle hashes unless one set has more.
+BLOCK_ROWS, HELD_HASHES = 512, 1 << 21
 #: Bits of each position that travel with a class through a sort; two positions to a byte.
 SKETCH_BITS = 4
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -148,11 +145,36 @@ def _tails(members: DataFrame) -> DataFrame:
             short = (sig & np.uint32((1 << SKETCH_BITS) - 1)).astype(np.uint8)[np.arange(len(sig))[:, None], place[order]]
             packed = (short[:, ::2] << SKETCH_BITS) | short[:, 1::2]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("region", "block", "id", "n")),
-                 pa.array([r.tobytes() for r in packed], pa.binary())], ["region", "block", "id", "n", "tail"])
+                [*(batch.column(c) for c in ("region", "size", "id", "n")),
+                 pa.array([r.tobytes() for r in packed], pa.binary())], ["region", "size", "id", "n", "tail"])
+
+    return members.select("region", "size", "id", "n", "ord", "sig").mapInArrow(
+        run, "region long, size long, id long, n long, tail binary")
+
+
+def _deepened(tails: DataFrame) -> DataFrame:
+    """(region, block, id, n, tail): crowded regions parted by longer prefixes, each as deep as it is crowded.
 
-    return members.select("region", "block", "id", "n", "ord", "sig").mapInArrow(
-        run, "region long, block int, id long, n long, tail binary")
+    A block is the longest crowded prefix of its members, 0 in regions that are
+    not crowded.  Every round looks at one more byte of the members still crowded.
+    """
+    columns = ["region", "block", "id", "n", "tail"]
+    out = tails.filter(F.col("size") <= REGION_ROWS).withColumn("block", F.lit(0).cast("long")).select(columns)
+    still = tails.filter(F.col("size") > REGION_ROWS).withColumn("block", F.lit(0).cast("long"))
+    for depth in range(1, HASHES * SKETCH_BITS // 8 + 1):
+        parted = still.withColumn("child", F.xxhash64("region", F.substring("tail", 1, depth))).drop("size")
+        crowded = written(parted.groupBy("child").agg(F.count("*").alias("size")).filter(F.col("size") > REGION_ROWS))
+        n_crowded = crowded.count()
+        if not n_crowded:
+            break
+        if n_crowded <= MOST_BROADCAST:
+            crowded = F.broadcast(crowded)
+        parted = written(parted.join(crowded, "child", "left"))
+        out = out.unionByName(parted.filter("size IS NULL").select(columns))
+        still = parted.filter("size IS NOT NULL").withColumn("block", F.col("child")).drop("child")
+    else:  # equal in the whole order
+        still = still.withColumn("block", F.xxhash64("block", F.pmod(F.xxhash64("id", "region"), F.ceil(F.col("size") / REGION_ROWS))))
+    return out.unionByName(still.select(columns))
 
 
 def _floor(threshold: float) -> float:
@@ -242,22 +264,25 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, group: str, value: str, holder) -> DataFrame:
+def _across(rows: DataFrame, group: str, value: str, holder, weight=None) -> DataFrame:
     """Forest edges (a, b) between members of a group in different components.
 
     rows: (group, id, component, value).  Members outside the group's largest
     component are dealt into blocks, and so are the others; every block of the
     former meets every block of both, so no task holds more than two blocks
-    and members of the largest component never meet each other.
+    and members of the largest component never meet each other.  A block has
+    BLOCK_ROWS members on average, or fewer whose weights sum up to HELD_HASHES.
     holder() takes two blocks' values, add(value) in order; its links(left,
     right), of places in that order, gives (i, j) index arrays into these of the
     pairs that count.  right is None where a block meets itself.
     """
-    parts = rows.groupBy(group, "component").agg(F.count("*").alias("n"))
-    top = written(parts.groupBy(group).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("n_main"),
-                                           F.max_by("component", F.struct("n", "component")).alias("main"))
-                  .filter("k > 1").select(group, "main", F.ceil((F.col("n") - F.col("n_main")) / BLOCK_ROWS).cast("int").alias("n_rest"),
-                                          F.ceil(F.col("n_main") / BLOCK_ROWS).cast("int").alias("n_main")))
+    weight = F.lit(0) if weight is None else F.col(weight)
+    parts = rows.groupBy(group, "component").agg(F.struct(F.count("*").alias("n"), F.sum(weight).alias("w"), "component").alias("part"))
+    n_blocks = lambda n, w: F.least(n, F.ceil(F.greatest(n / BLOCK_ROWS, w / HELD_HASHES))).cast("int")
+    top = written(parts.groupBy(group).agg(F.count("*").alias("k"), F.sum("part.n").alias("n"), F.sum("part.w").alias("w"), F.max("part").alias("top"))
+                  .filter("k > 1").select(group, F.col("top.component").alias("main"),
+                                          n_blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("n_rest"),
+                                          n_blocks(F.col("top.n"), F.col("top.w")).alias("n_main")))
     d = written(rows.select(group, "id", "component")).join(top, group)
     is_main = F.col("component") == F.col("main")
     block = F.pmod(F.xxhash64("id", group), F.when(is_main, F.col("n_main")).otherwise(F.col("n_rest"))).cast("int")
@@ -338,16 +363,12 @@ class Sketches(list):
 class Sets:
     """Pairs whose full sets reach the threshold, by postings: one lookup counts a set's overlap with a whole block.
 
-    A text is kept as its shingle hashes only.  Beyond ``most`` hashes they go
-    as a sorted run to a temporary file; counting then reads the same range of
-    hashes from every run, one range after the other.
+    A text is kept as its shingle hashes only.
     """
 
-    def __init__(self, threshold: tuple[int, int], most: int = HELD_HASHES):
-        self.threshold, self.most = threshold, most
+    def __init__(self, threshold: tuple[int, int]):
+        self.threshold, self.held = threshold, []
         self.waiting, self.waiting_bytes = [], 0
-        self.sizes, self.held, self.n_held = [], [], 0
-        self.file, self.runs, self.at = None, [], 0
 
     def add(self, text: str) -> None:
         data = text.encode()
@@ -358,73 +379,28 @@ class Sets:
 
     def _split(self) -> None:
         data, self.waiting, self.waiting_bytes = self.waiting, [], 0
-        for own in shingle_sets(data):
-            if self.held and self.n_held + len(own) > self.most:
-                self._spill()
-            self.held.append((len(self.sizes), own))
-            self.n_held += len(own)
-            self.sizes.append(len(own))
-
-    def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, owners) held in memory, by hash; nothing is held afterwards."""
-        held, self.held, self.n_held = self.held, [], 0
-        hashes = np.concatenate([h for _, h in held])
-        owners = np.repeat(np.array([o for o, _ in held], np.int32), [len(h) for _, h in held])
-        del held
+        self.held += shingle_sets(data)
+
+    def _postings(self, members) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, places in members) by hash."""
+        sets = [self.held[m] for m in members.tolist()]
+        hashes, owners = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
         order = np.argsort(hashes, kind="stable")
         return hashes[order], owners[order]
 
-    def _spill(self) -> None:
-        if self.file is None:
-            self.file = tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
-        hashes, owners = self._sorted()
-        edges = np.arange(1, 1 << RANGE_BITS, dtype=np.uint64) << np.uint64(64 - RANGE_BITS)
-        self.runs.append((self.at, len(hashes), np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])))
-        for x in (hashes, owners):
-            self.file.write(x)
-        self.at += 12 * len(hashes)
-
-    def _read(self, at: int, n: int, kind) -> np.ndarray:
-        self.file.seek(at)
-        return np.frombuffer(self.file.read(n * np.dtype(kind).itemsize), kind)
-
-    def _ranges(self):
-        """(hashes, owners) by hash, of one range of hashes after the other."""
-        if self.file is None:
-            yield self._sorted()
-            return
-        if self.held:
-            self._spill()
-        total = np.sum([places for _, _, places in self.runs], axis=0)
-        for a, b in runs_of(np.diff(total), self.most):
-            parts = [(self._read(at + 8 * int(places[a]), int(places[b] - places[a]), np.uint64),
-                      self._read(at + 8 * n + 4 * int(places[a]), int(places[b] - places[a]), np.int32)) for at, n, places in self.runs]
-            hashes, owners = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(hashes, kind="stable")
-            yield hashes[order], owners[order]
-
     def links(self, left, right):
         if self.waiting:
             self._split()
-        within, sizes = right is None, np.array(self.sizes, np.int64)
+        within, sizes = right is None, np.array([len(own) for own in self.held], np.int64)
         right = left if within else right
-        place = np.full((2, len(sizes)), -1)
-        for k, side in enumerate((left, right)):
-            place[k, side] = np.arange(len(side))
         common = np.zeros((len(left), len(right)), np.int64)
-        for hashes, owners in self._ranges():
-            of_left, of_right = place[0][owners], place[1][owners]
-            shingles, owner = hashes[of_right >= 0], of_right[of_right >= 0]
-            own, of_left = hashes[of_left >= 0], of_left[of_left >= 0]
-            order = np.argsort(of_left, kind="stable")
-            own, ends = own[order], np.searchsorted(of_left[order], np.arange(len(left) + 1))
-            for k in range(len(left)):
-                mine = own[ends[k]:ends[k + 1]]
-                if len(mine):
-                    first, last = np.searchsorted(shingles, mine, "left"), np.searchsorted(shingles, mine, "right")
-                    n = last - first
-                    places = np.repeat(first - np.concatenate([[0], np.cumsum(n[:-1])]), n) + np.arange(n.sum())
-                    common[k] += np.bincount(owner[places], minlength=len(right))
+        shingles, owner = self._postings(right)
+        for k, member in enumerate(left.tolist()):
+            mine = self.held[member]
+            first, last = np.searchsorted(shingles, mine, "left"), np.searchsorted(shingles, mine, "right")
+            n = last - first
+            places = np.repeat(first - np.concatenate([[0], np.cumsum(n[:-1])]), n) + np.arange(n.sum())
+            common[k] = np.bincount(owner[places], minlength=len(right))
         upper, lower = self.threshold
         i, j = np.nonzero((common > 0) & (lower * common >= upper * (sizes[left][:, None] + sizes[right] - common)))
         return (i[j > i], j[j > i]) if within else (i, j)
@@ -439,10 +415,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
                       .agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig")))
     regions = written(_regions(classes))
     shared = written(regions.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1"))
-    members = written(regions.join(shared, "region").select(
-        "region", "id", "ord", F.pmod(F.xxhash64("id", "region"), F.ceil(F.col("size") / REGION_ROWS)).cast("int").alias("block")))
+    members = written(regions.join(shared, "region").select("region", "id", "ord", "size"))
     tails = written(_tails(members.join(classes.select("id", "n", "sig"), "id")))
-    rows = tails.repartition(F.col("region"), F.col("block")).sortWithinPartitions("region", "block", "tail", "id")
+    rows = _deepened(tails).repartition(F.col("region"), F.col("block")).sortWithinPartitions("region", "block", "tail", "id")
     first = written(_neighbours(rows, threshold).distinct())
     # only texts of classes that share a region are needed again
     near = members.select(F.col("id").alias("doc_id")).distinct()
@@ -458,9 +433,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     family = written(family.unionByName(family.select(F.col("component").alias("id"), "component").distinct())
                      .select("id", F.col("component").alias("family")))
     inside = (texts.join(family, "id").join(component, "id", "left")
-              .select("family", "id", F.coalesce("component", "id").alias("component"), "text"))
-    most = HELD_HASHES
-    links = links.unionByName(_across(written(inside), "family", "text", lambda: Sets(fraction, most)))
+              .join(classes.select("id", "n"), "id")
+              .select("family", "id", F.coalesce("component", "id").alias("component"), "n", "text"))
+    links = links.unionByName(_across(written(inside), "family", "text", lambda: Sets(fraction), "n"))
     component = written(connected_components(links))
 
     per_class = written(classes.join(component, "id", "left").select("h1", "h2", F.col("n").alias("n_shingles"),
