@@ -68,6 +68,18 @@ def test_every_match_holds_a_required_literal():
                 assert any(w in plain(t) for w in needed), (pattern, t, needed)
 
 
+def test_a_word_that_all_rules_share_picks_none(spark):
+    table = spark.createDataFrame([(f"R{i}", [rf"(?i)passw[o0]rd\s*=\s*.[a-z]{i}\b", rf"(?:cb|func f){i}\b"]) for i in range(400)],
+                                  "rule_id string, patterns array<string>")
+    files = spark.createDataFrame([(f"f{k}.py", "python", f"Password = 'a{k}'\n" + "func f7 x" * (k == 17) + "filler " * 20) for k in range(0, 400, 8)]
+                                  + [("n.py", "python", "password and nothing else"), ("m.py", "python", "399 alone")],
+                                  "path string, language string, content string")
+    found = {(r.path, r.rule_id) for r in api.rule_match(files, table).collect()}
+    assert found == {(f"f{k}.py", f"R{k}") for k in range(0, 400, 8)}
+    pairs = candidates(files, pack_of(table).rules).select(F.sum(F.size("rules"))).first()[0]
+    assert pairs <= 7 * 50  # a number's parts, not every rule of every file with a password
+
+
 def scan_rows(df):
     return sorted(repr(r) for r in df.collect())
 

@@ -3,9 +3,13 @@
 1. Every pattern is reduced to literals of which any match must hold at least
    one (``required_literals``).  A pattern without such literals, or one that
    Python cannot read, is a candidate everywhere.
+   Further literals that any match must hold as well are kept beside them.
 2. All literals make one Aho-Corasick automaton; a file's content is read once
-   and yields the rules of its language that can match at all.  Upper and lower
-   case A-Z count as equal here, so patterns with (?i) need nothing special.
+   and yields the rules of its language that can match at all.  A pattern is
+   looked up by the literals that the fewest patterns share, and counts only if
+   its other ones are in the content, too: a word that is common to thousands of
+   rules picks none of them by itself.  Upper and lower case A-Z count as equal
+   here, so patterns with (?i) need nothing special.
 3. The rules' own patterns are searched by Spark's regex functions on the
    candidate (file, rule) pairs: the first pattern in list order that matches
    decides, as in rule_scan, whose rows these are.
@@ -18,6 +22,7 @@ from __future__ import annotations
 import re
 import sys
 import uuid
+from collections import Counter
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -45,18 +50,29 @@ def plain(text: str) -> str:
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-def required_literals(pattern: str) -> list[str] | None:
-    """Literals (A-Z lowered) of which every match of the pattern holds at least one; None where there are none to name."""
+def _parsed(pattern: str):
+    """Python's reading of the pattern, or None."""
     if re.search(r"\(\?[a-z]*[uU]", pattern):  # case by Unicode's rules
         return None
     try:
-        tree = re._parser.parse(pattern)
+        return re._parser.parse(pattern)
     except (re.error, RecursionError, OverflowError):
         return None
-    best = _required(tree)
+
+
+def required_literals(pattern: str) -> list[str] | None:
+    """Literals (A-Z lowered) of which every match of the pattern holds at least one; None where there are none to name."""
+    tree = _parsed(pattern)
+    best = _required(tree) if tree else None
     return sorted(set(best)) if best else None
 
 
+def required_sets(pattern: str) -> list[tuple[str, ...]]:
+    """All sets of literals (A-Z lowered) of which every match holds at least one each; empty where there are none to name."""
+    tree = _parsed(pattern)
+    return sorted({tuple(sorted(set(c))) for c in _choices(tree)}) if tree and _required(tree) else []
+
+
 def _exact(items) -> set[str] | None:
     """All texts that the items match (A-Z lowered), or None if they are not a few fixed ones; anchors take no character."""
     out = {""}
@@ -88,18 +104,25 @@ def _exact(items) -> set[str] | None:
 
 def _required(tree) -> list[str] | None:
     """The choice whose shortest literal is longest (then the smaller one)."""
-    choices, run = [], []
+    choices = [c for c in _choices(tree) if min(map(len, c)) >= SHORTEST]
+    return max(choices, key=lambda c: (min(map(len, c)), -len(c)), default=None)
+
+
+def _choices(tree) -> list[list[str]]:
+    """Literals of one character at least, of each list of which a match holds one."""
+    choices, run = [], [""]  # run: what the fixed items since the last cut match
 
     def cut():
-        if run:
-            choices.append(sorted(_exact(run)))
-        run.clear()
+        if run != [""]:
+            choices.append(sorted(run))
+        run[:] = [""]
 
     def walk(items):
         for item in items:
             op, arg = str(item[0]), item[1]
-            if _exact([*run, item]) is not None:
-                run.append(item)
+            own = _exact([item])
+            if own is not None and len(run) * len(own) <= MOST_TEXTS:
+                run[:] = {x + y for x in run for y in own}
                 continue
             if op == "SUBPATTERN":
                 walk(arg[-1])
@@ -108,8 +131,8 @@ def _required(tree) -> list[str] | None:
                 walk(arg)
                 continue
             cut()
-            if _exact([item]) is not None:
-                run.append(item)
+            if own is not None:
+                run[:] = own
             elif op == "BRANCH":
                 parts = [_required(branch) for branch in arg[1]]
                 if all(parts):
@@ -120,8 +143,7 @@ def _required(tree) -> list[str] | None:
 
     walk(tree)
     cut()
-    choices = [c for c in choices if min(map(len, c)) >= SHORTEST]
-    return max(choices, key=lambda c: (min(map(len, c)), -len(c)), default=None)
+    return [c for c in choices if min(map(len, c))]
 
 
 def pack_of(rules: DataFrame, max_bytes: int = MAX_LIST_BYTES) -> RulePack:
@@ -147,43 +169,60 @@ def pack_of(rules: DataFrame, max_bytes: int = MAX_LIST_BYTES) -> RulePack:
     return validate_patterns(rules.sparkSession, RulePack(rules=list(by_id.values())))
 
 
-def _index(pack: list[tuple]):
-    """(automaton with the rules of every literal, rules that no literal picks, languages per rule)."""
-    import ahocorasick
-    words, always, languages = {}, [], []
-    for number, langs, patterns in pack:
-        languages.append(None if "*" in langs else frozenset(langs))
-        needed = [required_literals(p) for p in patterns]
-        if any(n is None for n in needed):
-            always.append(number)
-            continue
-        for w in {w for n in needed for w in n}:
-            words.setdefault(w, []).append(number)
-    a = ahocorasick.Automaton()
-    for w, numbers in words.items():
-        a.add_word(w, numbers)
-    if len(a):
-        a.make_automaton()
-    return a, always, languages
+class Index:
+    """Rules (number, languages, required sets of each pattern) by the literals of their patterns."""
+
+    def __init__(self, pack: list[tuple]):
+        import ahocorasick
+        self.always: list[int] = []  # rules that no literal picks
+        self.languages = []
+        patterns, shared = [], Counter()
+        for number, langs, sets in pack:
+            self.languages.append(None if "*" in langs else frozenset(langs))
+            if not all(sets):
+                self.always.append(number)
+                continue
+            patterns += [(number, s) for s in sets]
+            shared.update({w for s in sets for c in s for w in c})
+        self.by_word: dict[str, list] = {}  # literal -> (rule, the other literals that it needs)
+        words = set()
+        for number, sets in patterns:
+            key = min(sets, key=lambda c: (max(shared[w] for w in c), -min(map(len, c)), len(c)))
+            others = tuple(c for c in sets if c != key and min(map(len, c)) >= SHORTEST)
+            for w in key:
+                self.by_word.setdefault(w, []).append((number, others))
+            words.update(key, *others)
+        self.automaton = ahocorasick.Automaton()
+        for w in words:
+            self.automaton.add_word(w, w)
+        if words:
+            self.automaton.make_automaton()
+
+    def rules(self, content: str, language: str | None) -> list[int]:
+        """Rules of the language that can match in the content."""
+        picked = set(self.always)
+        found = {w for _, w in self.automaton.iter(plain(content))} if len(self.automaton) else set()
+        for w in found & self.by_word.keys():
+            for number, others in self.by_word[w]:
+                if number not in picked and all(not found.isdisjoint(c) for c in others):
+                    picked.add(number)
+        return sorted(k for k in picked if self.languages[k] is None or language in self.languages[k])
 
 
 def candidates(files: DataFrame, rules: list[dict]) -> DataFrame:
     """(path, language, content, rules): files that some rule can match, with the numbers of those rules."""
-    shipped = files.sparkSession.sparkContext.broadcast(
-        [(k, list(r.get("languages") or []), rule_patterns(r)) for k, r in enumerate(rules)])
+    sc = files.sparkSession.sparkContext
+    read = sc.parallelize([(k, list(r.get("languages") or []), rule_patterns(r)) for k, r in enumerate(rules)])
+    # patterns are read once, by the cluster, not by every worker; what they need is no longer than they are, times MOST_TEXTS at worst
+    shipped = sc.broadcast(read.map(lambda r: (r[0], r[1], [required_sets(p) for p in r[2]])).collect())
     key = uuid.uuid4().hex
 
     def run(batches):
         import pyarrow as pa
-        a, always, languages = automaton(key, lambda: _index(shipped.value))
+        index = automaton(key, lambda: Index(shipped.value))
         for batch in batches:
-            picked = []
-            for language, content in zip(batch.column("language").to_pylist(), batch.column("content").to_pylist()):
-                found = set(always) if content is not None else set()
-                if content is not None and len(a):
-                    lists = {id(numbers): numbers for _, numbers in a.iter(plain(content))}
-                    found.update(*lists.values())
-                picked.append(sorted(k for k in found if languages[k] is None or language in languages[k]))
+            picked = [[] if content is None else index.rules(content, language)
+                      for language, content in zip(batch.column("language").to_pylist(), batch.column("content").to_pylist())]
             keep = pa.array([bool(p) for p in picked])
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(picked, pa.list_(pa.int32()))], ["path", "language", "content", "rules"])
             yield out.filter(keep)
