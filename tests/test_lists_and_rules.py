@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil import api
+from vigil.operators import wordlists
 from vigil.operators.rulematch import candidates, pack_of, plain, required_literals, rule_match
 from vigil.operators.wordlists import first_listed
 from vigil.sources.rulepack import load_rule_pack, rules_dataframe
@@ -38,6 +39,21 @@ def test_first_hit_in_list_order(spark):
     assert empty.filter("listed IS NOT NULL").count() == 0 and empty.count() == len(rows)
 
 
+def test_a_long_list_stays_out_of_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(wordlists, "HOT_ROWS", 50)
+    monkeypatch.setattr(wordlists, "PIECES", 3)
+    rows = [("hot.call", "go", 1)] * 200 + [(f"h{i}_1x", "php" if i % 2 else None, i) for i in range(60)] + [(None, None, 0), ("", "go", 0), ("none", "go", 0)]
+    entries = [(f"h{i}_1", 1000 - i, "php" if i % 3 else None) for i in range(60)] * 3 + [("call", 9, None), ("hot", 5, "go"), ("hot.call.long", 1, None)]
+    check(spark, rows, entries, max_bytes=100)
+    check(spark, rows, entries + [("", 2000, "go")], max_bytes=100)
+    monkeypatch.setattr(wordlists, "_entries_automaton", None)  # no automaton of a list this long
+    collected, collect = [], type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda self: [collected.append(r) or r for r in collect(self)])
+    wordlists.first_listed(spark.createDataFrame(rows, "name string, language string, grp int"), "name",
+                           spark.createDataFrame(entries, ENTRIES), "hit", "language", 100)
+    assert len(collected) <= 10  # lengths, not entries
+
+
 def test_a_hundred_thousand_names_without_a_nested_loop(spark, lines_of):
     lines = lines_of({"a.py": "".join(f"obj.name{i}x(a)\n" for i in range(0, 200_000, 500))})
     entries = spark.range(100_000).select(F.concat(F.lit("name"), (F.col("id") * 2).cast("string"), F.lit("x")).alias("entry"), F.col("id").alias("ord"))
