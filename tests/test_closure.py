@@ -4,6 +4,7 @@ from collections import deque
 
 import pytest
 
+from vigil.operators import closure
 from vigil.operators.closure import component_closure, reach_layers, strong_components
 
 
@@ -56,6 +57,19 @@ def test_graphs_against_search(spark, edges, starts):
     assert len(got) == len(set(got)) and set(got) == brute_layers(edges, starts)
 
 
+def test_long_chains_are_trimmed_and_nothing_is_broadcast(spark, monkeypatch):
+    edges = {(f"t{i}", f"t{i // 2}") for i in range(1, 16)} | cycle("r1", "r2", "r3") | {("t0", "r1"), ("r3", "s0"), ("s0", "s1"), ("s1", "s1")}
+    coloured, colours = [], closure._colours
+    monkeypatch.setattr(closure, "_colours", lambda nodes, *more: coloured.append(nodes.count()) or colours(nodes, *more))
+    e, s = frames(spark, edges, ["t15", "t5"])
+    found = strong_components(e)
+    assert {r.node: r.component for r in found.collect()} == brute_components(edges)
+    assert coloured == [3]  # the ring; the trees above and below it are gone
+    layers = reach_layers(e, s)
+    assert {tuple(r) for r in layers.collect()} == brute_layers(edges, ["t15", "t5"])
+    assert "Broadcast" not in found._jdf.queryExecution().toString() + layers._jdf.queryExecution().toString()
+
+
 def test_a_cycle_is_one_row(spark):
     n = 60
     e, s = frames(spark, cycle(*[f"c{i:03}" for i in range(n)]) | {("c007", "end")}, [f"c{i:03}" for i in range(n)])
