@@ -2,8 +2,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from vigil import api
+from vigil.operators import flows as flows_operator
 from vigil.operators.flows import nearest_sources
 
 COLUMNS = ["function", "sink_line", "sink_label", "source_path", "source_line", "hops"]
@@ -101,3 +103,43 @@ def test_fixpoint_on_random_graphs(spark, seed):
         got = min(tuple(x) for x in (r.climbed, r.descended) if x)
         assert got == min(x for x in (up, down) if x)
     assert not want
+
+
+def test_hot_names_are_joined_apart(spark, monkeypatch):
+    """Names with more edges than one part holds: the same labels as with all of them held."""
+    rng = random.Random(9)
+    edges = {("f0", "a", f"f{i % 5}", f"n{i}", "in" if i % 5 == 0 else "down") for i in range(40)}
+    edges |= {(f"f{i % 5}", f"n{i}", f"f{rng.randrange(5)}", rng.choice(["a", f"n{rng.randrange(40)}"]), "down") for i in range(40)}
+    seeds = [("f0", "a", 0, (0, "p", 1, "s")), ("f1", "n1", 1, (1, "o", 2, "s"))]
+    s = spark.createDataFrame(seeds, "fn string, name string, phase int, label struct<hops:int,path:string,line:int,label:string>")
+    e = spark.createDataFrame(list(edges), "fn string, name string, to_fn string, to_name string, kind string")
+    want = {(r.fn, r.name): (r.climbed, r.descended) for r in flows_operator.nearest_sources(s, e, 5).collect()}
+    monkeypatch.setattr(flows_operator, "MOST_HELD", 3)
+    assert {(r.fn, r.name): (r.climbed, r.descended) for r in flows_operator.nearest_sources(s, e, 5).collect()} == want
+    best = {}
+    for (fn, name, _), label in brute(seeds, edges, 5).items():
+        best[fn, name] = min(label, best.get((fn, name), label))
+    assert {k: min(tuple(x) for x in v if x) for k, v in want.items()} == best
+
+
+def test_rounds_do_not_shuffle_the_edges(spark):
+    """Edges are parted once; a round deals out the changed labels alone."""
+    held, hot = flows_operator._held(spark.range(50).selectExpr("id % 7 AS node", "id AS to_node", "'in' AS kind"))
+    moved = spark.range(7).select(F.col("id").alias("node"), F.lit(1).alias("_up")).hint("merge")
+    joined = held.join(moved, "node")
+    assert hot is None and joined.count() == 50
+    assert joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ENSURE_REQUIREMENTS") <= 1
+    held.unpersist()
+
+
+def test_texts_are_read_once(spark, lines_of):
+    """Structure and flows come out of one pass over the lines."""
+    src = lines_of({"a.py": "def f(x):\n    v = input(x)\n    g(v)\n", "b.py": "def g(y):\n    eval(y)\n", "c.js": "function g(y) {\n  eval(y);\n}\n"})
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+    counted = src.withColumn("text", F.udf(seen, "string").asNondeterministic()("text"))
+    assert flows(counted) == {("b.py", "g", 2, "eval()", "a.py", 2, 1)}
+    assert read.value == src.count()

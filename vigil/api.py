@@ -172,10 +172,9 @@ def taint_candidates(src: DataFrame) -> DataFrame:
 def taint_flows(src: DataFrame, strict_order: bool = False, max_hops: int = 10) -> DataFrame:
     """Sinks that a source reaches inside their function or across calls, each with its nearest source."""
     from vigil.operators import facts
-    from vigil.operators.flows import flow_lines, taint_flows as _tf
-    a = annotate(src)
-    fns = materialized(facts.functions_table(materialized(facts.fact_lines(a))))
-    return _tf(flow_lines(a), fns, strict_order, max_hops)
+    from vigil.operators.flows import read_lines, taint_flows as _tf
+    lines, moving = read_lines(annotate(src))
+    return _tf(moving, materialized(facts.functions_table(materialized(lines))), strict_order, max_hops)
 
 
 def call_sinks(src: DataFrame) -> DataFrame:
