@@ -15,7 +15,8 @@
    decides, as in rule_scan, whose rows these are.
 
 A file never meets a rule that its content cannot match.  The rules (at most
-MAX_LIST_BYTES of text, checked) are the broadcast side of the one join.
+MAX_LIST_BYTES of text) are the broadcast side of the one join; a DataFrame of
+more goes through ``rulejoin``, where they stay on the executors.
 """
 from __future__ import annotations
 
@@ -73,8 +74,11 @@ def required_sets(pattern: str) -> list[tuple[str, ...]]:
     return sorted({tuple(sorted(set(c))) for c in _choices(tree)}) if tree and _required(tree) else []
 
 
-def _exact(items) -> set[str] | None:
-    """All texts that the items match (A-Z lowered), or None if they are not a few fixed ones; anchors take no character."""
+def _exact(items, edge: str = "") -> set[str] | None:
+    """All texts that the items match (A-Z lowered), or None if they are not a few fixed ones; anchors take no character.
+
+    ``edge``, where given, stands for a word boundary in the texts.
+    """
     out = {""}
     for op, arg in items:
         op = str(op)
@@ -83,32 +87,36 @@ def _exact(items) -> set[str] | None:
         elif op == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
             more = {plain(chr(v)) for _, v in arg}
         elif op == "SUBPATTERN":
-            more = _exact(arg[-1])
+            more = _exact(arg[-1], edge)
         elif op == "ATOMIC_GROUP":
-            more = _exact(arg)
+            more = _exact(arg, edge)
         elif op == "BRANCH":
-            parts = [_exact(branch) for branch in arg[1]]
+            parts = [_exact(branch, edge) for branch in arg[1]]
             more = set().union(*parts) if all(p is not None for p in parts) else None
         elif op in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] in (0, 1) and arg[1] == 1:
-            inner = _exact(arg[2])
+            inner = _exact(arg[2], edge)
             more = inner if inner is None or arg[0] else inner | {""}
+        elif edge and op == "AT" and str(arg) == "AT_BOUNDARY":
+            more = {edge}
         elif op in ("AT", "ASSERT", "ASSERT_NOT"):
             continue
         else:
             more = None
+        if edge and op in ("LITERAL", "IN") and more and edge in more:
+            more = None  # the sign itself
         if more is None or len(out) * len(more) > MOST_TEXTS:
             return None
         out = {x + y for x in out for y in more}
     return out
 
 
-def _required(tree) -> list[str] | None:
+def _required(tree, edge: str = "") -> list[str] | None:
     """The choice whose shortest literal is longest (then the smaller one)."""
-    choices = [c for c in _choices(tree) if min(map(len, c)) >= SHORTEST]
+    choices = [c for c in _choices(tree, edge) if min(len(w.replace(edge, "")) for w in c) >= SHORTEST]
     return max(choices, key=lambda c: (min(map(len, c)), -len(c)), default=None)
 
 
-def _choices(tree) -> list[list[str]]:
+def _choices(tree, edge: str = "") -> list[list[str]]:
     """Literals of one character at least, of each list of which a match holds one."""
     choices, run = [], [""]  # run: what the fixed items since the last cut match
 
@@ -120,7 +128,11 @@ def _choices(tree) -> list[list[str]]:
     def walk(items):
         for item in items:
             op, arg = str(item[0]), item[1]
-            own = _exact([item])
+            if op == "LITERAL" and chr(arg) != edge:
+                c = plain(chr(arg))
+                run[:] = [x + c for x in run]
+                continue
+            own = _exact([item], edge)
             if own is not None and len(run) * len(own) <= MOST_TEXTS:
                 run[:] = {x + y for x in run for y in own}
                 continue
@@ -134,11 +146,11 @@ def _choices(tree) -> list[list[str]]:
             if own is not None:
                 run[:] = own
             elif op == "BRANCH":
-                parts = [_required(branch) for branch in arg[1]]
+                parts = [_required(branch, edge) for branch in arg[1]]
                 if all(parts):
                     choices.append([w for p in parts for w in p])
             elif op in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] >= 1:
-                if inner := _required(arg[2]):
+                if inner := _required(arg[2], edge):
                     choices.append(inner)
 
     walk(tree)
@@ -146,6 +158,22 @@ def _choices(tree) -> list[list[str]]:
     return [c for c in choices if min(map(len, c))]
 
 
+#: Columns of a rules DataFrame that are read, and what those that are not there are.
+FIELDS = {"load_ord": "long", "rule_id": "string", "name": "string", "description": "string", "category": "string", "severity": "string",
+          "languages": "array<string>", "cwe": "string", "owasp": "string", "tags": "array<string>", "patterns": "array<string>", "fix_suggestion": "string"}
+
+
+def rule_rows(rules: DataFrame) -> DataFrame:
+    """The columns of a rules DataFrame that are read, of rules with an id."""
+    have = set(rules.columns)
+    return rules.select(*[F.col(f) if f in have else F.lit(None).cast(t).alias(f) for f, t in FIELDS.items()]).filter("rule_id IS NOT NULL")
+
+
+def _size(rows: DataFrame) -> int:
+    """Bytes of the rules' text."""
+    return rows.agg(F.sum(F.octet_length(F.to_json(F.struct(*FIELDS))).cast("long"))).first()[0] or 0
+
+
 def pack_of(rules: DataFrame, max_bytes: int = MAX_LIST_BYTES) -> RulePack:
     """A rules DataFrame as a validated pack, in load_ord order.
 
@@ -154,19 +182,21 @@ def pack_of(rules: DataFrame, max_bytes: int = MAX_LIST_BYTES) -> RulePack:
     there.  Rules with a null id and a repeated id's earlier rules go, as in a
     rule file; patterns that Java cannot compile are listed in ``errors``.
     """
-    have = set(rules.columns)
-    fields = ["load_ord", "rule_id", "name", "description", "category", "severity", "languages", "cwe", "owasp", "tags", "patterns", "fix_suggestion"]
-    rows = rules.select(*[F.col(f) if f in have else F.lit(None).alias(f) for f in fields]).filter("rule_id IS NOT NULL")
-    size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct(*fields))).cast("long"))).first()[0] or 0
+    rows = rule_rows(rules)
+    size = _size(rows)
     if size > max_bytes:
         raise ValueError(f"the rules have {size} bytes, more than {max_bytes}")
+    return _pack(rows)
+
+
+def _pack(rows: DataFrame) -> RulePack:
     by_id = {}
     for r in sorted(rows.collect(), key=lambda r: (r.load_ord is not None, r.load_ord or 0, r.rule_id)):
         by_id[r.rule_id] = {"id": r.rule_id, "name": r.name, "description": r.description, "category": r.category, "severity": r.severity,
                             "languages": list(r.languages) if r.languages is not None else ["*"], "cwe": r.cwe, "owasp": r.owasp,
                             "tags": list(r.tags or []), "patterns": [p for p in r.patterns or [] if p is not None],
                             "fixSuggestion": r.fix_suggestion}
-    return validate_patterns(rules.sparkSession, RulePack(rules=list(by_id.values())))
+    return validate_patterns(rows.sparkSession, RulePack(rules=list(by_id.values())))
 
 
 class Index:
@@ -231,9 +261,19 @@ def candidates(files: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 def rule_match(files: DataFrame, rules: DataFrame | RulePack, max_bytes: int = MAX_LIST_BYTES) -> DataFrame:
-    """rule_scan's rows for a pack of any size: source_files(path, language, content) against a rules DataFrame (or a pack)."""
+    """rule_scan's rows for a pack of any size: source_files(path, language, content) against a rules DataFrame (or a pack).
+
+    A DataFrame of more than ``max_bytes`` is joined (``rulejoin``), not sent.
+    """
     spark = files.sparkSession
-    pack = rules if isinstance(rules, RulePack) else pack_of(rules, max_bytes)
+    if isinstance(rules, RulePack):
+        pack = rules
+    else:
+        rows = rule_rows(rules)
+        if _size(rows) > max_bytes:
+            from vigil.operators.rulejoin import joined_rule_match
+            return joined_rule_match(files, rows, max_bytes)
+        pack = _pack(rows)
     least = C.SEVERITY_RANK.get(str(pack.config.get("minSeverity") or "").lower(), 0)
     values = [rule_values(r) for r in pack.rules]
     chosen = [(r, v) for r, v in zip(pack.rules, values) if C.SEVERITY_RANK[v["severity"]] >= least and rule_patterns(r)]

@@ -103,10 +103,19 @@ def rule_scan(files: DataFrame, pack: RulePack) -> DataFrame:
         "path", "language", "content", "hit", "r.*"))
 
 
+def located(hits: DataFrame) -> DataFrame:
+    """hits plus line and pattern_ord of (content, hit)."""
+    return hits.withColumn("line", line_of(F.col("content"), F.col("hit") % HIT_SHIFT)) \
+        .withColumn("pattern_ord", F.floor(F.col("hit") / HIT_SHIFT).cast("int"))
+
+
 def finding_rows(hits: DataFrame) -> DataFrame:
     """Findings of (path, language, content, hit, values of the rule)."""
-    x = hits.withColumn("line", line_of(F.col("content"), F.col("hit") % HIT_SHIFT)) \
-        .withColumn("pattern_ord", F.floor(F.col("hit") / HIT_SHIFT).cast("int"))
+    return rows_of(located(hits))
+
+
+def rows_of(x: DataFrame) -> DataFrame:
+    """Findings of (path, language, line, pattern_ord, values of the rule)."""
     return x.select(finding_id(F.col("rule_id"), F.col("path"), F.col("line")).alias("id"),
                     "rule_id", "name", "description", "severity", severity_rank(F.col("severity")).alias("severity_rank"),
                     "path", "language", "line", "cwe", "owasp", "fix_suggestion", F.lit(0.8).alias("confidence"),
