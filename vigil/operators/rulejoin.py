@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.severity import normalize_severity
 from vigil.operators.rulematch import SHORTEST, _choices, _parsed
-from vigil.operators.rulescan import HIT_SHIFT, located, rows_of
+from vigil.operators.rulescan import located, rows_of, searched
 from vigil.operators.wordlists import automaton
 from vigil.session import materialized
 
@@ -401,12 +401,6 @@ def joined_rule_match(files: DataFrame, rules: DataFrame, max_bytes: int) -> Dat
     if count:
         side = F.broadcast(always) if size <= max_bytes else always
         x = x.unionByName(files.join(side, _listed(F.col("languages"))).select(*x.columns))
-
-    def step(hit, t):
-        at = F.nullif(F.regexp_instr(F.col("content"), F.concat(F.lit("(?m)"), t["pattern"])), F.lit(0)).cast("long")
-        return F.coalesce(hit, at + t["pattern_no"].cast("long") * F.lit(HIT_SHIFT))
-
-    hits = x.withColumn("hit", F.aggregate("tries", F.lit(None).cast("long"), step)).filter("hit IS NOT NULL")
-    hits = located(hits).select("rule_id", "path", "language", "line", "pattern_ord")
+    hits = located(searched(x)).select("rule_id", "path", "language", "line", "pattern_ord")
     values = table.select("rule_id", "languages", "values")
     return rows_of(hits.hint("merge").join(values.hint("merge"), "rule_id").filter(_listed(F.col("languages"))).select(*hits.columns, "values.*"))

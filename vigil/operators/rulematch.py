@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vigil import catalog as C
 from vigil.functions.paths import excluded
-from vigil.operators.rulescan import HIT_SHIFT, finding_rows, rule_values
+from vigil.operators.rulescan import finding_rows, rule_values, searched
 from vigil.operators.wordlists import MAX_LIST_BYTES, automaton
 from vigil.sources.rulepack import RulePack, rule_patterns, validate_patterns
 
@@ -39,7 +39,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 #: Shorter literals pick too little; more texts than this are no longer told one by one.
 SHORTEST, MOST_TEXTS = 3, 32
-RULE = ("rule_no int, languages array<string>, patterns array<string>, rule_id string, name string, description string, severity string, "
+RULE = ("rule_no int, languages array<string>, tries array<struct<pattern_no:int,pattern:string>>, rule_id string, name string, description string, severity string, "
         "cwe string, owasp string, fix_suggestion string, tags array<string>, references array<string>")
 
 
@@ -279,17 +279,9 @@ def rule_match(files: DataFrame, rules: DataFrame | RulePack, max_bytes: int = M
     chosen = [(r, v) for r, v in zip(pack.rules, values) if C.SEVERITY_RANK[v["severity"]] >= least and rule_patterns(r)]
     if pack.config.get("exclude"):
         files = files.filter(~excluded(F.col("path"), list(pack.config["exclude"])))
-    rows = [(k, list(r.get("languages") or []), ["(?m)" + p for p in rule_patterns(r)], *(v[f] for f in (
+    rows = [(k, list(r.get("languages") or []), list(enumerate(rule_patterns(r))), *(v[f] for f in (
         "rule_id", "name", "description", "severity", "cwe", "owasp", "fix_suggestion", "tags", "references"))) for k, (r, v) in enumerate(chosen)]
     table = spark.createDataFrame(rows, RULE).drop("languages")
     x = candidates(files, [r for r, _ in chosen]).select("path", "language", "content", F.explode("rules").alias("rule_no"))
     x = x.join(F.broadcast(table), "rule_no")  # its size was checked, or it came from the driver's own files
-    none = F.struct(F.lit(0).cast("long").alias("k"), F.lit(None).cast("long").alias("hit"))
-
-    def step(acc, pattern):
-        at = F.nullif(F.regexp_instr(F.col("content"), pattern), F.lit(0)).cast("long")
-        hit = F.when(acc["hit"].isNotNull(), acc["hit"]).otherwise(at + acc["k"] * F.lit(HIT_SHIFT))
-        return F.struct((acc["k"] + 1).alias("k"), hit.alias("hit"))
-
-    x = x.withColumn("hit", F.aggregate("patterns", none, step)["hit"]).filter("hit IS NOT NULL")
-    return finding_rows(x)
+    return finding_rows(searched(x))

@@ -103,6 +103,20 @@ def rule_scan(files: DataFrame, pack: RulePack) -> DataFrame:
         "path", "language", "content", "hit", "r.*"))
 
 
+def searched(x: DataFrame) -> DataFrame:
+    """The rows of (content, tries) with a match, and its hit: that of the first of ``tries`` (pattern_no, pattern) that matches.
+
+    Every pattern is searched once: the hit goes through a generator, so that no filter repeats it, and an array holds the offset.
+    """
+
+    def step(hit, t):
+        offsets = F.filter(F.array(F.regexp_instr(F.col("content"), F.concat(F.lit("(?m)"), t["pattern"]))), lambda at: at > 0)
+        return F.coalesce(hit, F.get(offsets, F.lit(0)).cast("long") + t["pattern_no"].cast("long") * F.lit(HIT_SHIFT))
+
+    hit = F.aggregate("tries", F.lit(None).cast("long"), step)
+    return x.select(*[c for c in x.columns if c != "tries"], F.explode_outer(F.array(hit)).alias("hit")).filter("hit IS NOT NULL")
+
+
 def located(hits: DataFrame) -> DataFrame:
     """hits plus line and pattern_ord of (content, hit)."""
     return hits.withColumn("line", line_of(F.col("content"), F.col("hit") % HIT_SHIFT)) \
